@@ -20,7 +20,7 @@ BASE = {
 }
 KINDS = (*BASE, "novel")
 #: Words that make a context sensitive.
-_SENSITIVE = re.compile(r"(?<![a-z])(password|passwd|pwd|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|credential|auth|bearer|session[_-]?id|signature|passphrase)", re.A | re.I)
+_SENSITIVE = re.compile(r"(?<![a-z])(password|passwd|pwd|secret|token|api[ _-]?key|private[ _-]?key|access[ _-]?key|credential|auth|bearer|session[ _-]?id|signature|passphrase)", re.A | re.I)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}", re.A)
 #: Identifier vocabulary that primes the compressor: what names, paths and code are made of.
 IDENTIFIERS = (
@@ -37,7 +37,7 @@ IDENTIFIERS = (
 #: Characters around a candidate that prime the compressor and that are searched for sensitive words.
 CONTEXT, NEAR = 400, 60
 #: A candidate is novel if it costs this many bytes per character more than its context does.
-NOVELTY = 0.60
+NOVELTY = 0.80
 
 
 def _marginal(dictionary: zstandard.ZstdCompressionDict, text: bytes) -> int:
