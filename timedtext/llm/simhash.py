@@ -75,8 +75,8 @@ def build_trees(sample: np.ndarray, n: int, bands: tuple[tuple[int, int], ...],
     """Choose the vantage points on a bounded sample of ``n`` distinct fingerprints.
 
     Each level takes the candidate that leaves the fewest pairs of the sample together. Levels are added until the largest
-    leaf is expected to hold ``leaf`` fingerprints; a tree that must visit boundaries stays shallower, since each level
-    doubles its visits.
+    leaf is expected to hold ``leaf`` fingerprints; a tree with a radius over one stays shallow, since each level multiplies
+    its visits.
     """
     out, at = [], 0
     rng = np.random.default_rng(64)
@@ -84,7 +84,7 @@ def build_trees(sample: np.ndarray, n: int, bands: tuple[tuple[int, int], ...],
         mask = ((1 << width) - 1) << at
         at += width
         points, keys = [], np.zeros(len(sample), np.int64)
-        while len(points) < (10 if radius == 0 else 6) and len(sample):
+        while len(points) < (8 if radius < 2 else 4) and len(sample):
             if np.unique(keys, return_counts=True)[1].max() / len(sample) * n <= leaf:
                 break
             tried = [int(x) for x in rng.integers(0, 2**63, 24)]
@@ -96,24 +96,48 @@ def build_trees(sample: np.ndarray, n: int, bands: tuple[tuple[int, int], ...],
     return out
 
 
-def visits(tree: Tree) -> list[tuple[int, ...]]:
-    """Ring offsets of the leaves that a search visits, its own first: at most t away and of t's parity, t up to the radius."""
-    near = {d for t in range(tree.radius + 1) for d in itertools.product(range(-t, t + 1, 2), repeat=len(tree.points))}
-    return sorted(near, key=lambda d: (any(d), d))
+def _rings(tree: Tree) -> Column:
+    """The leaf of a fingerprint: its ring at each level as a digit to base 128, shifted by the radius so that none is negative."""
+    leaf = F.lit(0).cast("long")
+    for i, p in enumerate(tree.points):
+        ring = F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)).bitwiseAND(F.lit(_signed(tree.mask)))).cast("long")
+        leaf = leaf + (ring + tree.radius) * (128**i)
+    return leaf
 
 
-def _placed(fps: DataFrame, trees: list[Tree]) -> DataFrame:
-    """``(tree, leaf, home, fp)``: each fingerprint in its leaf and, as a visitor, in those across the boundaries.
+def visits(tree: Tree) -> list[Column]:
+    """Differences to the own leaf of the other leaves that a search visits; null where a difference is not visited.
 
-    Of two leaves that would visit each other, only the later visits the earlier.
+    Within distance one, flipping bit b moves every ring by one, up or down as the vantage point's bit is equal or not, so that
+    at most one leaf a bit is visited, however deep the tree. For larger radii all rings within the triangle bounds and of
+    the right parity are. Of two leaves that would visit each other, only the one with the higher first ring visits.
     """
+    if not tree.points or tree.radius == 0:
+        return []
+    if tree.radius == 1:
+        out = []
+        for b in (b for b in range(64) if tree.mask >> b & 1):
+            up = sum((1 - 2 * (p >> b & 1)) * 128**i for i, p in enumerate(tree.points))
+            bit = F.shiftright("fp", b).bitwiseAND(F.lit(1)) == 1
+            first = tree.points[0] >> b & 1
+            out.append(F.when(bit, F.lit(-up) if not first else F.lit(None)).otherwise(F.lit(up) if first else F.lit(None)).cast("long"))
+        return out
+    near = {d for t in range(tree.radius + 1) for d in itertools.product(range(-t, t + 1, 2), repeat=len(tree.points))}
+    near = {d for d in near if any(d) and next(x for x in d if x) < 0}
+    return [F.lit(sum(x * 128**i for i, x in enumerate(d))).cast("long") for d in sorted(near)]
+
+
+def _placed(fps: DataFrame, trees: list[Tree]) -> DataFrame:
+    """``(tree, leaf, home, fp)``: each fingerprint in its leaf and, as a visitor, in those across the boundaries."""
     parts = []
     for t, tree in enumerate(trees):
-        rings = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)).bitwiseAND(F.lit(_signed(tree.mask)))) for p in tree.points]
-        near = [d for d in visits(tree) if not any(d) or next(x for x in d if x) < 0]
-        leaves = [F.struct(F.lit(not any(d)).alias("home"), F.concat_ws(".", F.lit(str(t)), *[(r + x).cast("string") for r, x in zip(rings, d)]).alias("leaf")) for d in near]
-        parts.append(F.array(*leaves))
-    return fps.select("fp", F.explode(F.concat(*parts)).alias("at")).select("at.leaf", "at.home", "fp")
+        leaf = _rings(tree)
+        own = F.array(F.struct(F.lit(t).alias("tree"), leaf.alias("leaf"), F.lit(True).alias("home")))
+        if near := visits(tree):
+            moves = F.filter(F.array_distinct(F.array(*near)), lambda x: x.isNotNull())
+            own = F.concat(own, F.transform(moves, lambda x: F.struct(F.lit(t).alias("tree"), (leaf + x).alias("leaf"), F.lit(False).alias("home"))))
+        parts.append(own)
+    return fps.select("fp", F.explode(F.concat(*parts)).alias("at")).select("at.tree", "at.leaf", "at.home", "fp")
 
 
 def _forest(fp: np.ndarray, home: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -145,16 +169,16 @@ def fingerprint_links(fps: DataFrame, scratch: Scratch, max_bits: int = 4, bands
     some = fps.orderBy(F.hash("fp")).limit(sample).toPandas()["fp"].to_numpy(np.int64)
     trees = build_trees(some, n, bands, leaf)
     placed = _placed(fps, trees)
-    chunks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / split).cast("int").alias("chunks"))
-    placed = placed.join(chunks.hint("merge"), "leaf").withColumn("own", F.pmod(F.hash("fp"), F.col("chunks")))
+    chunks = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / split).cast("int").alias("chunks"))
+    placed = placed.join(chunks.hint("merge"), ["tree", "leaf"]).withColumn("own", F.pmod(F.hash("fp"), F.col("chunks")))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    placed = placed.select("leaf", "home", "fp", "own", other).select("leaf", "home", "fp", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    placed = placed.select("tree", "leaf", "home", "fp", "own", other).select("tree", "leaf", "home", "fp", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["home", "fp"], ascending=False)
         return pd.DataFrame(_forest(pdf["fp"].to_numpy(np.int64), pdf["home"].to_numpy(bool), max_bits), columns=["a", "b"], dtype=np.int64)
 
-    return placed.groupBy("leaf", "x", "y").applyInPandas(run, "a long, b long")
+    return placed.groupBy("tree", "leaf", "x", "y").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, **tree: object) -> DataFrame:
