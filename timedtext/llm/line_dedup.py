@@ -18,6 +18,8 @@ SHINGLE = 12
 THRESHOLD = 0.8
 #: Points of each line of the Fano plane: any two lines share one point.
 BANDS = ((0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5))
+#: Members of a bucket that all others are compared with first, and words of a sketch.
+_REPS, _MORE_REPS, _WORDS = 8, 32, 16
 _UNROLL = 8
 _SLOTS = 1 << 20
 
@@ -43,21 +45,36 @@ def signatures(lines: DataFrame) -> DataFrame:
     return _shingle_rows(lines, "h1", "h2").groupBy("h1", "h2").agg(F.sum("__first").alias("n"), *[F.min(x).alias(f"m{j}") for j, x in enumerate(least)])
 
 
-def _similar_sizes(a: str, b: str) -> Column:
-    """Sets of these sizes can reach the threshold."""
-    return F.least(a, b) >= THRESHOLD * F.greatest(a, b)
+def _shingle_sets(lines: DataFrame, ids: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``(h1, shingles)`` and ``(h1, n, w0..w15)`` of the lines in ``ids(h1)``: distinct shingle hashes, their number and a sketch.
 
-
-def _shingle_sets(lines: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(h1, shingles)``, the distinct shingle hashes of the lines in ``ids(h1)``, computed once per line.
-
-    Text is shuffled for these lines only: a first cut by at most ``_SLOTS`` slot numbers, then the exact semi join.
+    The sketch has a bit for each of 1,024 slots: whether an odd number of the line's shingles falls there. Text is shuffled
+    for these lines only: a first cut by at most ``_SLOTS`` slot numbers, then the exact semi join.
     """
     slots = ids.select(F.pmod("h1", F.lit(_SLOTS)).alias("__slot")).distinct()
     near = lines.select("h1", "line").join(F.broadcast(slots), F.pmod("h1", F.lit(_SLOTS)) == F.col("__slot"), "left_semi")
     text = near.join(ids.hint("merge"), "h1", "left_semi").groupBy("h1").agg(F.max("line").alias("line"))
     rows = _shingle_rows(text, "h1").select("h1", F.array(*[f"__s{u}" for u in range(_UNROLL)]).alias("part"))
-    return scratch.table(rows.groupBy("h1").agg(F.array_distinct(F.flatten(F.collect_list("part"))).alias("shingles")), "shingles")
+    sets = scratch.table(rows.groupBy("h1").agg(F.array_distinct(F.flatten(F.collect_list("part"))).alias("shingles")), "shingles")
+    one = sets.select("h1", F.explode("shingles").alias("s")).select("h1", F.expr("shiftrightunsigned(s, 6) & 15").alias("word"), F.expr("shiftleft(1L, s & 63)").alias("bit"))
+    words = [F.bit_xor(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(_WORDS)]
+    return sets, scratch.table(one.groupBy("h1").agg(F.count("*").alias("n"), *words), "sketches")
+
+
+def _side(sketch: DataFrame, side: str) -> DataFrame:
+    return sketch.select(F.col("h1").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in sketch.columns if c != "h1"])
+
+
+def _can_link() -> Column:
+    """Bound on the similarity of the sets behind two sketches.
+
+    Slots whose parities differ are at most as many as the shingles that only one of the lines has, and these are at most
+    (1 - t) / (1 + t) of both sizes together if the similarity is t or more: no similar pair is lost.
+    """
+    differ = F.lit(0)
+    for j in range(_WORDS):
+        differ = differ + F.bit_count(F.col(f"a_w{j}").bitwiseXOR(F.col(f"b_w{j}")))
+    return differ <= (1 - THRESHOLD) / (1 + THRESHOLD) * (F.col("a_n") + F.col("b_n")) + 1e-6
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -71,39 +88,63 @@ def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) ->
     return both.where(F.col("shared") >= THRESHOLD * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
+def _chosen(n: int) -> Column:
+    """Up to ``n`` members of a group: the lowest after flipping some bits is a different one for each mask."""
+    rnd = random.Random(21)
+    masks = [0, *(rnd.getrandbits(63) for _ in range(n - 1))]
+    return F.array_distinct(F.array(*[F.min(F.col("h1").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)) for c in masks]))
+
+
+def _star(members: DataFrame, sketch: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs of ``members(h1, reps)`` with their representatives, and those of them that link."""
+    star = members.select(F.col("h1").alias("a"), F.explode("reps").alias("b")).where("a <> b")
+    star = scratch.table(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+    fits = star.join(_side(sketch, "a").hint("merge"), "a").join(_side(sketch, "b").hint("merge"), "b").where(_can_link()).select("a", "b")
+    return star, scratch.table(_verified(scratch.table(fits, f"{name}-fits"), sets, scratch, name), f"{name}-links")
+
+
+def _placed(members: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``(key, h1, c)``: each member of a bucket with its component so far."""
+    found = components(links, scratch, f"{name}-cc").select(F.col("node").alias("h1"), "root")
+    at = members.select("key", "h1").join(found.hint("merge"), "h1", "left").select("key", "h1", F.coalesce("root", "h1").alias("c"))
+    return scratch.table(at, f"{name}-placed")
+
+
 def line_links(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """``(signatures, components)`` of ``lines(h1, h2, line)``; the second holds linked lines only: ``(node, root)``.
 
-    A bucket of a band is first compared with its two extreme members; members that this leaves in different components
-    are then compared with each other, so that large families are joined without listing all their pairs.
+    All members of a band's bucket are first compared with eight of them, chosen by hash, and those still outside the main
+    component with more members of it. What this leaves in different components of a bucket is then compared with each
+    other, so that no pair is lost and a large family is joined without listing its pairs.
+    Before shingle sets are fetched, pairs are held against the bound of their sketches inside the join.
     """
     sig = scratch.table(signatures(lines), "signatures")
     key = [F.xxhash64(F.lit(k), *[f"m{j}" for j in band]) for k, band in enumerate(BANDS)]
     bands = sig.select("h1", F.explode(F.array(*key)).alias("key"))
-    ends = bands.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
+    ends = bands.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), _chosen(_REPS).alias("reps")).where("low <> high").select("key", "reps")
     ends = scratch.table(ends, "buckets")
     slots = ends.select(F.pmod("key", F.lit(_SLOTS)).alias("__slot")).distinct()
     near = bands.join(F.broadcast(slots), F.pmod("key", F.lit(_SLOTS)) == F.col("__slot"), "left_semi")
     members = scratch.table(near.join(ends.hint("merge"), "key"), "members")
-    sets = _shingle_sets(lines, members.select("h1").distinct(), scratch)
-    sizes = scratch.table(sets.select("h1", F.size("shingles").alias("n")), "sizes")
-    star = members.select(F.col("h1").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for side in ("a", "b"):
-        star = star.join(sizes.select(F.col("h1").alias(side), F.col("n").alias(f"n{side}")).hint("merge"), side)
-    star = scratch.table(star.where(_similar_sizes("na", "nb")).select("a", "b"), "star")
-    links = scratch.table(_verified(star, sets, scratch, "star"), "star-links")
-    found = scratch.table(components(links, scratch, "star-cc"), "star-found")
-    at = members.select("key", "h1").join(found.select(F.col("node").alias("h1"), "root").hint("merge"), "h1", "left").select("key", "h1", F.coalesce("root", "h1").alias("c"))
-    at = scratch.table(at, "placed")
+    sets, sketch = _shingle_sets(lines, members.select("h1").distinct(), scratch)
+    star, links = _star(members, sketch, sets, scratch, "star")
+    at = _placed(members, links, scratch, "star")
+    # Members outside their bucket's main component meet more members of that component.
+    parts = at.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("k"), F.count("*").alias("parts"))
+    main = scratch.table(parts.where(f"parts > 1 and k > {_REPS}").select("key", "main"), "main")
+    near = scratch.table(at.join(main.hint("merge"), "key"), "near-main")
+    reps = near.where("c = main").groupBy("key").agg(_chosen(_MORE_REPS).alias("reps"))
+    tried, more = _star(near.where("c <> main").join(reps.hint("merge"), "key"), sketch, sets, scratch, "more")
+    star, links = star.unionByName(tried), links.unionByName(more)
+    at = _placed(members, links, scratch, "more")
     split = at.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("k")).where("x <> y and k > 2").select("key")
-    open_ = scratch.table(at.join(split.hint("merge"), "key", "left_semi").join(sizes.hint("merge"), "h1"), "open")
-    left, right = open_.select("key", F.col("h1").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na")), open_.select("key", F.col("h1").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    fits = (F.col("l.key") == F.col("r.key")) & (F.col("ca") < F.col("cb")) & _similar_sizes("na", "nb")
-    cross = left.alias("l").join(right.alias("r").hint("merge"), fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_ = scratch.table(at.join(split.hint("merge"), "key", "left_semi").join(sketch.hint("merge"), "h1"), "open")
+    left, right = _side(open_, "a"), _side(open_, "b")
+    cross = left.join(right.hint("merge"), (F.col("a_key") == F.col("b_key")) & (F.col("a_c") < F.col("b_c")) & _can_link())
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cross = scratch.table(cross.join(star.hint("merge"), ["a", "b"], "left_anti"), "cross")
-    more = _verified(cross, sets, scratch, "cross")
-    return sig, components(links.unionByName(more), scratch, "cc")
+    last = _verified(cross, sets, scratch, "cross")
+    return sig, components(links.unionByName(last), scratch, "cc")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
