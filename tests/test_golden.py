@@ -192,3 +192,30 @@ def test_stalled_jobs_expire(spark, tmp_path):
     _drain(start())
     got = {(r.job_id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert (1, "failed") in got and (2, "failed") not in got and (3, "failed") not in got
+
+
+def test_names_in_texts(spark):
+    from timedtext.operators import texts as X
+
+    a = spark.createDataFrame([(1, "Ann", "Anna", 1), (1, "Ann Lee", "Anna Lee", 1), (1, "Bob", "Robert", 2), (1, "Bob", "Bobby", 1)], "video_id long, alias string, canonical string, priority int")
+    t = spark.createDataFrame([(1, "Ann  Lee met Ann; Annex, Anna and Bob."), (2, "Ann"), (1, None)], "video_id long, text string")
+    once = X.replace_names(t, a)
+    assert sorted(map(str, (r.text for r in once.collect()))) == ["Ann", "Anna Lee met Anna; Annex, Anna and Bobby.", "None"]
+    assert sorted(map(str, (r.text for r in X.replace_names(once, a).collect()))) == sorted(map(str, (r.text for r in once.collect())))
+
+
+def test_regions(spark):
+    from timedtext.operators import texts as X
+
+    rows = [(1, 1, True, None, 10.0, 10.0, 10.0, 10.0), (1, 2, False, None, 11.0, 11.0, 20.0, 20.0), (1, 3, False, None, 60.0, 60.0, 10.0, 10.0), (1, 4, False, None, 62.0, 62.0, 9.0, 9.0), (1, 5, False, 2000.0, 60.0, 60.0, 10.0, 10.0)]
+    d = spark.createDataFrame(rows, "video_id long, region_id long, validated boolean, start_ms double, x double, y double, w double, h double")
+    got = {r.region_id: (r.x, r.w) for r in X.dedupe_regions(d).collect()}
+    assert got == {1: (10.0, 10.0), 3: (60.0, 11.0), 5: (60.0, 10.0)}
+
+
+def test_artifacts_round_trip(spark, tmp_path):
+    from timedtext.operators import texts as X
+
+    d = spark.createDataFrame([(1, [("a", 1.5)]), (2, [])], "video_id long, keyframes array<struct<path: string, time: double>>")
+    X.write_artifacts({"scenes": d}, str(tmp_path))
+    assert sorted(r.video_id for r in X.read_artifacts(spark, str(tmp_path), ("scenes",))["scenes"].where("exists(keyframes, k -> k.time > 1) or size(keyframes) = 0").collect()) == [1, 2]
