@@ -32,7 +32,7 @@ def blend_dubbing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    c = C.blend(_criteria(spark, d).withColumn("baseline", 70 + F.col("baseline") * 0.3).withColumn("judge", 70 + F.col("judge") * 0.3))
+    c = C.blend(_criteria(spark, d).withColumn("baseline", 70 + F.col("baseline") * 0.29371).withColumn("judge", 70 + F.col("judge") * 0.29371))
     flags = c.select("video_id").distinct().withColumn("ok", F.col("video_id") % 7 != 3)
     return C.verdict(c, flags).select("video_id", micro("overall").alias("overall_micro"), "passed", "verdict")
 
@@ -67,7 +67,7 @@ def meets_budget(spark: SparkSession, d: str) -> DataFrame:
 
 def durations_ok(spark: SparkSession, d: str) -> DataFrame:
     """Adherence, tempo factor and drift of measured durations."""
-    p = V.table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") / 2).alias("actual"), (F.col("p_size") % 12).alias("minutes"))
+    p = V.table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 0.37713).alias("actual"), (F.col("p_size") % 12).alias("minutes"))
     score, ok = S.duration_adherence("actual", "minutes")
     drift = S.drift_score("actual", F.col("minutes") * 60.0, 0.15, 35.0, 70.0)
     return p.select("p_partkey", micro(score).alias("score_micro"), ok.alias("ok"), micro(S.tempo_factor("actual", "minutes")).alias("tempo_micro"), micro(drift).alias("drift_micro"))
@@ -149,7 +149,7 @@ q AS (SELECT {key}, w::BIGINT AS target_words, round_even(w * 0.9::DOUBLE, 0)::B
 ORACLE_SQL = {
     "blend_scores": f"WITH {_V}, {_blend('review')} SELECT video_id, key, {_MICRO.format('score')} AS score_micro, fallback, passed FROM p",
     "blend_dubbing": f"WITH {_V}, {_blend('dubbing')} SELECT video_id, key, {_MICRO.format('score')} AS score_micro, fallback, passed FROM p",
-    "verdicts": f"""WITH {_V}, y AS (SELECT video_id, k, 70 + baseline * 0.3::DOUBLE AS baseline, 70 + judge * 0.3::DOUBLE AS judge FROM v), {_blend('review', 'y')},
+    "verdicts": f"""WITH {_V}, y AS (SELECT video_id, k, 70 + baseline * 0.29371::DOUBLE AS baseline, 70 + judge * 0.29371::DOUBLE AS judge FROM v), {_blend('review', 'y')},
 o AS (SELECT video_id, round_even(sum(score * weight) / greatest(sum(weight), 1), 2) AS overall, bool_and(passed) AND any_value(video_id) % 7 <> 3 AS ok FROM p GROUP BY 1)
 SELECT video_id, {_MICRO.format('overall')} AS overall_micro, overall >= 80 AND ok AS passed, CASE WHEN overall >= 90 AND ok THEN 'excellent' WHEN overall >= 80 AND ok THEN 'good' WHEN overall >= 65 THEN 'needs_improvement' ELSE 'poor' END AS verdict FROM o""",
     "fallback_criteria": f"SELECT c_custkey AS video_id, unnest({_KEYS}) AS key, 0.0::DOUBLE AS score, FALSE AS passed FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
@@ -161,7 +161,7 @@ SELECT video_id, count(*) AS n_issues, count(*) FILTER (severity = 'warning') AS
     "budgets": f"WITH x AS (SELECT p_partkey, p_size - 3 AS minutes, ['story', 'fast', 'emotional', 'funny', 'other'][p_partkey % 5 + 1] AS style FROM part), {_budget('x', 'p_partkey')} SELECT * FROM q",
     "meets_budget": rf"""WITH {_S}, x AS (SELECT DISTINCT video_id, video_id % 5 AS minutes, 'fast' AS style FROM s), {_budget('x', 'video_id')}, n AS (SELECT video_id, sum(len(regexp_extract_all(narration, '[\pL\pN\pM_]+', 0)))::BIGINT AS n_words, count(*) AS n_segments FROM s GROUP BY 1)
 SELECT video_id, n_words, n_segments, n_words BETWEEN min_words AND max_words AND n_segments BETWEEN min_segments AND max_segments AS ok FROM n JOIN q USING (video_id)""",
-    "durations_ok": """WITH x AS (SELECT p_partkey, p_retailprice / 2 AS a, p_size % 12 AS m, greatest(1, least(30, p_size % 12)) * 60.0::DOUBLE AS t FROM part)
+    "durations_ok": """WITH x AS (SELECT p_partkey, p_retailprice * 0.37713::DOUBLE AS a, p_size % 12 AS m, greatest(1, least(30, p_size % 12)) * 60.0::DOUBLE AS t FROM part)
 SELECT p_partkey, cast(floor(CASE WHEN a <= 0 THEN 0 ELSE round_even(greatest(0, 100 - abs(a - t) / t * 250), 2) END * 1000000 + 0.5) AS BIGINT) AS score_micro, a > 0 AND abs(a - t) / t <= 0.1::DOUBLE AS ok,
   cast(floor(CASE WHEN a > 0 AND a / t BETWEEN 0.9::DOUBLE AND 1.15::DOUBLE THEN round_even(a / t, 6) END * 1000000 + 0.5) AS BIGINT) AS tempo_micro,
   cast(floor(CASE WHEN a > 0 AND m > 0 THEN least(100, greatest(0, 100 - greatest(0, abs(a - m * 60.0) - 0.15) * 35)) ELSE 70 END * 1000000 + 0.5) AS BIGINT) AS drift_micro FROM x""",

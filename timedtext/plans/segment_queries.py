@@ -113,7 +113,7 @@ ORACLE_SQL = {
     "marker_repetition": f"WITH {_M}, n AS (SELECT video_id, marker, count(*) AS n, sum(count(*)) OVER (PARTITION BY video_id)::BIGINT AS n_segments FROM m GROUP BY 1, 2) SELECT * FROM n WHERE marker <> '' AND n_segments >= 4 AND n > greatest(2, floor(n_segments * 0.1::DOUBLE))",
     "marker_runs": f"WITH {_M}, g AS (SELECT *, seq - row_number() OVER (PARTITION BY video_id, marker ORDER BY seq) AS run FROM m WHERE marker <> '') SELECT video_id, marker, min(seq) AS first_seq, count(*) AS n FROM g GROUP BY video_id, marker, run HAVING count(*) >= 2",
     "strip_markers": f"""WITH {_M}, x AS (SELECT *, CASE WHEN marker <> '' THEN regexp_replace(regexp_replace(narration, '(?i)^\\s*["''“”‘’(\\[]*\\s*(?:{OPENERS})', ''), '^[\\s,;:–—-]*', '') ELSE narration END AS rest, coalesce(event_no = lag(event_no) OVER {_W}, FALSE) AS same FROM m),
-y AS (SELECT *, same AND marker IN {GENERIC} AND trim(rest) <> '' AS stripped FROM x) SELECT video_id, seq, stripped, md5(CASE WHEN stripped THEN upper(left(rest, 1)) || substring(rest, 2) ELSE narration END) AS narration_md5 FROM y""",
+y AS (SELECT *, same AND marker IN {GENERIC} AND trim(rest) <> '' AS stripped FROM x) SELECT video_id, seq, stripped, md5(CASE WHEN stripped THEN replace(upper(left(rest, 1)), 'ẞ', 'SS') || substring(rest, 2) ELSE narration END) AS narration_md5 FROM y""",
     "chronology": f"""WITH {_S} SELECT video_id, seq, coalesce(event_no < lag(event_no) OVER w, FALSE) AS event_back, coalesce(start_ms < lag(start_ms) OVER w - 250, FALSE) AS time_back,
 coalesce(start_ms < max(start_ms) OVER (PARTITION BY video_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 250, FALSE) AS behind_latest FROM s WINDOW w AS {_W}""",
     "repeats_previous": rf"""WITH {_S}, p AS (SELECT *, lag(event_no) OVER w AS pe, list_distinct(regexp_extract_all(strip_accents(lower(narration)), '[\pL\pN\pM_]{{2,}}', 0)) AS a, list_distinct(regexp_extract_all(strip_accents(lower(lag(narration) OVER w)), '[\pL\pN\pM_]{{2,}}', 0)) AS b FROM s WINDOW w AS {_W}),
