@@ -123,9 +123,8 @@ def line_links(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     bands = sig.select("h1", F.explode(F.array(*key)).alias("key"))
     ends = bands.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), _chosen(_REPS).alias("reps")).where("low <> high").select("key", "reps")
     ends = scratch.table(ends, "buckets")
-    slots = ends.select(F.pmod("key", F.lit(_SLOTS)).alias("__slot")).distinct()
-    near = bands.join(F.broadcast(slots), F.pmod("key", F.lit(_SLOTS)) == F.col("__slot"), "left_semi")
-    members = scratch.table(near.join(ends.hint("merge"), "key"), "members")
+    # A hash join: sorting all rows of all bands would cost more than the table of the buckets that have two lines or more.
+    members = scratch.table(bands.join(ends.hint("shuffle_hash"), "key"), "members")
     sets, sketch = _shingle_sets(lines, members.select("h1").distinct(), scratch)
     star, links = _star(members, sketch, sets, scratch, "star")
     at = _placed(members, links, scratch, "star")
