@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedtext.llm import mixing, packing, quality_classifier, simhash
+from timedtext.llm import mixing, packing, quality_classifier
 from timedtext.llm.common import Scratch, crc32_mod
 from timedtext.llm.line_dedup import dedup_lines
+from timedtext.llm.near_copies import near_copies, text_key
 from timedtext.llm.queries import MIX_SEED, SOURCE_WEIGHTS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,10 +26,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id, and of equal rows with this id one."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("id = component_id").select("id").distinct()
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-copy group: the one with the smallest id, and of equal rows with this id one."""
+    scratch = Scratch(spark, "near-copies")
+    found = near_copies(docs, scratch).select(F.col("node").alias("key"), "root")
+    rows = docs.select("doc_id", text_key().alias("key")).groupBy("key").agg(F.min("doc_id").alias("low"))
+    first = rows.join(found.hint("merge"), "key", "left").groupBy(F.coalesce("root", "key").alias("c")).agg(F.min("low").alias("id")).select("id").distinct()
     return docs.join(first.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
@@ -43,7 +46,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality classifier", quality_stage),
     ("line dedup", line_stage),
-    ("SimHash near-dedup", simhash_stage),
+    ("near-dedup", near_stage),
     ("source mixing", mixing_stage),
     ("best-fit packing", packing_stage),
 ]

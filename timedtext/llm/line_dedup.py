@@ -8,6 +8,7 @@ by their exact shingle sets, links are closed by connected components, and one l
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ THRESHOLD = 0.8
 #: Points of each line of the Fano plane: any two lines share one point.
 BANDS = ((0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5))
 #: Members of a bucket that all others are compared with first, and words of a sketch.
-_REPS, _MORE_REPS, _WORDS = 8, 32, 16
+_REPS, _MORE_REPS, WORDS = 8, 32, 16
 _UNROLL = 8
 _SLOTS = 1 << 20
 
@@ -57,7 +58,7 @@ def _shingle_sets(lines: DataFrame, ids: DataFrame, scratch: Scratch) -> tuple[D
     rows = _shingle_rows(text, "h1").select("h1", F.array(*[f"__s{u}" for u in range(_UNROLL)]).alias("part"))
     sets = scratch.table(rows.groupBy("h1").agg(F.array_distinct(F.flatten(F.collect_list("part"))).alias("shingles")), "shingles")
     one = sets.select("h1", F.explode("shingles").alias("s")).select("h1", F.expr("shiftrightunsigned(s, 6) & 15").alias("word"), F.expr("shiftleft(1L, s & 63)").alias("bit"))
-    words = [F.bit_xor(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(_WORDS)]
+    words = [F.bit_xor(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS)]
     return sets, scratch.table(one.groupBy("h1").agg(F.count("*").alias("n"), *words), "sketches")
 
 
@@ -72,7 +73,7 @@ def _can_link() -> Column:
     (1 - t) / (1 + t) of both sizes together if the similarity is t or more: no similar pair is lost.
     """
     differ = F.lit(0)
-    for j in range(_WORDS):
+    for j in range(WORDS):
         differ = differ + F.bit_count(F.col(f"a_w{j}").bitwiseXOR(F.col(f"b_w{j}")))
     return differ <= (1 - THRESHOLD) / (1 + THRESHOLD) * (F.col("a_n") + F.col("b_n")) + 1e-6
 
@@ -111,21 +112,27 @@ def _placed(members: DataFrame, links: DataFrame, scratch: Scratch, name: str) -
 
 
 def line_links(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``(signatures, components)`` of ``lines(h1, h2, line)``; the second holds linked lines only: ``(node, root)``.
+    """``(signatures, components)`` of ``lines(h1, h2, line)``; the second holds linked lines only: ``(node, root)``."""
+    sig = scratch.table(signatures(lines), "signatures")
+    key = [F.xxhash64(F.lit(k), *[f"m{j}" for j in band]) for k, band in enumerate(BANDS)]
+    bands = sig.select("h1", F.explode(F.array(*key)).alias("key"))
+    return sig, linked(bands, lambda ids: _shingle_sets(lines, ids, scratch), scratch)
+
 
+def linked(bands: DataFrame, sets_of: Callable[[DataFrame], tuple[DataFrame, DataFrame]], scratch: Scratch) -> DataFrame:
+    """Components ``(node, root)`` of what shares a key in ``bands(h1, key)`` and has the wanted similarity.
+
+    ``sets_of`` gives the shingle sets and the sketches of the wanted ``h1``.
     All members of a band's bucket are first compared with eight of them, chosen by hash, and those still outside the main
     component with more members of it. What this leaves in different components of a bucket is then compared with each
     other, so that no pair is lost and a large family is joined without listing its pairs.
     Before shingle sets are fetched, pairs are held against the bound of their sketches inside the join.
     """
-    sig = scratch.table(signatures(lines), "signatures")
-    key = [F.xxhash64(F.lit(k), *[f"m{j}" for j in band]) for k, band in enumerate(BANDS)]
-    bands = sig.select("h1", F.explode(F.array(*key)).alias("key"))
     ends = bands.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), _chosen(_REPS).alias("reps")).where("low <> high").select("key", "reps")
     ends = scratch.table(ends, "buckets")
     # A hash join: sorting all rows of all bands would cost more than the table of the buckets that have two lines or more.
     members = scratch.table(bands.join(ends.hint("shuffle_hash"), "key"), "members")
-    sets, sketch = _shingle_sets(lines, members.select("h1").distinct(), scratch)
+    sets, sketch = sets_of(members.select("h1").distinct())
     star, links = _star(members, sketch, sets, scratch, "star")
     at = _placed(members, links, scratch, "star")
     # Members outside their bucket's main component meet more members of that component.
@@ -143,7 +150,7 @@ def line_links(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cross = scratch.table(cross.join(star.hint("merge"), ["a", "b"], "left_anti"), "cross")
     last = _verified(cross, sets, scratch, "cross")
-    return sig, components(links.unionByName(last), scratch, "cc")
+    return components(links.unionByName(last), scratch, "cc")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
