@@ -27,12 +27,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-copy group: the one with the smallest id, and of equal rows with this id one."""
+    """One row of each near-copy group: the first by id, text key and row key. Null ids come last; equal rows are one row."""
     scratch = Scratch(spark, "near-copies")
     found = near_copies(docs, scratch).select(F.col("node").alias("key"), "root")
-    rows = docs.select("doc_id", text_key().alias("key")).groupBy("key").agg(F.min("doc_id").alias("low"))
-    first = rows.join(found.hint("merge"), "key", "left").groupBy(F.coalesce("root", "key").alias("c")).agg(F.min("low").alias("id")).select("id").distinct()
-    return docs.join(first.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    # Hashes skip nulls, so that the row's key has to say where they are.
+    row = F.xxhash64(F.concat(*[F.col(c).isNull().cast("string") for c in COLUMNS]), *COLUMNS)
+    rows = docs.select(*COLUMNS, text_key().alias("key"), row.alias("row"))
+    first = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "row")).alias("at"))
+    first = first.join(found.hint("merge"), "key", "left").groupBy(F.coalesce("root", "key").alias("c")).agg(F.min("at").alias("at")).select("at.row")
+    return rows.join(first.hint("merge"), "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

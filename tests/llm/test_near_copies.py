@@ -59,3 +59,26 @@ def test_stage_equals_brute_force(spark):
     root = groups([(a, b) for a in range(len(rows)) for b in range(a) if similarity(sets[a], sets[b]) >= 0.8], range(len(rows)))
     got = corpus_pipeline.STAGES[2][1](spark, df, "")
     assert {r.doc_id for r in got.collect()} == set(root.values())
+
+
+def test_stage_keeps_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [
+        (None, text("a"), "en", None, 1),  # clean, without an id
+        (None, text("b"), None, "src1", 1),  # a copy of row 7: the id wins
+        (7, text("b"), None, "src1", 1),
+        (None, text("c"), "en", "src0", 1),  # two copies, both without an id: one stays
+        (None, text("c") + " tail", "en", "src0", 1),
+        (5, text("d"), "en", "src0", 1),  # one id, two texts: both stay
+        (5, text("e"), "en", "src0", 1),
+        (9, text("f"), "en", "src0", 1),  # equal rows: one stays
+        (9, text("f"), "en", "src0", 1),
+        (3, text("g"), None, "en", 1),  # the nulls' places matter
+        (4, text("g"), "en", None, 1),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 5):
+        got = [tuple(r) for r in corpus_pipeline.STAGES[2][1](spark, df.repartition(parts), "").collect()]
+        c = [r for r in got if r[1].startswith("c0")]
+        assert len(c) == 1 and c[0] in rows
+        assert sorted(map(str, set(got) - set(c))) == sorted(map(str, [rows[0], rows[2], rows[5], rows[6], rows[7], rows[9]])) and len(got) == 7
