@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -38,6 +40,8 @@ IDENTIFIERS = (
 CONTEXT, NEAR = 400, 60
 #: A candidate is novel if it costs this many bytes per character more than its context does.
 NOVELTY = 0.80
+#: Longer candidates are measured in parts of this length or more: beyond it the compressor learns the key's alphabet.
+PART = 128
 
 
 def _marginal(dictionary: zstandard.ZstdCompressionDict, text: bytes) -> int:
@@ -59,22 +63,53 @@ def _mixed(s: str) -> bool:
     return bool(re.search(r"[0-9]", s) and re.search(r"[A-Za-z]", s))
 
 
+def _novel(text: str, words: list[tuple[int, int]], covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Novel candidates near sensitive words or near another novel candidate, so that all lines of a key are followed."""
+    found = [m.span() for m in _CANDIDATE.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    tops = np.maximum.accumulate([b for _, b in sorted(covered)]).tolist() if covered else []
+    lows = sorted(a for a, _ in covered)
+
+    def span(a: int, b: int) -> tuple[int, int] | None:
+        # Words inside the candidate are cheap: what follows the first and the last of them is also measured by itself.
+        inner = ends[bisect_right(ends, a) : bisect_left(ends, b)]
+        for x in (a, *inner[:1], *inner[1:][-1:]):
+            k = bisect_left(lows, b)
+            if b - x < 12 or not _mixed(text[x:b]) or (k and tops[k - 1] > x):
+                continue
+            before, after = text[max(0, x - CONTEXT) : x], text[b : b + CONTEXT]
+            parts = max(1, (b - x) // PART)
+            cuts = [x + (b - x) * i // parts for i in range(parts + 1)]
+            if sum(novelty(text[c:d], before, after) * (d - c) for c, d in zip(cuts, cuts[1:])) >= NOVELTY * (b - x):
+                return x, b
+        return None
+
+    def near(a: int, b: int) -> bool:
+        """A word ends within NEAR characters before the candidate, begins within them after it, or touches it."""
+        k = bisect_left(ends, a - NEAR + 1)
+        return k < len(words) and starts[k] < b + NEAR
+
+    out = {k: span(*c) if near(*c) else None for k, c in enumerate(found)}
+    tried = {k for k, c in enumerate(found) if near(*c)}
+    for step in (1, -1):
+        edge = None
+        for k in range(len(found))[::step]:
+            a, b = found[k]
+            if k not in tried and edge is not None and (a - edge if step > 0 else edge - b) < NEAR:
+                tried.add(k)
+                out[k] = span(a, b)
+            if out[k]:
+                edge = out[k][1] if step > 0 else out[k][0]
+    return [x for x in out.values() if x]
+
+
 def scan(text: str | None) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` in code points, by start and then kind; base spans always stay."""
     text = text or ""
     spans = [(m.start(), m.end(), kind) for kind, (pattern, group, least) in BASE.items() for m in pattern.finditer(text) if len(m.group(group)) >= least]
-    covered = sorted(spans)
-    last = -1
-    for s in _SENSITIVE.finditer(text):
-        lo, hi = max(last, s.end()), s.end() + NEAR
-        for m in _CANDIDATE.finditer(text, s.end(), min(len(text), hi + 256)):
-            if m.start() >= hi:
-                break
-            if m.start() < lo or not _mixed(m.group()) or any(a < m.end() and m.start() < b for a, b, _ in covered):
-                continue
-            last = m.end()
-            if novelty(m.group(), text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT]) >= NOVELTY:
-                spans.append((m.start(), m.end(), "novel"))
+    words = [w.span() for w in _SENSITIVE.finditer(text)]
+    if words:
+        spans += [(a, b, "novel") for a, b in _novel(text, words, [x[:2] for x in spans])]
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(spans, key=lambda x: (x[0], order[x[2]]))
 
@@ -82,8 +117,9 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
 def find_secrets(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` of every row and ``spans``, an array of ``(start, end, kind)`` in code points.
 
-    Defined cases: null and empty texts have no spans; a candidate that overlaps a base span is not reported again; a
-    candidate is examined once, at the first sensitive word before it.
+    Candidates are examined whole, near a sensitive word before or after them or near a candidate that was reported.
+    Defined cases: null and empty texts have no spans; a candidate that overlaps a base span is not reported again; lines of
+    under 12 characters and those without a digit or a letter are no candidates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
