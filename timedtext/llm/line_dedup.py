@@ -1,8 +1,8 @@
 """Fuzzy line deduplication by MinHash, with DataFrame expressions only.
 
-Lines are compared by the Jaccard similarity of their sets of character shingles. Seven minima per line are combined along
-the seven lines of the Fano plane (three minima each), four more in all triples: eleven bands of eleven minima; colliding lines are verified
-by their exact shingle sets, links are closed by connected components, and one line of each component stays.
+Lines are compared by the Jaccard similarity of their sets of character shingles. Six minima per line form two triangles, each side
+of which is a band of two minima; colliding lines are verified by their exact shingle sets, links are closed by connected
+components, and one line of each component stays.
 """
 
 from __future__ import annotations
@@ -17,15 +17,16 @@ from .common import Scratch, components
 
 SHINGLE = 12
 THRESHOLD = 0.8
-#: Points of each line of the Fano plane: any two lines share one point.
-BANDS = ((0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5))
-#: All triples of four more minima: with them a pair at a similarity of 0.8 shares a band with a chance of 0.991.
-MORE_BANDS = ((7, 8, 9), (7, 8, 10), (7, 9, 10), (8, 9, 10))
-MINIMA = 11
-#: Members of a bucket that all others are compared with first, and words of a sketch.
-_REPS, _MORE_REPS, WORDS = 8, 32, 16
+#: Two triangles over six minima: a pair at a similarity of 0.8 agrees in two minima of one of them with a chance of 0.989.
+BANDS = ((0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5))
+MINIMA = 6
+#: Words of a sketch, and members of a bucket that are compared in one task.
+WORDS, _CHUNK = 16, 2000
 _UNROLL = 8
-_SLOTS = 1 << 20
+#: Up to this many ids (16 MB) are broadcast to fetch their lines; more are joined by a sort merge.
+_FEW_IDS = 2_000_000
+#: At most so many lines are told apart as frequent ones.
+_FREQUENT = 10_000
 
 
 def _shingle_rows(lines: DataFrame, *keys: str) -> DataFrame:
@@ -42,7 +43,7 @@ def _shingle_rows(lines: DataFrame, *keys: str) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: ``h1, h2`` (its hashes), ``n`` (occurrences) and the minima ``m0..m10``.
+    """One row per distinct line: ``h1, h2`` (its hashes), ``n`` (occurrences) and the minima ``m0..m5``.
 
     Each minimum has its own order of the hashes: an odd factor modulo 2^31 lets all lower bits decide about the top ones.
     """
@@ -55,12 +56,11 @@ def signatures(lines: DataFrame) -> DataFrame:
 def _shingle_sets(lines: DataFrame, ids: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """``(h1, shingles)`` and ``(h1, n, w0..w15)`` of the lines in ``ids(h1)``: distinct shingle hashes, their number and a sketch.
 
-    The sketch has a bit for each of 1,024 slots: whether an odd number of the line's shingles falls there. Text is shuffled
-    for these lines only: a first cut by at most ``_SLOTS`` slot numbers, then the exact semi join.
+    The sketch has a bit for each of 1,024 slots: whether an odd number of the line's shingles falls there.
     """
-    slots = ids.select(F.pmod("h1", F.lit(_SLOTS)).alias("__slot")).distinct()
-    near = lines.select("h1", "line").join(F.broadcast(slots), F.pmod("h1", F.lit(_SLOTS)) == F.col("__slot"), "left_semi")
-    text = near.join(ids.hint("merge"), "h1", "left_semi").groupBy("h1").agg(F.max("line").alias("line"))
+    ids = scratch.table(ids, "ids")
+    wanted = F.broadcast(ids) if ids.count() <= _FEW_IDS else ids.hint("merge")
+    text = lines.select("h1", "line").join(wanted, "h1", "left_semi").groupBy("h1").agg(F.max("line").alias("line"))
     rows = _shingle_rows(text, "h1").select("h1", F.array(*[f"__s{u}" for u in range(_UNROLL)]).alias("part"))
     sets = scratch.table(rows.groupBy("h1").agg(F.array_distinct(F.flatten(F.collect_list("part"))).alias("shingles")), "shingles")
     one = sets.select("h1", F.explode("shingles").alias("s")).select("h1", F.expr("shiftrightunsigned(s, 6) & 15").alias("word"), F.expr("shiftleft(1L, s & 63)").alias("bit"))
@@ -72,55 +72,87 @@ def _side(sketch: DataFrame, side: str) -> DataFrame:
     return sketch.select(F.col("h1").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in sketch.columns if c != "h1"])
 
 
+def _differ() -> Column:
+    """Slots whose parities differ."""
+    differ = F.lit(0)
+    for j in range(WORDS):
+        differ = differ + F.bit_count(F.col(f"a_w{j}").bitwiseXOR(F.col(f"b_w{j}")))
+    return differ
+
+
 def _can_link() -> Column:
     """Bound on the similarity of the sets behind two sketches.
 
     Slots whose parities differ are at most as many as the shingles that only one of the lines has, and these are at most
     (1 - t) / (1 + t) of both sizes together if the similarity is t or more: no similar pair is lost.
     """
-    differ = F.lit(0)
-    for j in range(WORDS):
-        differ = differ + F.bit_count(F.col(f"a_w{j}").bitwiseXOR(F.col(f"b_w{j}")))
-    return differ <= (1 - THRESHOLD) / (1 + THRESHOLD) * (F.col("a_n") + F.col("b_n")) + 1e-6
+    return _differ() <= (1 - THRESHOLD) / (1 + THRESHOLD) * (F.col("a_n") + F.col("b_n")) + 1e-6
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Those of the distinct ``pairs(a, b)`` whose shingle sets have the wanted similarity."""
+    """Those of the distinct ``pairs(a, b, ...)`` whose shingle sets have the wanted similarity."""
+    ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), f"{name}-ids")
+    if ids.count() <= _FEW_IDS:
+        sets = sets.join(F.broadcast(ids), "h1", "left_semi")
     a = sets.select(F.col("h1").alias("a"), F.col("shingles").alias("__a"))
     b = sets.select(F.col("h1").alias("b"), F.col("shingles").alias("__b"))
     both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
-    both = both.select("a", "b", F.size("__a").alias("na"), F.size("__b").alias("nb"), F.size(F.array_intersect("__a", "__b")).alias("shared"))
+    both = both.select(*pairs.columns, F.size("__a").alias("na"), F.size("__b").alias("nb"), F.size(F.array_intersect("__a", "__b")).alias("shared"))
     # Written before the filter, which would be pushed into the join and intersect the sets once more.
     both = scratch.table(both, f"{name}-shared")
-    return both.where(F.col("shared") >= THRESHOLD * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    return both.where(F.col("shared") >= THRESHOLD * (F.col("na") + F.col("nb") - F.col("shared"))).select(*pairs.columns)
 
 
-def _chosen(n: int) -> Column:
-    """Up to ``n`` members of a group: the lowest after flipping some bits is a different one for each mask."""
-    rnd = random.Random(21)
-    masks = [0, *(rnd.getrandbits(63) for _ in range(n - 1))]
-    return F.array_distinct(F.array(*[F.min(F.col("h1").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)) for c in masks]))
-
-
-def _star(members: DataFrame, sketch: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """The pairs of ``members(h1, reps)`` with their representatives, and those of them that link."""
-    star = members.select(F.col("h1").alias("a"), F.explode("reps").alias("b")).where("a <> b")
-    star = scratch.table(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+def _star(members: DataFrame, sketch: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between the members of a bucket and the first and the last of them."""
+    star = members.select(F.col("h1").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
+    star = scratch.table(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
     fits = star.join(_side(sketch, "a").hint("merge"), "a").join(_side(sketch, "b").hint("merge"), "b").where(_can_link()).select("a", "b")
-    return star, scratch.table(_verified(scratch.table(fits, f"{name}-fits"), sets, scratch, name), f"{name}-links")
+    return _verified(scratch.table(fits, "star-fits"), sets, scratch, "star")
 
 
-def _placed(members: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """``(key, h1, c)``: each member of a bucket with its component so far."""
-    found = components(links, scratch, f"{name}-cc").select(F.col("node").alias("h1"), "root")
-    at = members.select("key", "h1").join(found.hint("merge"), "h1", "left").select("key", "h1", F.coalesce("root", "h1").alias("c"))
-    return scratch.table(at, f"{name}-placed")
+def _across(placed: DataFrame, sketch: DataFrame, sets: DataFrame, scratch: Scratch, name: str, nearest: bool) -> DataFrame:
+    """Links ``(a, b)`` between components, as their names, of a bucket in ``placed(key, h1, low, high, c)``.
+
+    The first and the last member have been compared with all others. The rest of a bucket that is not one component yet is
+    cut into chunks by hash, and each pair of chunks is a group of its own, so that no bucket is one task's work. With
+    ``nearest`` each member is held only against the one with the most similar sketch, otherwise against all.
+    """
+    open_ = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("k")).where("x <> y and k > 3")
+    open_ = scratch.table(open_.select("key", F.ceil(F.col("k") / _CHUNK).cast("int").alias("chunks")), f"{name}-buckets")
+    rows = placed.where("h1 <> low and h1 <> high").join(open_.hint("merge"), "key").withColumn("own", F.pmod(F.hash("h1"), F.col("chunks")))
+    rows = scratch.table(rows.select("key", "h1", "c", "chunks", "own").join(sketch.hint("merge"), "h1"), f"{name}-open")
+    left = rows.withColumn("y", F.explode(F.sequence(F.col("own"), F.col("chunks") - 1))).withColumnRenamed("own", "x")
+    right = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumnRenamed("own", "y")
+    left, right = _side(left.drop("chunks"), "a"), _side(right.drop("chunks"), "b")
+    same = (F.col("a_key") == F.col("b_key")) & (F.col("a_x") == F.col("b_x")) & (F.col("a_y") == F.col("b_y"))
+    once = (F.col("a_x") < F.col("a_y")) | (F.col("a") < F.col("b"))
+    cross = left.join(right.hint("merge"), same & once & (F.col("a_c") != F.col("b_c")) & _can_link())
+    if nearest:
+        to = F.struct("b", F.col("a_c").alias("ca"), F.col("b_c").alias("cb"))
+        cross = cross.groupBy("a").agg(F.min_by(to, F.struct(_differ() / (F.col("a_n") + F.col("b_n")), "b")).alias("to")).select("a", "to.*")
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *([F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")] if nearest else [F.least("a_c", "b_c").alias("ca"), F.greatest("a_c", "b_c").alias("cb")]))
+    cross = scratch.table(cross.distinct(), name)
+    return _verified(cross, sets, scratch, name).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+
+def _placed(members: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``members`` with ``c``, the component of each so far."""
+    at = members.join(found.withColumnRenamed("node", "h1").hint("merge"), "h1", "left")
+    return scratch.table(at.select("key", "h1", "low", "high", F.coalesce("root", "h1").alias("c")), name)
+
+
+def _merged(found: DataFrame, joined: DataFrame) -> DataFrame:
+    """Components ``found`` after ``joined`` has joined some of them, or of the members that had none."""
+    every = found.unionByName(joined.select("node", F.col("node").alias("root"))).distinct()
+    top = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return every.join(top.hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
 def line_links(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """``(signatures, components)`` of ``lines(h1, h2, line)``; the second holds linked lines only: ``(node, root)``."""
     sig = scratch.table(signatures(lines), "signatures")
-    key = [F.xxhash64(F.lit(k), *[f"m{j}" for j in band]) for k, band in enumerate((*BANDS, *MORE_BANDS))]
+    key = [F.xxhash64(F.lit(k), *[f"m{j}" for j in band]) for k, band in enumerate(BANDS)]
     bands = sig.select("h1", F.explode(F.array(*key)).alias("key"))
     return sig, linked(bands, lambda ids: _shingle_sets(lines, ids, scratch), scratch)
 
@@ -129,66 +161,74 @@ def linked(bands: DataFrame, sets_of: Callable[[DataFrame], tuple[DataFrame, Dat
     """Components ``(node, root)`` of what shares a key in ``bands(h1, key)`` and has the wanted similarity.
 
     ``sets_of`` gives the shingle sets and the sketches of the wanted ``h1``.
-    All members of a band's bucket are first compared with eight of them, chosen by hash, and those still outside the main
-    component with more members of it. What this leaves in different components of a bucket is then compared with each
-    other, so that no pair is lost and a large family is joined without listing its pairs.
-    Before shingle sets are fetched, pairs are held against the bound of their sketches inside the join.
+    All members of a band's bucket are first compared with its first and its last one. Then only members of different
+    components of a bucket are compared, each with its nearest one at first and with all that are still apart at last, so that
+    no link is lost and a large family is joined without listing its pairs. Before shingle sets are fetched, pairs are
+    held against the bound of their sketches inside the join.
     """
-    ends = bands.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), _chosen(_REPS).alias("reps")).where("low <> high").select("key", "reps")
+    ends = bands.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
     ends = scratch.table(ends, "buckets")
     # A hash join: sorting all rows of all bands would cost more than the table of the buckets that have two lines or more.
     members = scratch.table(bands.join(ends.hint("shuffle_hash"), "key"), "members")
     sets, sketch = sets_of(members.select("h1").distinct())
-    star, links = _star(members, sketch, sets, scratch, "star")
-    at = _placed(members, links, scratch, "star")
-    # Members outside their bucket's main component meet more members of that component.
-    parts = at.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("k"), F.count("*").alias("parts"))
-    main = scratch.table(parts.where(f"parts > 1 and k > {_REPS}").select("key", "main"), "main")
-    near = scratch.table(at.join(main.hint("merge"), "key"), "near-main")
-    reps = near.where("c = main").groupBy("key").agg(_chosen(_MORE_REPS).alias("reps"))
-    tried, more = _star(near.where("c <> main").join(reps.hint("merge"), "key"), sketch, sets, scratch, "more")
-    star, links = star.unionByName(tried), links.unionByName(more)
-    at = _placed(members, links, scratch, "more")
-    split = at.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("k")).where("x <> y and k > 2").select("key")
-    open_ = scratch.table(at.join(split.hint("merge"), "key", "left_semi").join(sketch.hint("merge"), "h1"), "open")
-    left, right = _side(open_, "a"), _side(open_, "b")
-    cross = left.join(right.hint("merge"), (F.col("a_key") == F.col("b_key")) & (F.col("a_c") < F.col("b_c")) & _can_link())
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = scratch.table(cross.join(star.hint("merge"), ["a", "b"], "left_anti"), "cross")
-    last = _verified(cross, sets, scratch, "cross")
-    return components(links.unionByName(last), scratch, "cc")
+    found = scratch.table(components(_star(members, sketch, sets, scratch), scratch, "star-cc"), "star-found")
+    for name, nearest in (("near", True), ("cross", False)):
+        placed = _placed(members, found, scratch, f"{name}-placed")
+        joined = scratch.table(components(_across(placed, sketch, sets, scratch, name, nearest), scratch, f"{name}-cc"), f"{name}-joined")
+        found = scratch.table(_merged(found, joined), f"{name}-found")
+    return found
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents without the lines that repeat, exactly or nearly, an earlier line of the corpus.
 
-    Adds ``n_lines`` (lines before), ``n_dropped`` and replaces the text; all other columns stay as they are. Lines are
-    split at ``\\n`` and compared without outer blanks; near means a Jaccard similarity of 0.8 or more over 12-character
-    shingles. The line kept of a component is its first by id, text hash and position. Defined cases: a null text stays
-    null; blank lines always stay; a document all of whose lines go keeps its row with an empty text; rows with equal id
-    and text are one document and lose the same lines; a null id sorts first. Two lines that differ share a 64-bit hash
-    with a chance of n**2 / 2**65. Measured recall of the bands is 0.997 at similarities of 0.80 to 0.85.
+    Adds ``n_lines`` (lines before), ``n_dropped`` and replaces the text; all other columns stay as they are, and columns of
+    the two names are replaced. Lines are split at ``\\n`` and compared without outer blanks; near means a Jaccard similarity of
+    0.8 or more over 12-character shingles. The line kept of a component is its first by id, text hash and position.
+    Defined cases: a null text stays null; blank lines always stay; a document all of whose lines go keeps its row with an
+    empty text; rows with equal id and text are one document and lose the same lines; a null id sorts first; ids may be of
+    any type that has an order. Two lines that differ share a 64-bit hash with a chance of n**2 / 2**65.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    base = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__th"), F.col(text_col).alias("__t"))
-    every = base.select("__id", "__th", F.posexplode(F.split("__t", "\n")).alias("__pos", "__raw"))
-    every = every.select("__id", "__th", "__pos", F.btrim("__raw", F.lit(" \t\r\x0b\x0c")).alias("line"))
-    filled = every.where("line <> ''").select("__id", "__th", "__pos", "line", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
+    every = base.select("id", "th", F.posexplode(F.split("t", "\n")).alias("pos", "raw"))
+    every = every.select("id", "th", "pos", F.btrim("raw", F.lit(" \t\r\x0b\x0c")).alias("line"))
+    filled = every.where("line <> ''").select("id", "th", "pos", "line", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
+    # Three steps read the lines; the last one needs their hashes only.
+    filled = scratch.table(filled, "filled")
     sig, found = line_links(filled.select("h1", "h2", "line"), scratch)
     classes = sig.select("h1", "h2", "n").join(found.select(F.col("node").alias("h1"), "root").hint("merge"), "h1", "left")
-    classes = classes.where("n > 1 or root is not null").select("h1", "h2", F.when(F.col("root").isNull(), F.xxhash64("h1", "h2")).otherwise(F.xxhash64("root")).alias("c"))
-    placed = filled.select("__id", "__th", "__pos", "h1", "h2").join(classes.hint("merge"), ["h1", "h2"]).select("c", F.struct("__id", "__th", "__pos").alias("at"))
-    placed = scratch.table(placed, "occurrences")
-    owner = placed.groupBy("c").agg(F.min("at").alias("first"))
-    dropped = placed.join(owner.hint("merge"), "c").where(~F.col("at").eqNullSafe(F.col("first"))).select("at.*")
-    gone = dropped.distinct().groupBy("__id", "__th").agg(F.collect_list("__pos").alias("__gone"))
-    gone = scratch.table(gone, "gone").select(F.col("__id").alias("__gid"), F.col("__th").alias("__gth"), "__gone")
-    out = docs.withColumn("__th", F.xxhash64(text_col))
-    out = out.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__gid")) & (F.col("__th") == F.col("__gth")), "left")
+    classes = classes.where("n > 1 or root is not null").select("h1", "h2", "n", F.when(F.col("root").isNull(), F.xxhash64("h1", "h2")).otherwise(F.xxhash64("root")).alias("c"))
+    placed = scratch.table(_occurrences(filled.drop("line"), scratch.table(classes, "classes"), scratch), "occurrences")
+    scratch.drop("filled")
+    first = placed.groupBy("c").agg(F.min(F.struct("id", "th", "pos")).alias("at")).select("at.*")
+    # A document's lines that have a class, less those that are the first of theirs.
+    both = placed.select("id", "th", F.col("pos").alias("seen"), F.lit(None).cast("int").alias("first")).unionByName(first.select("id", "th", F.lit(None).cast("int").alias("seen"), F.col("pos").alias("first")))
+    gone = both.groupBy("id", "th").agg(F.array_except(F.collect_set("seen"), F.collect_set("first")).alias("gone"))
+    gone = scratch.table(gone.where("size(gone) > 0"), "gone").select(F.col("id").alias("gid"), F.col("th").alias("gth"), "gone")
+    # The row is one column, so that no name of the caller's meets one of ours.
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("th"))
+    out = out.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
     # The split text is used several times below, so that Spark keeps it as a column of its own.
-    out = out.withColumn("__parts", F.split(text_col, "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__parts", i)), "\n"))
-    n_lines = F.when(F.col(text_col).isNotNull(), F.size("__parts")).alias("n_lines")
-    kept = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*kept, n_lines, F.coalesce(F.size("__gone"), F.lit(0)).alias("n_dropped"))
+    out = out.withColumn("parts", F.split("t", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n"))
+    n_lines = F.when(F.col("t").isNotNull(), F.size("parts")).alias("n_lines")
+    kept = [text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*kept, n_lines, F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"))
+
+
+def _occurrences(filled: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(id, th, pos, c)`` of the lines in ``classes(h1, h2, n, c)``.
+
+    Lines with more than 1 / ``_FREQUENT`` of all occurrences are less than ``_FREQUENT`` by that bound: they are broadcast to tell
+    their occurrences, which are dealt over salts, so that no key of the join is hot.
+    """
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    frequent = classes.where(F.col("n") > max(1000, total // _FREQUENT))
+    mark = F.broadcast(frequent.select(F.col("h1").alias("f1"), F.col("h2").alias("f2")))
+    rows = filled.join(mark, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left")
+    rows = rows.select("id", "th", "pos", "h1", "h2", F.when(F.col("f1").isNull(), 0).otherwise(F.pmod(F.hash("th", "pos"), F.lit(64))).alias("salt"))
+    salts = F.when(F.col("n") > max(1000, total // _FREQUENT), 64).otherwise(1)
+    dealt = classes.select("h1", "h2", "c", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return rows.join(dealt.hint("merge"), ["h1", "h2", "salt"]).select("id", "th", "pos", "c")
