@@ -22,42 +22,50 @@ _KINDS = str.maketrans({**{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A"
 
 def _shape(word: str) -> str:
     """The word's shape: letters by case, digits, other characters as they are, runs shortened."""
-    s = word[:64].translate(_KINDS)
+    s = word.translate(_KINDS)
     if not s.isascii():
         s = "".join("a" if c.islower() else "A" if c.isupper() else c for c in s)
     return _RUN.sub(r"\1", s)
 
 
 class _Words(dict):
-    """Hashes of a word and of its shape, kept for words seen; emptied before it grows large."""
+    """Hashes of a word and of its shape, kept for short words seen; emptied before it grows large."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) > 300_000:
-            self.clear()
-        got = self[word] = (xxhash.xxh64_intdigest(word.lower(), 1), xxhash.xxh64_intdigest(_shape(word), 2))
+        got = (xxhash.xxh64_intdigest(word.lower(), 1), xxhash.xxh64_intdigest(_shape(word), 2))
+        if len(word) <= 40:
+            if len(self) > 300_000:
+                self.clear()
+            self[word] = got
         return got
 
 
 _SEEN = _Words()
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse vector of a whole text: buckets of word unigrams and bigrams, of the same over word shapes, and of repeats.
-
-    Values are ``log(1 + count)``, scaled to length one. A text without words has only the bias bucket 0.
-    """
+def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of a whole text by bucket: of word unigrams and bigrams, of the same over word shapes, and of repeats."""
     words = (text or "").split()
     if not words:
-        return np.zeros(1, np.int64), np.ones(1)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = np.array([_SEEN[w] for w in words], np.uint64)
     word, shape = h[:, 0], h[:, 1]
     k, mul = np.uint64(64 - BITS), np.uint64(0x9E3779B97F4A7C15)
     same = np.array([0x51ED, 0xA3B1], np.uint64)[(word[1:] == word[:-1]).astype(int)]
     parts = [word, word[:-1] * np.uint64(31) + word[1:], shape, shape[:-1] * np.uint64(31) + shape[1:], same]
     buckets = np.concatenate([(p * mul) >> k for p in parts]).astype(np.int64)
-    index, count = np.unique(buckets, return_counts=True)
+    return np.unique(buckets, return_counts=True)
+
+
+def vector(index: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values ``log(1 + count)``, scaled to length one, and the bias in bucket 0."""
     value = np.log1p(count)
-    return np.append(index, 0), np.append(value / np.sqrt((value**2).sum()), 1.0)
+    return np.append(index, 0), np.append(value / np.sqrt(max(1e-300, (value**2).sum())), 1.0)
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse vector of a whole text; one without words has only the bias."""
+    return vector(*counts(text))
 
 
 @dataclass(frozen=True)
@@ -92,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), train_rows: int =
     """Weights from at most ``train_rows`` rows of ``labels(doc_id, quality)``, the lowest by the hash of their id.
 
     ``docs`` has ``doc_id`` and ``text``. Labels that are null count as missing; of texts with the same id the smallest is
-    taken. With no labelled row all weights are 0, and every score is one half.
+    taken. With no labelled row all weights are 0, and every score is one half. Vectors are built where the texts are; the one
+    training task gets the vectors of the bounded sample.
     """
     some = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("__y"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
@@ -100,23 +109,27 @@ def fit(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), train_rows: int =
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i for i, _ in x], pa.list_(pa.int64())), pa.array([v for _, v in x], pa.list_(pa.float64()))], ["k", "y", "i", "v"])
+            x = [counts(t.as_py()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([p[k] for p in x], pa.list_(pa.int32())) for k in (0, 1)]], ["k", "y", "i", "n"])
 
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*frames, pd.DataFrame({"k": [], "y": [], "i": [], "v": []})]).sort_values("k")
+        rows = pd.concat([*frames, pd.DataFrame({"k": [], "y": [], "i": [], "n": []})]).sort_values("k")
         order = np.random.default_rng(7).permutation(len(rows))
-        x = [(np.asarray(i), np.asarray(v)) for i, v in zip(rows["i"], rows["v"])]
+        x = [vector(np.asarray(i, np.int64), np.asarray(n, np.int64)) for i, n in zip(rows["i"], rows["n"])]
         w = train_ftrl([x[o] for o in order], rows["y"].to_numpy(float)[order], p)
         yield pd.DataFrame({"w": [w.astype(np.float32).tobytes()]})
 
-    sparse = text.select(F.col("doc_id").cast("long"), F.col("__y").cast("int"), "text").mapInArrow(vectors, "k long, y int, i array<long>, v array<double>")
-    got = sparse.coalesce(1).mapInPandas(train, "w binary").first()
+    sparse = text.select(F.xxhash64("doc_id").alias("k"), F.col("__y").cast("int"), "text").mapInArrow(vectors, "k long, y int, i array<int>, n array<int>")
+    got = sparse.repartition(1).mapInPandas(train, "w binary").first()
     return np.frombuffer(got["w"], np.float32).astype(float) if got else np.zeros(1 << BITS)
 
 
 def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of every row and ``score``, the probability of label 1; null texts score as empty ones."""
+    """Columns ``keep`` of every row and ``score``, the probability of label 1; null texts score as empty ones.
+
+    A kept column of that name is replaced; an empty table gives an empty result; repeated rows score alike.
+    """
+    keep = [c for c in keep if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
