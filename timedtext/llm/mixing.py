@@ -25,13 +25,18 @@ def seeded_uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key)), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+#: Rates above this are drawn as a sum of independent draws, so that no distribution table is longer than some hundred numbers.
+MOST_RATE = 256.0
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0, seed: int = 3, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Each row as many times as a Poisson draw says, in a globally shuffled order.
 
     ``weights`` are the wanted shares of the sources named in it, scaled to 1. The mean number of copies of a document is
     its source's share times ``epochs`` times the documents of all named sources, divided by the source's documents. The draw
     inverts the distribution function at a number hashed from seed and id, so that a rerun or a retried task gives the
-    same copies. Adds ``copy`` (from 0), ``rate`` and ``shuffle_key``; rows are sorted by that key over all partitions.
+    same copies. Adds ``copy`` (from 0), ``rate`` and ``shuffle_key`` and replaces columns of these names; rows are sorted by that
+    key over all partitions.
     Defined cases: rows whose source is null or not named are left out; sources without rows get nothing, and their
     share goes to the others in proportion; rows with equal ids get equal draws; a null id hashes as the empty text; an
     empty table gives an empty result. Only one count per named source reaches the driver.
@@ -40,14 +45,20 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0,
     counts = {r["s"]: r["n"] for r in docs.where(F.col(source_col).isin(list(named))).groupBy(F.col(source_col).alias("s")).agg(F.count("*").alias("n")).collect()}
     total, share = sum(counts.values()), sum(named[s] for s in counts)
     rates = {s: named[s] / share * epochs * total / n for s, n in sorted(counts.items())}
-    u = seeded_uniform(F.coalesce(F.col(id_col).cast("string"), F.lit("")), seed)
+    doc, draw, number = F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__u", "__copies"
+    while {draw, number} & set(docs.columns):
+        draw, number = f"_{draw}", f"_{number}"
     rate, copies = F.lit(0.0), F.lit(0)
     for s, r in rates.items():
         here = F.col(source_col) == s
         rate = F.when(here, F.lit(r)).otherwise(rate)
-        table = poisson_table(r)
-        copies = F.when(here, F.size(F.filter(F.array(*[F.lit(p) for p in table]), lambda p: p <= F.col("__u")))).otherwise(copies)
-    drawn = docs.withColumn("__u", u).withColumn("rate", rate).withColumn("__copies", copies)
-    drawn = drawn.where("__copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+        parts = max(1, math.ceil(r / MOST_RATE))
+        table = F.array(*[F.lit(p) for p in poisson_table(r / parts)])
+        one = F.size(F.filter(table, lambda p: p <= F.col(draw)))
+        for_part = lambda j, table=table: F.size(F.filter(table, lambda p: p <= seeded_uniform(F.concat_ws("|", doc, j.cast("string")), seed)))
+        more = F.aggregate(F.sequence(F.lit(1), F.lit(parts - 1)), one, lambda n, j: n + for_part(j)) if parts > 1 else one
+        copies = F.when(here, more).otherwise(copies)
+    drawn = docs.withColumn(draw, seeded_uniform(doc, seed)).withColumn("rate", rate).withColumn(number, copies)
+    drawn = drawn.where(F.col(number) > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(number) - 1)))
     key = F.md5(F.concat_ws("|", F.lit(f"{seed}s"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string")))
-    return drawn.withColumn("shuffle_key", key).drop("__u", "__copies").orderBy("shuffle_key")
+    return drawn.withColumn("shuffle_key", key).drop(draw, number).orderBy("shuffle_key")

@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from .common import Scratch
 
 LENGTH, END = 1024, 2
+#: Columns that the operator adds; kept columns of these names are replaced.
+_OWN = ("piece", "start", "length", "ids_crc32", "ids", "item", "shard", "sequence_id", "offset")
 _CACHE: dict = {}
 
 
@@ -48,6 +50,7 @@ def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, keep: list[str], text_col: str = "text", length: int = LENGTH, end: int = END, vocabulary: tuple | None = None, with_ids: bool = False) -> DataFrame:
     """Columns ``keep`` and ``piece, start, length, ids_crc32`` of every piece of every row; with its ``ids`` if wanted."""
+    keep = [c for c in keep if c not in _OWN]
     spec = vocabulary or default_tokenizer()
     kinds = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
 
@@ -128,7 +131,7 @@ def pack(docs: DataFrame, keep: list[str], text_col: str = "text", length: int =
     A full piece is a sequence of its own. The others are dealt by a hash over shards of about ``shard`` pieces, each packed by
     best-two-fit; a shard ends with at most one loosely filled sequence. Only lengths take part: texts and ids are not
     shuffled. Defined cases: a null or empty text is one piece with the end id alone; repeated rows are packed once per
-    row; an empty table gives an empty result.
+    row; an empty table gives an empty result; kept columns with names of the result are replaced.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     cutted = scratch.table(pieces(docs, keep, text_col, length, end, vocabulary, with_ids).withColumn("item", F.monotonically_increasing_id()), "pieces")
