@@ -50,6 +50,19 @@ def crc32_mod(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % n
 
 
+def with_lowest(rows: DataFrame, group: str, value: str, out: str, spread: str) -> DataFrame:
+    """``rows`` with ``out``, the lowest ``value`` of each ``group``; nulls count only where a group has nothing else.
+
+    A group's rows are dealt over 64 salts by a hash of ``spread``, and the minimum of the group is joined to its salts first:
+    the join with the rows has no hot key, however large a group is.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(64)).cast("int"))
+    part = salted.groupBy(group, "__salt").agg(F.min(value).alias("__low"))
+    low = part.groupBy(F.col(group).alias("__group")).agg(F.min("__low").alias(out))
+    low = part.select(group, "__salt").join(low.hint("merge"), F.col(group) == F.col("__group")).select(F.col(group).alias("__group"), F.col("__salt").alias("__own"), out)
+    return salted.join(low.hint("merge"), (F.col(group) == F.col("__group")) & (F.col("__salt") == F.col("__own"))).drop("__salt", "__group", "__own")
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` by alternating large-star and small-star joins: ``(node, root)``.
 

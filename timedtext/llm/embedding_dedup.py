@@ -1,10 +1,11 @@
 """Near-duplicate embeddings: exact cosine pairs by a dual traversal of a cover tree.
 
 On the unit sphere a cosine of at least c is a distance of at most ``sqrt(2 - 2c)``. A cover tree with halving radii is
-built over a bounded sample; every vector then belongs to the node of the deepest level that is nearest to it, and the covering
-radius of a node is the largest distance in all data, not in the sample. The tree is traversed against itself: a pair of
-nodes is pruned when its centres are further apart than both covering radii and the threshold together. Single vectors
-are pruned against the remaining partners in the same way before they are sent to them.
+built over a bounded sample; at each level every vector belongs to the nearest node, and the covering radius of a node is the
+largest distance in all data, not in the sample. The tree is traversed against itself: a pair of nodes is pruned when its
+centres are further apart than both covering radii and the threshold together. The traversal ends at the level at which
+sending and comparing what is left costs least. Single vectors are pruned against the remaining partners in the same way
+before they are sent to them.
 """
 
 from __future__ import annotations
@@ -17,63 +18,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, with_lowest
 
-_SLACK = 1e-9
+#: Bounds are widened by this, as distances come from rounded cosines.
+_SLACK = 1e-6
+#: Comparisons that cost as much as sending one vector.
+_SEND = 2000
+#: Vectors of a length with no more rows than this are one leaf without a tree.
+_FEW = 64
+_ROWS = 1000
 
 
 def _unit(rows: list) -> np.ndarray:
+    """Unit vectors; the largest component is scaled to one first, so that no square overflows or vanishes."""
     v = np.asarray(rows, np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * a @ b.T))
+
+
 def cover_levels(points: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Nested levels of a cover tree: ``(members, parent of each member in the level above)``, by halving radii from 2.
 
-    A level has every member of the level above; its members are further apart than its radius, and every point is within
+    A level begins with the members of the level above; its members are further apart than its radius, and every point is within
     the radius of one. It stops before a level has more than ``most`` members.
     """
     levels = [(np.array([0]), np.array([0]))] if len(points) else []
-    radius = 1.0
+    radius, far = 1.0, _distance(points, points[:1])[:, 0] if len(points) else None
     while levels and radius > 1 / 64:
         members = list(levels[-1][0])
-        far = np.min(np.linalg.norm(points[:, None] - points[members][None], axis=2), axis=1) if len(members) * len(points) < 1e6 else np.min([np.linalg.norm(points - points[m], axis=1) for m in members], axis=0)
-        while len(members) <= most:
-            i = int(np.argmax(far))
-            if far[i] <= radius:
-                break
+        while len(members) <= most and far[i := int(np.argmax(far))] > radius:
             members.append(i)
-            far = np.minimum(far, np.linalg.norm(points - points[i], axis=1))
+            far = np.minimum(far, _distance(points, points[i : i + 1])[:, 0])
         if len(members) > most:
             break
-        above = levels[-1][0]
-        near = np.argmin(np.stack([np.linalg.norm(points[members] - points[a], axis=1) for a in above]), axis=0)
-        levels.append((np.array(members), near))
+        levels.append((np.array(members), np.argmax(points[members] @ points[levels[-1][0]].T, axis=1)))
         radius /= 2
     return levels
 
 
-def surviving_pairs(levels: list[tuple[np.ndarray, np.ndarray]], points: np.ndarray, reach: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+def surviving_pairs(levels: list[tuple[np.ndarray, np.ndarray]], points: np.ndarray, reach: np.ndarray, threshold: float) -> np.ndarray:
     """Dual traversal: pairs ``i <= j`` of nodes of the deepest level that no bound prunes. ``reach``: their covering radii."""
     if not levels:
-        return []
+        return np.zeros((0, 2), np.int64)
     cover = [reach]
     for k in range(len(levels) - 1, 0, -1):
         members, parent = levels[k]
+        above = points[levels[k - 1][0][parent]]
         up = np.zeros(len(levels[k - 1][0]))
-        np.maximum.at(up, parent, cover[0] + np.linalg.norm(points[members] - points[levels[k - 1][0][parent]], axis=1))
+        np.maximum.at(up, parent, cover[0] + np.sqrt(np.maximum(0, 2 - 2 * (points[members] * above).sum(axis=1))))
         cover.insert(0, up)
-    pairs = [(0, 0)]
+    pairs = np.zeros((1, 2), np.int64)
     for k in range(1, len(levels)):
-        children = [np.flatnonzero(levels[k][1] == i) for i in range(len(levels[k - 1][0]))]
-        at, r = points[levels[k][0]], cover[k]
-        below = set()
+        n = len(levels[k][0])
+        order = np.argsort(levels[k][1], kind="stable")
+        bounds = np.searchsorted(levels[k][1][order], np.arange(len(levels[k - 1][0]) + 1))
+        at, r, below = points[levels[k][0]], cover[k], []
         for i, j in pairs:
-            d = np.linalg.norm(at[children[i]][:, None] - at[children[j]][None], axis=2)
-            for a, b in np.argwhere(d <= r[children[i]][:, None] + r[children[j]][None] + threshold + _SLACK):
-                x, y = int(children[i][a]), int(children[j][b])
-                below.add((min(x, y), max(x, y)))
-        pairs = sorted(below)
+            x, y = order[bounds[i] : bounds[i + 1]], order[bounds[j] : bounds[j + 1]]
+            a, b = np.nonzero(_distance(at[x], at[y]) <= r[x][:, None] + r[y][None] + threshold + _SLACK)
+            below.append(np.minimum(x[a], y[b]) * n + np.maximum(x[a], y[b]))
+        codes = np.unique(np.concatenate(below))
+        pairs = np.stack([codes // n, codes % n], axis=1)
     return pairs
 
 
@@ -109,72 +118,30 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Equal vectors are one node with a multiplicity, so that a large group of copies is compared once. The tree comes from at
     most ``sample`` vectors; all vectors are placed and compared. A node with more than ``leaf`` vectors is cut into chunks
     whose pairs are tasks of their own. In many dimensions, unrelated vectors are all about as far apart and no bound
-    prunes them; then all pairs of chunks are compared, by matrix products. Defined cases: vectors that are null, zero or
-    hold null or non-finite components link with nothing and are their own component; rows with a null id keep their row,
-    and count as links of others; vectors of different lengths do not link; an empty table gives an empty result; other
-    columns are not read.
+    prunes them once they are more than the sample; then all pairs of chunks are compared, by matrix products. Defined cases:
+    vectors that are null, zero or hold null or non-finite components link with nothing and are their own component; rows
+    with a null id keep their row, and count as links of others; ids may be of any type that has an order; vectors of
+    different lengths do not link, and each length with over 64 vectors has its tree; an empty table gives an empty result;
+    other columns are not read.
     """
-    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "vectors")
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    scratch = Scratch(vectors.sparkSession, "vectors")
+    base = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     good = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)), F.lit(False))
-    rows = base.select("id", F.when(good, F.col("v")).alias("v"))
-    rows = rows.select("id", F.when((size > 0) & (size < float("inf")), F.col("v")).alias("v"))
+    rows = base.select("id", F.when(good & F.exists("v", lambda x: x != 0), F.col("v")).alias("v"))
     nodes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
     nodes = scratch.table(nodes.select(F.xxhash64("v").alias("node"), F.size("v").alias("dim"), "low", "copies", "v"), "nodes")
-    dims = [r["dim"] for r in nodes.groupBy("dim").agg(F.count("*").alias("k")).orderBy(F.desc("k")).limit(1000).collect()]
-    placed, pairs = [], []
-    for dim in dims:
-        some = nodes.where(F.col("dim") == dim).orderBy("node").limit(sample).select("v").toPandas()["v"]
-        points = _unit(list(some))
-        total = nodes.where(F.col("dim") == dim).count()
-        levels = cover_levels(points, max(1, min(512, total // leaf)))
-        centres = points[levels[-1][0]]
-
-        def place(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres, dim: int = dim) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                v = _unit(b.column(1).flatten().to_numpy().reshape(-1, dim))
-                d = np.sqrt(np.maximum(0, 2 - 2 * v @ centres.T))
-                near = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], ["node", "leaf", "d"])
-
-        at = scratch.table(nodes.where(F.col("dim") == dim).select("node", "v").mapInArrow(place, "node long, leaf int, d double"), f"placed-{dim}")
-        seen = {r["leaf"]: r for r in at.groupBy("leaf").agg(F.max("d").alias("r"), F.ceil(F.count("*") / leaf).cast("int").alias("chunks")).collect()}
-        reach = np.array([seen[i]["r"] if i in seen else 0.0 for i in range(len(centres))])
-        chunks = np.array([seen[i]["chunks"] if i in seen else 1 for i in range(len(centres))])
-        threshold = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-        partners = [(i, j) for i, j in surviving_pairs(levels, points, reach, threshold) if i in seen and j in seen]
-
-        def send(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres, dim: int = dim, partners: list = partners, reach: np.ndarray = reach, chunks: np.ndarray = chunks, threshold: float = threshold) -> Iterator[pa.RecordBatch]:
-            """Copies of each vector for the pairs of chunks it takes part in: (x, y) with its own side first or second."""
-            for b in batches:
-                v = _unit(b.column(2).flatten().to_numpy().reshape(-1, dim))
-                node, mine = b.column(0).to_numpy(), b.column(1).to_numpy()
-                d = np.sqrt(np.maximum(0, 2 - 2 * v @ centres.T))
-                own = (node.view(np.uint64) % chunks[mine].astype(np.uint64)).astype(int)
-                take, key, side = [], [], []
-                for i, j in partners:
-                    for here, there, first in [(i, j, True)] + [(j, i, False)] * (i != j):
-                        for row in np.flatnonzero((mine == here) & (d[:, there] <= reach[there] + threshold + _SLACK)):
-                            for c in range(chunks[there]):
-                                x, y = (own[row], c) if first else (c, own[row])
-                                if i == j and x > y:
-                                    x, y = y, x
-                                take.append(row)
-                                key.append(f"{dim}:{i}.{x}:{j}.{y}")
-                                side.append((own[row] == x) if i == j else first)
-                take = pa.array(np.array(take, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(side, pa.bool_()), b.column(0).take(take), b.column(3).take(take), b.column(2).take(take)], ["pair", "first", "node", "copies", "v"])
-
-        full = at.select("node", "leaf").join(nodes.where(F.col("dim") == dim).select("node", "v", "copies").hint("merge"), "node").select("node", "leaf", "v", "copies")
-        placed.append(full.mapInArrow(send, "pair string, first boolean, node long, copies long, v array<double>"))
-    if not placed:
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    counts = {r["dim"]: r["n"] for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    threshold = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    treed = sorted(d for d, n in counts.items() if n > _FEW)
+    alone = nodes.where(~F.col("dim").isin(treed)) if treed else nodes
+    sent = alone.select("dim", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(True).alias("first"), "node", "copies", "v")
+    for dim in treed:
+        sent = sent.unionByName(_sent(nodes.where(F.col("dim") == dim).select("node", "copies", "v"), dim, threshold, sample, leaf, scratch))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["first"]], pdf[~pdf["first"]]
         alone = len(right) == 0
-        if not len(left) or (alone and len({*pdf["pair"].iloc[0].split(":")[1:]}) > 1):
+        if not len(left) or (alone and pdf["lo"].iloc[0] != pdf["hi"].iloc[0]):
             return pd.DataFrame({"node": [], "links": [], "other": []}).astype(np.int64)
         a, b = _unit(list(left["v"])), None if alone else _unit(list(right["v"]))
         i, j = _block(a, b, cosine)
@@ -188,16 +155,79 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         some = links > 0
         return pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "other": other[some]})
 
-    sent = placed[0]
-    for more in placed[1:]:
-        sent = sent.unionByName(more)
-    found = scratch.table(sent.groupBy("pair").applyInPandas(compare, "node long, links long, other long"), "found")
+    found = scratch.table(sent.groupBy("dim", "lo", "hi").applyInPandas(compare, "node long, links long, other long"), "found")
     joined = components(found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    label = nodes.select("node", "low", "copies", "v").join(counts.hint("merge"), "node", "left").join(joined.hint("merge"), "node", "left")
-    label = scratch.table(label.select("v", "low", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "labels")
-    low = label.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = scratch.table(label.join(low.hint("merge"), "root").select("v", "n_links", "component_id"), "final")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    label = nodes.select("node", "low", "copies", "v").join(links.hint("merge"), "node", "left").join(joined.hint("merge"), "node", "left")
+    label = scratch.table(label.select("v", "node", "low", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "labels")
+    label = scratch.table(with_lowest(label, "root", "low", "component_id", "node").select("v", "n_links", "component_id"), "final")
     out = rows.join(label.select(F.col("v").alias("__v"), "n_links", "component_id").hint("merge"), F.col("v") == F.col("__v"), "left")
     lone = F.col("v").isNull()
     return out.select("id", F.when(lone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(lone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def depth_of_least_cost(levels: list[tuple[np.ndarray, np.ndarray]], points: np.ndarray, stats: list[tuple[np.ndarray, np.ndarray]], threshold: float, leaf: int) -> tuple[int, np.ndarray]:
+    """The level to stop at and its surviving pairs. ``stats``: covering radii and vectors of each level's nodes."""
+    best = None
+    for k, (reach, n) in enumerate(stats):
+        pairs = surviving_pairs(levels[: k + 1], points, reach, threshold)
+        i, j = pairs[(n[pairs[:, 0]] > 0) & (n[pairs[:, 1]] > 0)].T
+        chunks = np.maximum(1, -(-n // leaf))
+        cost = (_SEND * np.where(i == j, n[i] * chunks[i], n[i] * chunks[j] + n[j] * chunks[i]) + n[i] * n[j]).sum()
+        if best is None or cost < best[0]:
+            best = cost, k, np.stack([i, j], axis=1)
+    return best[1], best[2]
+
+
+def _sent(nodes: DataFrame, dim: int, threshold: float, sample: int, leaf: int, scratch: Scratch) -> DataFrame:
+    """``(dim, lo, hi, first, node, copies, v)``: each vector of ``nodes`` once for each pair of chunks it takes part in."""
+    some = nodes.orderBy("node").limit(sample).select("v").toPandas()["v"]
+    points = _unit(list(some))
+    levels = cover_levels(points, sample)
+    sizes, centres = [len(m) for m, _ in levels], points[levels[-1][0]]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = _unit(b.column(1).flatten().to_numpy().reshape(-1, dim))
+            near, far = np.zeros((len(v), len(sizes)), np.int32), np.zeros((len(v), len(sizes)))
+            for k in range(0, len(v), _ROWS):
+                d = _distance(v[k : k + _ROWS], centres)
+                for at, n in enumerate(sizes):
+                    near[k : k + _ROWS, at] = d[:, :n].argmin(axis=1)
+                    far[k : k + _ROWS, at] = d[:, :n].min(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(near), pa.list_(pa.int32())), pa.array(list(far), pa.list_(pa.float64()))], ["node", "leaf", "d"])
+
+    at = scratch.table(nodes.select("node", "v").mapInArrow(place, "node long, leaf array<int>, d array<double>"), f"placed-{dim}")
+    each = at.select(F.posexplode(F.arrays_zip("leaf", "d")).alias("level", "x")).groupBy("level", F.col("x.leaf").alias("leaf")).agg(F.max("x.d").alias("r"), F.count("*").alias("n"))
+    stats = [(np.zeros(n), np.zeros(n, np.int64)) for n in sizes]
+    for r in each.collect():
+        stats[r["level"]][0][r["leaf"]], stats[r["level"]][1][r["leaf"]] = r["r"], r["n"]
+    depth, pairs = depth_of_least_cost(levels, points, stats, threshold, leaf)
+    centres, (reach, held) = centres[: sizes[depth]], stats[depth]
+    chunks = np.maximum(1, -(-held // leaf))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Copies of each vector for the pairs of chunks it takes part in, and whether its own side is the first."""
+        allowed = np.zeros((len(centres), len(centres)), bool)
+        allowed[pairs[:, 0], pairs[:, 1]] = allowed[pairs[:, 1], pairs[:, 0]] = True
+        for whole in batches:
+            for k in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(k, _ROWS)
+                v = _unit(b.column(2).flatten().to_numpy().reshape(-1, dim))
+                mine = b.column(1).to_numpy()
+                wanted = allowed[mine] & (_distance(v, centres) <= reach + threshold + _SLACK)
+                wanted[np.arange(len(mine)), mine] = True
+                row, there = np.nonzero(wanted)
+                n = chunks[there]
+                row, there = np.repeat(row, n), np.repeat(there, n)
+                part = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                own = b.column(0).to_numpy().view(np.uint64)[row] % chunks[mine[row]].astype(np.uint64)
+                here, partner = mine[row].astype(np.int64) << 32 | own.astype(np.int64), there << 32 | part
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(row), dim, np.int32)), pa.array(np.minimum(here, partner)), pa.array(np.maximum(here, partner)), pa.array(here <= partner), *[b.column(c).take(take) for c in (0, 3, 2)]],
+                    ["dim", "lo", "hi", "first", "node", "copies", "v"],
+                )
+
+    placed = at.select("node", F.get("leaf", F.lit(depth)).alias("leaf")).join(nodes.hint("merge"), "node").select("node", "leaf", "v", "copies")
+    return placed.mapInArrow(send, "dim int, lo long, hi long, first boolean, node long, copies long, v array<double>")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, with_lowest
 
 #: (bits, radius) of each band for links at 4 or fewer differing bits: 2 + 1 + 1 + 1 = 4 + 1.
 BANDS_4 = ((19, 1), (15, 0), (15, 0), (15, 0))
@@ -50,8 +50,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, "id long, fp long")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return base.mapInArrow(run, base.select("id").schema.add("fp", "long"))
 
 
 @dataclass(frozen=True)
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are lower-cased in A-Z, words are cut at blanks, and fingerprints link at ``max_bits`` or fewer differing bits.
     Exact copies share a fingerprint and are one node. Defined cases: texts that are null, empty or without words have
     fingerprint 0 and link like any other; rows with a null id keep their row, and ids that are null are never the
-    smallest unless a component has no other; an empty table gives an empty result; other columns are not read.
+    smallest unless a component has no other; ids may be of any type that has an order; an empty table gives an empty result; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.table(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
@@ -196,8 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = scratch.table(components(links, scratch), "components")
     roots = classes.join(found.select(F.col("node").alias("fp"), "root").hint("merge"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     roots = scratch.table(roots, "roots")
-    low = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = scratch.table(roots.join(low.hint("merge"), "root").select("fp", "component_id"), "labels")
+    labels = scratch.table(with_lowest(roots, "root", "low", "component_id", "fp").select("fp", "component_id"), "labels")
     return rows.join(labels.hint("merge"), "fp").select("id", "fp", "component_id")
 
 
