@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from timedtext.llm import chat_format, language_id, mixing, packing, quality_classifier, quality_rules, secret_scan
+from tests.llm.test_simhash import groups
+from timedtext.llm import chat_format, embedding_dedup, language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, simhash
 from timedtext.llm.embedding_dedup import near_vectors
 
 ROWS = [(1, "plain words of a text " * 30, "a"), (1, "plain words of a text " * 30, "a"), (None, "some text", None), (3, None, "b"), (4, "", "b"), (5, " \n\t", "c"), (6, "z" * 200_000, "a"), (7, "w " * 60_000, "b")]
@@ -62,7 +63,7 @@ def test_language(spark, docs):
 
 def test_kernel_is_the_folded_product():
     texts, langs = ["abc abd", "xyz xya", "abe abc", "xyw xyz"], ["a", "x", "a", "x"]
-    names, w = language_id.fit_kernel_ridge(texts, langs)
+    names, w = language_id.fit_kernel_ridge([language_id.presence(t) for t in texts], langs)
     f = language_id._matrix(["abc", "xyz"]) @ w
     assert names == ["a", "x"] and f[0].argmax() == 0 and f[1].argmax() == 1
 
@@ -143,7 +144,7 @@ def test_chat(spark):
 
 
 def test_mixing(spark, docs):
-    out = mixing.mix_sources(docs.drop("rate"), {"a": 1.0, "b": 3.0, "none": 5.0}, epochs=40.0).collect()
+    out = mixing.mix_sources(docs, {"a": 1.0, "b": 3.0, "none": 5.0}, epochs=40.0).collect()
     assert {r.source for r in out} <= {"a", "b"}
     assert mixing.mix_sources(empty(spark), {"a": 1.0}).count() == 0
     big = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
@@ -186,3 +187,88 @@ def test_vectors(spark):
         want.append((i, sum(1 for y in range(len(rows)) if y != k and cos(v, rows[y][1])), min(ids) if ids else None))
     assert sorted(map(str, ((r.id, r.n_links, r.component_id) for r in got))) == sorted(map(str, want))
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_of_extreme_size_and_many_lengths(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [1e-200, 1e-200]), (4, [2e-310, 2e-310]), (5, [-1e300, -1e300])]
+    rows += [(100 + n, [1.0] * n) for n in range(3, 1203)] + [(5000 + n, [2.0] * n) for n in range(3, 1203)]
+    got = {r.id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in (1, 2, 3, 4, 5)] == [(3, 1)] * 4 + [(0, 5)]
+    assert all(got[100 + n] == got[5000 + n] == (1, 100 + n) for n in range(3, 1203))
+
+
+def test_cover_tree_prunes_clusters(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(300, 16))
+    v = np.concatenate([c + rng.normal(size=(20, 16)) * 0.05 for c in centre])
+    points = embedding_dedup._unit(list(v))
+    levels = embedding_dedup.cover_levels(points[::10], 2048)
+    radius = 1.0
+    for members, parent in levels[1:]:
+        d = embedding_dedup._distance(points[::10][members], points[::10][members])
+        assert (d + 9 * np.eye(len(members)) > radius).all() and embedding_dedup._distance(points[::10], points[::10][members]).min(axis=1).max() <= radius + 1e-9
+        radius /= 2
+    stats = []
+    for members, _ in levels:
+        d = embedding_dedup._distance(points, points[::10][members])
+        at, reach = d.argmin(axis=1), np.zeros(len(members))
+        np.maximum.at(reach, at, d.min(axis=1))
+        stats.append((reach, np.bincount(at, minlength=len(members))))
+    depth, pairs = embedding_dedup.depth_of_least_cost(levels, points[::10], stats, np.sqrt(0.1), 4096)
+    nodes = len(levels[depth][0])
+    assert depth > 0 and nodes >= 100 and len(pairs) < 0.1 * nodes * nodes / 2
+    near = points @ points.T >= 0.95
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.id: r for r in near_vectors(df).collect()}
+    root = groups(np.argwhere(near).tolist(), range(len(v)))
+    assert all(got[i].n_links == near[i].sum() - 1 and got[i].component_id == root[i] for i in range(len(v)))
+
+
+def test_text_ids_and_clashing_columns(spark):
+    """Every added column's name, and some of the operators' own, as columns of the input."""
+    clash = ("score", "lang_pred", "spans", "piece", "start", "length", "item", "shard", "rate", "copy", "shuffle_key", "__u", "__copies", "n_lines", "n_dropped", "gone", "__gone", "row", "th", "parts", "fp", "root", "low")
+    text = "some words that are no secret at all\nand a second line"
+    df = spark.createDataFrame([("b", text, "src", "en"), ("a", text, "src", "en"), (None, None, None, None)], "doc_id string, text string, source string, lang string")
+    for c in clash:
+        df = df.withColumn(c, F.lit(9))
+    labels = spark.createDataFrame([("a", 1), ("b", 0)], "doc_id string, quality int")
+    every = df.columns
+
+    def held(out, own):
+        assert len(set(out.columns)) == len(out.columns) and set(every) - {*own} <= set(out.columns)
+        got = out.collect()
+        assert all(r[c] == 9 for r in got for c in clash if c not in own)
+        return got
+
+    assert len(held(quality_classifier.score(df, quality_classifier.fit(df, labels), every), ["score"])) == 3
+    names, w = language_id.fit(df, "doc_id", "text", "lang")
+    assert {r.lang_pred for r in held(language_id.predict(df, names, w, every), ["lang_pred", "score"])} == {"en", "und"}
+    assert len(held(secret_scan.find_secrets(df, every), ["spans"])) == 3
+    assert len(held(packing.pack(df, every), packing._OWN)) == 3
+    assert {r.doc_id for r in held(mixing.mix_sources(df, {"src": 1.0}, epochs=9.0), ["rate", "copy", "shuffle_key"])} == {"a", "b"}
+    got = {r.doc_id: r.text for r in held(line_dedup.dedup_lines(df), ["n_lines", "n_dropped", "text"])}
+    assert got == {"a": text, "b": "", None: None}
+    assert {(r.id, r.component_id) for r in simhash.near_duplicates(df).collect()} == {("a", "a"), ("b", "a"), (None, None)}
+    vec = spark.createDataFrame([("y", [1.0, 2.0]), ("x", [1.0, 2.0])], "vec_id string, embedding array<double>").withColumn("dim", F.lit(9))
+    assert {(r.id, r.component_id) for r in near_vectors(vec).collect()} == {("x", "x"), ("y", "x")}
+
+
+def test_letters_are_category_l():
+    assert not any(language_id.has_letter(t) for t in ("", "½ ² Ⅷ ⓐ 12 _", "\U0001f600"))
+    assert all(language_id.has_letter(t) for t in ("1a", "…é", "中", "ªº"))
+
+
+def test_many_languages_are_all_learned(spark):
+    rows = [(i, chr(0x4E00 + i % 1200) * 3, f"l{i % 1200}") for i in range(2400)]
+    names, w = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert len(names) == 1200 and w.shape[1] == 1200
+
+
+def test_large_rates_are_sums_of_draws(spark):
+    df = spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2, "rare").otherwise("many").alias("source"))
+    got = {r.doc_id: r.n for r in mixing.mix_sources(df, {"rare": 9.0, "many": 1.0}, epochs=20.0).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert all(abs(got[i] - 1800) < 6 * math.sqrt(1800) for i in (0, 1))
+
+
+def test_shape_of_a_whole_word():
+    assert quality_classifier._shape("a" * 70 + "7") == "a9"
