@@ -4,10 +4,12 @@ import hashlib
 import math
 
 import pytest
+from pyspark.sql.functions import lit
 
 import corpus_pipeline
 from tests.llm.test_line_dedup import brute_force
-from tests.llm.test_simhash import groups, slow_fingerprint
+from tests.llm.test_near_copies import shingles, similarity
+from tests.llm.test_simhash import groups
 from timedtext.llm import quality_classifier
 from timedtext.llm.common import Scratch, crc32_mod
 from timedtext.llm.queries import SOURCE_WEIGHTS
@@ -50,15 +52,41 @@ def test_lines(tables):
 
 
 def test_near_duplicates(tables):
-    fp = {r.doc_id: slow_fingerprint(r.text) for r in tables[2]}
-    nodes = sorted(set(fp.values()))
-    root = groups([(a, b) for a in nodes for b in nodes if a < b and (a ^ b).bit_count() <= 4], nodes)
+    """The bands miss few pairs; the sample's texts have none near the threshold that they miss."""
+    rows = {}
+    for r in tables[2]:
+        rows.setdefault(r.text or "", []).append(r.doc_id)
+    texts = sorted(rows)
+    sets = [shingles(t) for t in texts]
+    root = groups([(a, b) for a in range(len(texts)) for b in range(a) if similarity(sets[a], sets[b]) >= 0.8], range(len(texts)))
     first = {}
-    for i in sorted(fp):
-        first.setdefault(root[fp[i]], i)
+    for k, t in enumerate(texts):
+        first[root[k]] = min(first.get(root[k], math.inf), *rows[t])
     assert sorted(r.doc_id for r in tables[3]) == sorted(first.values())
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_odd_rows(spark, stage):
+    """Nulls, empty, blank and very long texts, repeated rows, extra columns and no rows at all."""
+    rows = [(1, "w " * 40_000, "en", "src0", 1), (2, None, None, "src1", None), (3, "", "en", "src2", 0), (4, " \n\t\n", "en", "src3", 4), (None, "a text without an id", "en", "src0", 20), (5, "x" * 100_000, None, "src0", 9), (6, "twice", "de", "src0", 5), (6, "twice", "de", "src0", 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    for c in ("score", "key", "row", "rate", "copy", "piece", "n_lines", "root"):
+        docs = docs.withColumn(c, lit("x"))
+    run = corpus_pipeline.STAGES[stage][1]
+    got = run(spark, docs, DATA).collect()
+    ids = sorted((str(r.doc_id) for r in got), key=str)
+    if stage < 4:
+        assert run(spark, docs, DATA).columns == corpus_pipeline.COLUMNS
+    if stage == 1:
+        assert len(got) == len(rows) and next(r for r in got if r.doc_id == 2).text is None
+    if stage == 2:
+        assert ids == ["1", "2", "5", "6", "None"]
+    if stage == 4:
+        assert {*ids} == {str(r[0]) for r in rows} and sum(r.piece == 0 for r in got) == len(rows)
+    assert run(spark, docs.limit(0), DATA).count() == 0
+
+
 def test_mixing(tables):
     counts = {}
     for r in tables[3]:

@@ -1,8 +1,9 @@
-"""Near copies of documents: exact Jaccard similarity of word shingles, candidates by MinHash bands.
+"""Near copies of documents: the SimHash operator's trees and MinHash bands propose, exact Jaccard similarity decides.
 
-Minima of independent hashes agree with a chance equal to the similarity, whatever the length of the texts: at a similarity of
-0.8 a band of four agrees with a chance of 0.41, one of the fourteen bands with 0.9994. Colliding texts are linked by the
-machinery of the line deduplication, which verifies the exact sets and lists no pairs of a large family.
+Fingerprints of similar texts differ in more bits than the trees can search: about ten at a similarity of 0.8. Minima of independent
+hashes agree with a chance equal to the similarity, whatever the length of the texts: at 0.8 a band of four agrees with a
+chance of 0.41, one of the fourteen bands with 0.9994. Both give groups of texts that are linked by the machinery of the line
+deduplication, which verifies the exact sets and lists no pairs of a large family.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, components
 from .line_dedup import WORDS, linked
+from .simhash import fingerprint_links
 
 SHINGLE = 5
 BANDS, ROWS = 14, 4
@@ -47,6 +49,14 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(least[ROWS * b : ROWS * (b + 1)].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64).tolist()
 
 
+def _fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of the distinct shingles; 0 without words."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def _sketch(hashes: np.ndarray) -> list[int]:
     """A bit for each of 1,024 slots: whether an odd number of the hashes falls there."""
     odd = np.bincount((hashes & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
@@ -68,8 +78,9 @@ def near_copies(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> Da
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [band_keys(shingle_hashes(t.as_py())) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["h1", "keys"])
+            found = [shingle_hashes(t.as_py()) for t in b.column(1)]
+            keys, fp = [band_keys(x) for x in found], [_fingerprint(x) for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(fp, pa.int64())], ["h1", "keys", "fp"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,6 +94,10 @@ def near_copies(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> Da
         every = scratch.table(text.mapInArrow(sets, "h1 long, shingles array<long>, n long, " + ", ".join(f"w{j} long" for j in range(WORDS))), "sets")
         return every.select("h1", "shingles"), every.drop("shingles")
 
-    keys = base.mapInArrow(bands, "h1 long, keys array<long>").groupBy("h1").agg(F.first("keys").alias("keys"))
-    keys = scratch.table(keys, "keys").select("h1", F.explode("keys").alias("key"))
-    return linked(keys, sets_of, scratch)
+    keys = base.mapInArrow(bands, "h1 long, keys array<long>, fp long").groupBy("h1").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp"))
+    keys = scratch.table(keys, "keys")
+    links = scratch.table(fingerprint_links(keys.select("fp").distinct(), scratch), "fingerprint-links")
+    trees = scratch.table(components(links, scratch, "fingerprint-cc"), "fingerprint-components")
+    near = keys.select("h1", "fp").join(trees.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
+    near = scratch.table(near.select("h1", F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("key")), "fingerprint-keys")
+    return linked(keys.select("h1", F.explode("keys").alias("key")).unionByName(near), sets_of, scratch)
