@@ -10,7 +10,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
@@ -22,9 +22,11 @@ BANDS = ((0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5))
 MINIMA = 6
 #: Words of a sketch, and members of a bucket that are compared in one task.
 WORDS, _CHUNK = 16, 2000
+#: Members of a bucket that the others are held against before all are.
+_REPS = 64
 _UNROLL = 8
 #: Up to this many ids (16 MB) are broadcast to fetch their lines; more are joined by a sort merge.
-_FEW_IDS = 2_000_000
+FEW_IDS = 2_000_000
 #: At most so many lines are told apart as frequent ones.
 _FREQUENT = 10_000
 
@@ -59,7 +61,7 @@ def _shingle_sets(lines: DataFrame, ids: DataFrame, scratch: Scratch) -> tuple[D
     The sketch has a bit for each of 1,024 slots: whether an odd number of the line's shingles falls there.
     """
     ids = scratch.table(ids, "ids")
-    wanted = F.broadcast(ids) if ids.count() <= _FEW_IDS else ids.hint("merge")
+    wanted = F.broadcast(ids) if ids.count() <= FEW_IDS else ids.hint("merge")
     text = lines.select("h1", "line").join(wanted, "h1", "left_semi").groupBy("h1").agg(F.max("line").alias("line"))
     rows = _shingle_rows(text, "h1").select("h1", F.array(*[f"__s{u}" for u in range(_UNROLL)]).alias("part"))
     sets = scratch.table(rows.groupBy("h1").agg(F.array_distinct(F.flatten(F.collect_list("part"))).alias("shingles")), "shingles")
@@ -92,7 +94,7 @@ def _can_link() -> Column:
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Those of the distinct ``pairs(a, b, ...)`` whose shingle sets have the wanted similarity."""
     ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), f"{name}-ids")
-    if ids.count() <= _FEW_IDS:
+    if ids.count() <= FEW_IDS:
         sets = sets.join(F.broadcast(ids), "h1", "left_semi")
     a = sets.select(F.col("h1").alias("a"), F.col("shingles").alias("__a"))
     b = sets.select(F.col("h1").alias("b"), F.col("shingles").alias("__b"))
@@ -103,23 +105,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) ->
     return both.where(F.col("shared") >= THRESHOLD * (F.col("na") + F.col("nb") - F.col("shared"))).select(*pairs.columns)
 
 
-def _star(members: DataFrame, sketch: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links between the members of a bucket and the first and the last of them."""
+def _star(members: DataFrame, sketch: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Links between the ``members(h1, low, high)`` of a bucket and the first and the last of them."""
     star = members.select(F.col("h1").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
-    star = scratch.table(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+    star = scratch.table(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
     fits = star.join(_side(sketch, "a").hint("merge"), "a").join(_side(sketch, "b").hint("merge"), "b").where(_can_link()).select("a", "b")
-    return _verified(scratch.table(fits, "star-fits"), sets, scratch, "star")
+    return _verified(scratch.table(fits, f"{name}-fits"), sets, scratch, name)
 
 
-def _across(placed: DataFrame, sketch: DataFrame, sets: DataFrame, scratch: Scratch, name: str, nearest: bool) -> DataFrame:
+def _open(placed: DataFrame) -> DataFrame:
+    """``(key, k)`` of the buckets whose ``k`` members aren't one component yet; up to three have all been compared."""
+    return placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("k")).where("x <> y and k > 3").select("key", "k")
+
+
+def _nearest(placed: DataFrame, sketch: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Links, as names of components, of each member with the most similar sketch among ``_REPS`` members of its buckets.
+
+    The representatives are chosen by a hash of ``name``, so that each row meets a bounded number of others.
+    """
+    rows = placed.join(_open(placed).hint("merge"), "key", "left_semi").select("key", "h1", "c").join(sketch.hint("merge"), "h1")
+    rows = scratch.table(rows, f"{name}-open")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("h1", F.lit(name)), "h1")
+    reps = scratch.table(rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= _REPS).drop("rank"), f"{name}-reps")
+    near = _side(rows, "a").join(_side(reps, "b").hint("merge"), (F.col("a_key") == F.col("b_key")) & (F.col("a_c") != F.col("b_c")) & _can_link())
+    to = F.struct("b", F.col("a_c").alias("ca"), F.col("b_c").alias("cb"))
+    best = near.groupBy("a").agg(F.min_by(to, F.struct(_differ() / (F.col("a_n") + F.col("b_n")), "b")).alias("to")).select("a", "to.*")
+    return _verified(scratch.table(best, name), sets, scratch, name).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+
+def _across(placed: DataFrame, sketch: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Links ``(a, b)`` between components, as their names, of a bucket in ``placed(key, h1, low, high, c)``.
 
     The first and the last member have been compared with all others. The rest of a bucket that is not one component yet is
-    cut into chunks by hash, and each pair of chunks is a group of its own, so that no bucket is one task's work. With
-    ``nearest`` each member is held only against the one with the most similar sketch, otherwise against all.
+    cut into chunks by hash, and each pair of chunks is a group of its own, so that no bucket is one task's work.
     """
-    open_ = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("k")).where("x <> y and k > 3")
-    open_ = scratch.table(open_.select("key", F.ceil(F.col("k") / _CHUNK).cast("int").alias("chunks")), f"{name}-buckets")
+    open_ = scratch.table(_open(placed).select("key", F.ceil(F.col("k") / _CHUNK).cast("int").alias("chunks")), f"{name}-buckets")
     rows = placed.where("h1 <> low and h1 <> high").join(open_.hint("merge"), "key").withColumn("own", F.pmod(F.hash("h1"), F.col("chunks")))
     rows = scratch.table(rows.select("key", "h1", "c", "chunks", "own").join(sketch.hint("merge"), "h1"), f"{name}-open")
     left = rows.withColumn("y", F.explode(F.sequence(F.col("own"), F.col("chunks") - 1))).withColumnRenamed("own", "x")
@@ -128,12 +148,8 @@ def _across(placed: DataFrame, sketch: DataFrame, sets: DataFrame, scratch: Scra
     same = (F.col("a_key") == F.col("b_key")) & (F.col("a_x") == F.col("b_x")) & (F.col("a_y") == F.col("b_y"))
     once = (F.col("a_x") < F.col("a_y")) | (F.col("a") < F.col("b"))
     cross = left.join(right.hint("merge"), same & once & (F.col("a_c") != F.col("b_c")) & _can_link())
-    if nearest:
-        to = F.struct("b", F.col("a_c").alias("ca"), F.col("b_c").alias("cb"))
-        cross = cross.groupBy("a").agg(F.min_by(to, F.struct(_differ() / (F.col("a_n") + F.col("b_n")), "b")).alias("to")).select("a", "to.*")
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *([F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")] if nearest else [F.least("a_c", "b_c").alias("ca"), F.greatest("a_c", "b_c").alias("cb")]))
-    cross = scratch.table(cross.distinct(), name)
-    return _verified(cross, sets, scratch, name).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("a_c", "b_c").alias("ca"), F.greatest("a_c", "b_c").alias("cb"))
+    return _verified(scratch.table(cross.distinct(), name), sets, scratch, name).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
 def _placed(members: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -161,20 +177,20 @@ def linked(bands: DataFrame, sets_of: Callable[[DataFrame], tuple[DataFrame, Dat
     """Components ``(node, root)`` of what shares a key in ``bands(h1, key)`` and has the wanted similarity.
 
     ``sets_of`` gives the shingle sets and the sketches of the wanted ``h1``.
-    All members of a band's bucket are first compared with its first and its last one. Then only members of different
-    components of a bucket are compared, each with its nearest one at first and with all that are still apart at last, so that
-    no link is lost and a large family is joined without listing its pairs. Before shingle sets are fetched, pairs are
-    held against the bound of their sketches inside the join.
+    All members of a band's bucket are first compared with its first and its last one; then those of a bucket that is not one
+    component yet are linked with the nearest of some representatives, in two rounds. At last, members of a bucket that are
+    still in different components are compared with each other, so that no link is lost and a large family is joined without
+    listing its pairs. Before shingle sets are fetched, pairs are held against the bound of their sketches inside the join.
     """
     ends = bands.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
     ends = scratch.table(ends, "buckets")
     # A hash join: sorting all rows of all bands would cost more than the table of the buckets that have two lines or more.
     members = scratch.table(bands.join(ends.hint("shuffle_hash"), "key"), "members")
     sets, sketch = sets_of(members.select("h1").distinct())
-    found = scratch.table(components(_star(members, sketch, sets, scratch), scratch, "star-cc"), "star-found")
-    for name, nearest in (("near", True), ("cross", False)):
+    found = scratch.table(components(_star(members, sketch, sets, scratch, "star"), scratch, "star-cc"), "star-found")
+    for name, step in (("near-1", _nearest), ("near-2", _nearest), ("cross", _across)):
         placed = _placed(members, found, scratch, f"{name}-placed")
-        joined = scratch.table(components(_across(placed, sketch, sets, scratch, name, nearest), scratch, f"{name}-cc"), f"{name}-joined")
+        joined = scratch.table(components(step(placed, sketch, sets, scratch, name), scratch, f"{name}-cc"), f"{name}-joined")
         found = scratch.table(_merged(found, joined), f"{name}-found")
     return found
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
-from .line_dedup import WORDS, linked
+from .line_dedup import FEW_IDS, WORDS, linked
 from .simhash import fingerprint_links
 
 SHINGLE = 5
@@ -90,7 +90,10 @@ def near_copies(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays(columns, ["h1", "shingles", "n", *[f"w{j}" for j in range(WORDS)]])
 
     def sets_of(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-        text = base.join(ids.hint("merge"), "h1", "left_semi").groupBy("h1").agg(F.max("text").alias("text"))
+        ids = scratch.table(ids, "ids")
+        one = lambda df: df.groupBy("h1").agg(F.max("text").alias("text"))
+        # Copies of a text are brought together before they are shuffled, so that a text with many is no hot key.
+        text = one(base.join(F.broadcast(ids), "h1", "left_semi")) if ids.count() <= FEW_IDS else one(base).join(ids.hint("merge"), "h1", "left_semi")
         every = scratch.table(text.mapInArrow(sets, "h1 long, shingles array<long>, n long, " + ", ".join(f"w{j} long" for j in range(WORDS))), "sets")
         return every.select("h1", "shingles"), every.drop("shingles")
 
