@@ -77,6 +77,9 @@ def cue_health(cues: DataFrame, durations: DataFrame) -> DataFrame:
     return g.withColumn("readability", readable).withColumn("bounds_score", bounds)
 
 
+_BLOCK = 256
+
+
 def fold_groups(rows: DataFrame, order: list[str], payload: list[str], zero: Column, step: Callable[[Column, Column], Column], out: str = "group_no") -> DataFrame:
     """Number the rows of each video by a fold.
 
@@ -86,12 +89,17 @@ def fold_groups(rows: DataFrame, order: list[str], payload: list[str], zero: Col
     names = [*order, *payload]
     sorted_ = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("__rows"))
 
+    # Numbers are appended to a short block, and blocks to the result: a growing array is not copied for each row.
+    none = F.array().cast("array<int>")
+
     def go(acc: Column, row: Column) -> Column:
         state = step(acc["state"], row)
-        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(state["g"])).alias("out"))
+        block = F.concat(acc["block"], F.array(state["g"]))
+        full = F.size(acc["block"]) >= _BLOCK - 1
+        return F.struct(state.alias("state"), F.when(full, none).otherwise(block).alias("block"), F.when(full, F.concat(acc["out"], F.array(block))).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(zero.alias("state"), F.array().cast("array<int>").alias("out"))
-    folded = sorted_.withColumn("__g", F.aggregate("__rows", start, go)["out"])
+    start = F.struct(zero.alias("state"), none.alias("block"), F.array().cast("array<array<int>>").alias("out"))
+    folded = sorted_.withColumn("__g", F.aggregate("__rows", start, go, lambda acc: F.concat(F.flatten(acc["out"]), acc["block"])))
     return folded.select("video_id", F.explode(F.arrays_zip("__rows", "__g")).alias("__x")).select("video_id", *[F.col(f"__x.__rows.{c}").alias(c) for c in names], F.col("__x.__g").alias(out))
 
 

@@ -10,27 +10,52 @@ from ..functions import text as T
 
 # Styles with their words per segment, issue codes that block and codes that the gate softens.
 STYLES = {"story": 16, "fast": 14, "emotional": 18, "funny": 15}
-HARD_CODES = ("NO_CLIP", "LOW_VISUAL_MATCH", "UNSUPPORTED_NARRATION", "CHRONOLOGY", "DURATION", "BLACK_FRAME")
-SOFT_CODES = ("STYLE", "ARC", "COVERAGE")
+HARD_CODES = (
+    "NO_CLIP", "CHRONOLOGY", "NARRATION_DURATION_MISMATCH", "TARGET_DURATION_MISMATCH", "VOICE_VIDEO_DRIFT", "STORY_ARC_INCOMPLETE", "NARRATIVE_LOGIC",
+    "SOURCE_COVERAGE", "LOW_VISUAL_MATCH", "POST_RENDER_VISUAL_MISMATCH", "UNSUPPORTED_NARRATION",
+)
+SOFT_CODES = ("STYLE_MISMATCH", "REPETITIVE_TRANSITIONS", "UNVERIFIED_EVENT")
+# Bounds of a dubbed video's scores without a judge, and with a voice-over whose sound is doubtful.
+DUBBING_CAPS = {"content_fidelity": 65.0, "translation_accuracy": 60.0, "narrative_coherence": 70.0, "safety_compliance": 75.0}
+IDENTICAL_TEXT_CAP, SLOTS_UNKNOWN_CAP, SILENT_SYNC_CAP, SILENT_TECHNICAL_CAP = 35.0, 70.0, 40.0, 50.0
 
 
 def blend(criteria: DataFrame, kind: str = "review") -> DataFrame:
     """Score and pass mark of every criterion: ``criteria(video_id, key, baseline, judge)``.
 
     The judge moves a baseline by the criterion's influence, and replaces that of safety. Without a judge's score the
-    baseline stands, held to 60 for translation.
+    baseline stands, held to 60 for translation. For ``kind`` dubbing the rows also have the signals ``translation_required,
+    identical_text, narration_expected, slots_matched`` and ``has_audio`` (null: unknown): without a judge the caps of translated
+    videos hold, technical quality is the baseline alone, and doubtful slots or missing sound hold down two scores.
     """
     base, influence = S.clamp("baseline"), S.by_criterion("key", S.INFLUENCE[kind])
-    alone = F.when(F.col("key") == "translation_accuracy", F.least(base, F.lit(60.0))).otherwise(base)
-    judged = F.when(F.col("key") == "safety_compliance", S.clamp("judge")).otherwise(base * (1 - influence) + S.clamp("judge") * influence)
-    score = F.bround(S.clamp(F.when(F.col("judge").isNull(), alone).otherwise(judged)), 2)
+    key, on = F.col("key"), lambda c: F.coalesce(F.col(c), F.lit(False))
+    judged = F.when(key == "safety_compliance", S.clamp("judge")).otherwise(base * (1 - influence) + S.clamp("judge") * influence)
+    if kind == "dubbing":
+        cap = F.when((key == "translation_accuracy") & on("identical_text"), IDENTICAL_TEXT_CAP)
+        for k, most in DUBBING_CAPS.items():
+            cap = cap.when(key == k, most)
+        alone = F.when(on("translation_required"), F.least(base, cap.otherwise(100.0))).otherwise(base)
+        score = F.when(F.col("judge").isNull(), alone).when(key == "technical_quality", base).otherwise(judged)
+        silent, sync = ~F.coalesce("has_audio", F.lit(True)), key == "av_subtitle_sync"
+        most = F.least(F.when(sync & ~on("slots_matched"), SLOTS_UNKNOWN_CAP), F.when(sync & silent, SILENT_SYNC_CAP), F.when((key == "technical_quality") & silent, SILENT_TECHNICAL_CAP))
+        score = F.when(on("narration_expected"), F.least(score, most)).otherwise(score)
+    else:
+        alone = F.when(key == "translation_accuracy", F.least(base, F.lit(60.0))).otherwise(base)
+        score = F.when(F.col("judge").isNull(), alone).otherwise(judged)
+    score = F.bround(S.clamp(score), 2)
     d = criteria.withColumn("score", score).withColumn("weight", S.by_criterion("key", S.WEIGHTS))
     return d.withColumn("fallback", F.col("judge").isNull()).withColumn("passed", F.col("score") >= S.by_criterion("key", S.PASS_MARKS))
 
 
 def verdict(blended: DataFrame, flags: DataFrame) -> DataFrame:
-    """Overall score, pass and verdict of each video; ``flags(video_id, ok)`` are critical checks, missing ones fail."""
-    g = blended.groupBy("video_id").agg(F.bround(F.sum(F.col("score") * F.col("weight")) / F.greatest(F.sum("weight"), F.lit(1.0)), 2).alias("overall"), F.bool_and("passed").alias("__all"))
+    """Overall score, pass and verdict of each video; ``flags(video_id, ok)`` are critical checks, missing ones fail.
+
+    Scores have two places and weights none: sums are decimals, so that the order of the rows cannot move a rounding tie.
+    """
+    weight = F.col("weight").cast("decimal(5,0)")
+    mean = F.sum(F.col("score").cast("decimal(7,2)") * weight) / F.greatest(F.sum(weight), F.lit(1))
+    g = blended.groupBy("video_id").agg(F.bround(mean, 2).cast("double").alias("overall"), F.bool_and("passed").alias("__all"))
     g = g.join(flags.hint("merge"), "video_id", "left").withColumn("passed", (F.col("overall") >= 80) & F.col("__all") & F.coalesce("ok", F.lit(False)))
     word = F.when((F.col("overall") >= 90) & F.col("passed"), "excellent").when((F.col("overall") >= 80) & F.col("passed"), "good").when(F.col("overall") >= 65, "needs_improvement").otherwise("poor")
     return g.select("video_id", "overall", "passed", word.alias("verdict"))
@@ -42,6 +67,11 @@ def fallback_criteria(videos: DataFrame, evidence: DataFrame) -> DataFrame:
     return lone.select("video_id", F.explode(F.array(*map(F.lit, S.CRITERIA))).alias("key"), F.lit(0.0).alias("score"), F.lit(False).alias("passed"))
 
 
+def job_history(jobs: DataFrame) -> DataFrame:
+    """``jobs`` newest first: by the time of completion, or of the last update where there is none; ties by id."""
+    return jobs.orderBy(F.coalesce("completed_at", "updated_at").desc_nulls_last(), "job_id")
+
+
 def highlights(blended: DataFrame) -> DataFrame:
     """Keys of the two best criteria and of the four lowest under 85, joined by commas."""
     best = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("score"), "k"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .cues import fold_groups
 
 # Connectives that open a narration sentence, and those that only say that time goes on.
 OPENERS = (
@@ -72,10 +73,17 @@ def chronology(decisions: DataFrame, slack_ms: int = 250) -> DataFrame:
 
 
 def repeats_previous(segments: DataFrame, least: float = 0.45) -> DataFrame:
-    """Segments that say again what the one before said: same event and a token overlap of at least ``least``."""
-    d = segments.withColumn("__p", F.lag(F.struct("event_no", "narration")).over(_w("seq"))).where("__p is not null")
+    """Segments that say again what the one before said: same event, the same single scene, the same single action, and a token
+    overlap of at least ``least``.
+
+    ``scene_ids`` and ``actions`` are arrays. Actions are compared in lower case and without doubled blanks.
+    """
+    d = segments.withColumn("__p", F.lag(F.struct("event_no", "narration", "scene_ids", "actions")).over(_w("seq"))).where("__p is not null")
     share = T.token_overlap("narration", F.col("__p.narration"))
-    return d.select("video_id", "seq", share.alias("overlap"), ((F.col("event_no") == F.col("__p.event_no")) & (share >= least)).alias("repeats"))
+    only = lambda c: F.when(F.size(c) == 1, F.get(c, F.lit(0)))
+    action = lambda c: F.nullif(F.btrim(F.regexp_replace(F.lower(only(F.col(c))), r"\s+", " ")), F.lit(""))
+    same = (F.col("event_no") == F.col("__p.event_no")) & (only(F.col("scene_ids")) == only(F.col("__p.scene_ids"))) & (action("actions") == action("__p.actions"))
+    return d.select("video_id", "seq", share.alias("overlap"), F.coalesce(same & (share >= least), F.lit(False)).alias("repeats"))
 
 
 def allocate_voice(decisions: DataFrame, durations: DataFrame) -> DataFrame:
@@ -116,24 +124,39 @@ def story_roles(events: DataFrame) -> DataFrame:
 def quantize(plan: DataFrame, fps: int) -> DataFrame:
     """Frame boundaries without drift: each at least one after the one before, else the rounded running time.
 
-    ``plan(video_id, seq, length_ms)``. The guard is a running maximum of frame less row: no fold is needed.
+    ``plan(video_id, seq, length_ms, target_ms)``; the last boundary is the target's last frame, or the number of rows if that is more.
+    Without a target it is like the others. The guard is a running maximum of frame less row: no fold is needed.
     """
     w = _w("seq").rowsBetween(Window.unboundedPreceding, 0)
     i = F.row_number().over(_w("seq"))
     frame = F.bround(F.sum("length_ms").over(w) * F.lit(fps) / F.lit(1000), 0).cast("long")
     d = plan.withColumn("__i", i).withColumn("__d", frame - F.col("__i"))
-    return d.withColumn("frame_end", F.col("__i") + F.greatest(F.lit(0), F.max("__d").over(w))).drop("__i", "__d")
+    end = F.col("__i") + F.greatest(F.lit(0), F.max("__d").over(w))
+    if "target_ms" in plan.columns:
+        final = F.greatest(F.col("__i").cast("long"), F.ceil(F.greatest(F.col("target_ms"), F.lit(0)) * F.lit(fps) / F.lit(1000)))
+        end = F.when(F.lead(F.lit(1)).over(_w("seq")).isNull(), final).otherwise(end)
+    return d.withColumn("frame_end", end.cast("long")).drop("__i", "__d")
 
 
 def partition_repeats(plan: DataFrame) -> DataFrame:
-    """Runs of identical source windows, cut into equal consecutive slices of that window."""
-    prev = F.lag(F.struct("start_ms", "end_ms")).over(_w("seq"))
-    new = F.when(prev.isNull() | (prev["start_ms"] != F.col("start_ms")) | (prev["end_ms"] != F.col("end_ms")), 1).otherwise(0)
-    d = plan.withColumn("__new", new).withColumn("__run", F.sum("__new").over(_w("seq")))
+    """Runs of source windows whose start and length are within 50 ms of the run's first, cut into equal slices of that first one.
+
+    A run of one keeps its window. Where a run ends depends on its first row, so that runs are numbered by a fold.
+    """
+    zero = F.struct(F.lit(0).alias("g"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("length"))
+
+    def step(s: Column, r: Column) -> Column:
+        length = r["end_ms"] - r["start_ms"]
+        new = s["start"].isNull() | (F.abs(r["start_ms"] - s["start"]) > 50) | (F.abs(length - s["length"]) > 50)
+        return F.struct((s["g"] + new.cast("int")).alias("g"), F.when(new, r["start_ms"]).otherwise(s["start"]).alias("start"), F.when(new, length).otherwise(s["length"]).alias("length"))
+
+    d = fold_groups(plan, ["seq"], ["start_ms", "end_ms"], zero, step, "__run")
     run = Window.partitionBy("video_id", "__run")
     i, n = F.row_number().over(run.orderBy("seq")) - 1, F.count("*").over(run)
-    span = F.col("end_ms") - F.col("start_ms")
-    return d.withColumn("slice_start_ms", (F.col("start_ms") + F.floor(span * i / n)).cast("long")).withColumn("slice_end_ms", (F.col("start_ms") + F.floor(span * (i + 1) / n)).cast("long")).drop("__new", "__run")
+    first = F.first(F.struct("start_ms", "end_ms")).over(run.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    d = d.withColumn("__i", i).withColumn("__n", n).withColumn("__f", first)
+    cut = lambda k: (F.col("__f.start_ms") + F.floor((F.col("__f.end_ms") - F.col("__f.start_ms")) * k / F.col("__n"))).cast("long")
+    return d.withColumn("slice_start_ms", cut(F.col("__i"))).withColumn("slice_end_ms", cut(F.col("__i") + 1)).drop("__run", "__i", "__n", "__f")
 
 
 def top_candidates(candidates: DataFrame, k: int = 3) -> DataFrame:

@@ -31,7 +31,7 @@ def usable_scenes(spark: SparkSession, d: str) -> DataFrame:
 
 def unsupported_dialogue(spark: SparkSession, d: str) -> DataFrame:
     s = _scenes(spark, d)
-    seg = V.table(spark, d, "documents").select((F.col("doc_id") % 40).alias("video_id"), F.col("doc_id").alias("seq"), F.col("doc_id").alias("scene_id"), F.left("text", F.lit(40)).alias("narration"))
+    seg = V.table(spark, d, "documents").select((F.col("doc_id") % 40).alias("video_id"), F.col("doc_id").alias("seq"), F.col("doc_id").alias("scene_id"), F.col("text").alias("narration"))
     return P.unsupported_dialogue(seg, s, VERBS)
 
 
@@ -99,7 +99,7 @@ def with_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def merged_evidence(spark: SparkSession, d: str) -> DataFrame:
     docs = V.table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w"))
-    out = docs.select("doc_id", P.merge_evidence(F.slice("w", 1, 30), F.slice("w", 20, 30)).alias("e"))
+    out = docs.select("doc_id", P.merge_evidence(F.filter("w", lambda x, i: i % 3 < 2), F.filter("w", lambda x, i: i % 3 > 0)).alias("e"))
     return out.select("doc_id", F.size("e").alias("n"), F.md5(F.array_join("e", "|")).alias("evidence_md5"))
 
 
@@ -146,7 +146,7 @@ _PROFILE = "CASE WHEN m = 'best' THEN 'quality' WHEN m IN ('fast', 'balanced', '
 ORACLE_SQL = {
     "credits_only": f"WITH {_S} SELECT scene_id, credits AND NOT plot AS credits_only FROM p",
     "usable_scenes": f"WITH {_S}, q AS (SELECT *, NOT (black OR video_id = 5) AND NOT ((credits OR video_id < 3) AND NOT plot) AS ok FROM p) SELECT video_id, scene_id FROM q WHERE ok OR video_id NOT IN (SELECT video_id FROM q WHERE ok)",
-    "unsupported_dialogue": f"WITH {_S} SELECT video_id, scene_id AS seq FROM s JOIN documents ON doc_id = scene_id WHERE regexp_matches(left(text, 40), '(?i)(^|[^\\pL\\pN\\pM_])({VERBS})([^\\pL\\pN\\pM_]|$)') AND (trim(spoken) = '' OR upper(trim(spoken)) = 'UNKNOWN')",
+    "unsupported_dialogue": f"WITH {_S} SELECT video_id, scene_id AS seq FROM s JOIN documents ON doc_id = scene_id WHERE regexp_matches(text, '(?i)(^|[^\\pL\\pN\\pM_])({VERBS})([^\\pL\\pN\\pM_]|$)') AND (trim(spoken) = '' OR upper(trim(spoken)) = 'UNKNOWN')",
     "untranslated": f"WITH {_C} SELECT video_id, cue_no FROM c WHERE cue_no % 5 IN (1, 2) OR trim(text) = ''",
     "same_transcript": rf"WITH {_C}, k AS (SELECT video_id, string_agg(regexp_replace(lower(text), '[^\pL\pN]', '', 'g'), '' ORDER BY cue_no) AS a, string_agg(regexp_replace(lower(CASE WHEN video_id % 3 = 0 THEN replace(text, ' ', '-') ELSE text || 'x' END), '[^\pL\pN]', '', 'g'), '' ORDER BY cue_no) AS b FROM c GROUP BY 1) SELECT video_id, a = b AS same FROM k",
     "cjk_share": rf"WITH {_C}, k AS (SELECT video_id, cue_no, cue_no AS n, length(regexp_replace(text || repeat('字 ', cue_no), '\s', '', 'g')) AS t FROM c) SELECT video_id, cue_no, cast(floor(CASE WHEN t > 0 THEN n / t ELSE 0 END * 1000000 + 0.5) AS BIGINT) AS share_micro FROM k",
@@ -164,7 +164,7 @@ h AS (SELECT s.video_id, s.cue_no FROM s JOIN k USING (video_id) WHERE k <= 60 O
 SELECT video_id, cue_no, from_ms, least(end_ms, from_ms + n) AS to_ms FROM f""",
     "with_profile": f"""WITH j AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'best' WHEN 1 THEN 'fast' WHEN 2 THEN 'odd' WHEN 3 THEN 'quality' END AS m FROM orders), p AS (SELECT o_orderkey, {_PROFILE} AS profile FROM j)
 SELECT o_orderkey, profile, CASE profile WHEN 'fast' THEN 32 WHEN 'balanced' THEN 28 ELSE 20 END AS batch_items, CASE profile WHEN 'fast' THEN 6000 WHEN 'balanced' THEN 5400 ELSE 4600 END AS batch_chars, CASE profile WHEN 'fast' THEN 72 WHEN 'balanced' THEN 192 ELSE 300 END AS max_scenes FROM p""",
-    "merged_evidence": """WITH w AS (SELECT doc_id, string_split(text, ' ')[1:30] || string_split(text, ' ')[20:49] AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w), f AS (SELECT doc_id, x, min(i) AS i FROM u GROUP BY 1, 2)
+    "merged_evidence": """WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x, i: (i - 1) % 3 < 2) || list_filter(string_split(text, ' '), lambda x, i: (i - 1) % 3 > 0) AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w), f AS (SELECT doc_id, x, min(i) AS i FROM u GROUP BY 1, 2)
 SELECT doc_id, count(*)::INT AS n, md5(string_agg(x, '|' ORDER BY i)) AS evidence_md5 FROM f GROUP BY 1""",
     "segment_issues": """WITH s AS (SELECT l_orderkey AS video_id, l_partkey AS seq, max(CASE WHEN l_suppkey % 6 > 0 THEN l_linenumber / 4.0 END) AS m, bool_or(l_quantity > 20) AS ok FROM lineitem GROUP BY 1, 2)
 SELECT * FROM (SELECT video_id, seq, CASE WHEN m IS NULL THEN 'NO_CLIP' WHEN m < 0.75 THEN 'LOW_VISUAL_MATCH' WHEN NOT ok THEN 'UNSUPPORTED_NARRATION' END AS code FROM s) WHERE code IS NOT NULL""",

@@ -10,7 +10,6 @@ from ..functions.scores import micro
 from ..operators import scorecards as C
 from . import views as V
 
-CODES = (*C.HARD_CODES[:4], *C.SOFT_CODES)
 
 
 def _criteria(spark: SparkSession, d: str) -> DataFrame:
@@ -27,19 +26,26 @@ def blend_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blend_dubbing(spark: SparkSession, d: str) -> DataFrame:
-    out = C.blend(_criteria(spark, d), "dubbing")
+    c, v = _criteria(spark, d), F.col("video_id")
+    c = c.withColumns({"translation_required": v % 2 == 0, "identical_text": v % 3 == 0, "narration_expected": v % 5 != 0, "slots_matched": v % 7 > 2, "has_audio": F.when(v % 13 > 0, v % 11 != 4)})
+    out = C.blend(c, "dubbing")
     return out.select("video_id", "key", micro("score").alias("score_micro"), "fallback", "passed")
 
 
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    c = C.blend(_criteria(spark, d).withColumn("baseline", 70 + F.col("baseline") * 0.29371).withColumn("judge", 70 + F.col("judge") * 0.29371))
+    c = C.blend(_criteria(spark, d).withColumn("baseline", 70 + F.floor(F.col("baseline") * 0.3)).withColumn("judge", 70 + F.floor(F.col("judge") * 0.3)))
     flags = c.select("video_id").distinct().withColumn("ok", F.col("video_id") % 7 != 3)
     return C.verdict(c, flags).select("video_id", micro("overall").alias("overall_micro"), "passed", "verdict")
 
 
 def fallback_criteria(spark: SparkSession, d: str) -> DataFrame:
     orders = V.table(spark, d, "customer").select(F.col("c_custkey").alias("video_id"))
-    return C.fallback_criteria(orders, V.table(spark, d, "orders").select(F.col("o_custkey").alias("video_id")))
+    return C.fallback_criteria(orders, V.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("video_id")))
+
+
+def job_history(spark: SparkSession, d: str) -> DataFrame:
+    jobs = C.current_jobs(_updates(spark, d)).withColumn("completed_at", F.when(F.col("job_id") % 3 > 0, F.col("updated_at") + F.expr("make_dt_interval(0, job_id % 50)")))
+    return C.job_history(jobs).select("job_id", F.unix_micros(F.coalesce("completed_at", "updated_at").cast("timestamp")).alias("newest_micro"))
 
 
 def highlights(spark: SparkSession, d: str) -> DataFrame:
@@ -47,9 +53,9 @@ def highlights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hard_gate(spark: SparkSession, d: str) -> DataFrame:
-    code = F.element_at(F.array(*map(F.lit, CODES)), F.col("l_linenumber"))
+    code = F.element_at(F.array(*map(F.lit, (*C.HARD_CODES, *C.SOFT_CODES, "OTHER"))), (F.col("l_partkey") % 15 + 1).cast("int"))
     severity = F.when(F.col("l_returnflag") == "R", "error").when(F.col("l_returnflag") == "A", "warning").otherwise("info")
-    issues = V.table(spark, d, "lineitem").where(F.col("l_linenumber") <= len(CODES)).select(F.col("l_orderkey").alias("video_id"), code.alias("code"), severity.alias("severity"))
+    issues = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("video_id"), code.alias("code"), severity.alias("severity"))
     return C.hard_gate(issues)
 
 
@@ -122,7 +128,7 @@ def pending_items(spark: SparkSession, d: str) -> DataFrame:
     return C.pending(items, points).select("video_id", "item_no")
 
 
-QUERIES = {f.__name__: f for f in (blend_scores, blend_dubbing, verdicts, fallback_criteria, highlights, hard_gate, budgets, meets_budget, durations_ok, source_coverage, validate, current_jobs, recent_jobs, expire_jobs, reconcile_ids, changed_rows, pending_items)}
+QUERIES = {f.__name__: f for f in (blend_scores, blend_dubbing, verdicts, fallback_criteria, job_history, highlights, hard_gate, budgets, meets_budget, durations_ok, source_coverage, validate, current_jobs, recent_jobs, expire_jobs, reconcile_ids, changed_rows, pending_items)}
 
 _KEYS = "[" + ", ".join(f"'{k}'" for k in S.CRITERIA) + "]"
 _arr = lambda v: "[" + ", ".join(f"{x}::DOUBLE" for x in v) + "][k]"
@@ -134,6 +140,11 @@ def _blend(kind: str, source: str = "v") -> str:
 p AS (SELECT *, score >= {_arr(S.PASS_MARKS)} AS passed FROM b)"""
 
 
+_DUB = f"""b AS (SELECT video_id, k, {_KEYS}[k] AS key, judge IS NULL AS fallback, CASE
+  WHEN judge IS NULL AND video_id % 2 = 0 THEN least(baseline, [65.0::DOUBLE, CASE WHEN video_id % 3 = 0 THEN 35 ELSE 60 END, 100, 70, 100, 75][k])
+  WHEN judge IS NULL OR k = 5 THEN baseline WHEN k = 6 THEN judge ELSE baseline * (1 - {_arr(S.INFLUENCE['dubbing'])}) + judge * {_arr(S.INFLUENCE['dubbing'])} END AS x,
+  video_id % 13 > 0 AND video_id % 11 = 4 AS silent FROM v),
+p AS (SELECT video_id, key, fallback, round_even(CASE WHEN video_id % 5 = 0 THEN x WHEN k = 3 AND silent THEN least(x, 40.0) WHEN k = 3 AND video_id % 7 <= 2 THEN least(x, 70.0) WHEN k = 5 AND silent THEN least(x, 50.0) ELSE x END, 2) AS score, {_arr(S.PASS_MARKS)} AS pass_mark FROM b)"""
 _V = f"v AS ({V.SCORES_DUCK})"
 _MICRO = "cast(floor({} * 1000000 + 0.5) AS BIGINT)"
 _S = r"s AS (SELECT doc_id AS video_id, unnest(regexp_extract_all(text, '[^.!?…]+[.!?…]*', 0)) AS narration, generate_subscripts(regexp_extract_all(text, '[^.!?…]+[.!?…]*', 0), 1) - 1 AS seq FROM documents)"
@@ -148,16 +159,18 @@ q AS (SELECT {key}, w::BIGINT AS target_words, round_even(w * 0.9::DOUBLE, 0)::B
 
 ORACLE_SQL = {
     "blend_scores": f"WITH {_V}, {_blend('review')} SELECT video_id, key, {_MICRO.format('score')} AS score_micro, fallback, passed FROM p",
-    "blend_dubbing": f"WITH {_V}, {_blend('dubbing')} SELECT video_id, key, {_MICRO.format('score')} AS score_micro, fallback, passed FROM p",
-    "verdicts": f"""WITH {_V}, y AS (SELECT video_id, k, 70 + baseline * 0.29371::DOUBLE AS baseline, 70 + judge * 0.29371::DOUBLE AS judge FROM v), {_blend('review', 'y')},
-o AS (SELECT video_id, round_even(sum(score * weight) / greatest(sum(weight), 1), 2) AS overall, bool_and(passed) AND any_value(video_id) % 7 <> 3 AS ok FROM p GROUP BY 1)
+    "blend_dubbing": f"WITH {_V}, {_DUB} SELECT video_id, key, {_MICRO.format('score')} AS score_micro, fallback, score >= pass_mark AS passed FROM p",
+    "verdicts": f"""WITH {_V}, y AS (SELECT video_id, k, 70 + floor(baseline * 0.3::DOUBLE) AS baseline, 70 + floor(judge * 0.3::DOUBLE) AS judge FROM v), {_blend('review', 'y')},
+t AS (SELECT video_id, sum(round(score * 100)::BIGINT * weight::BIGINT)::BIGINT AS c, greatest(sum(weight::BIGINT), 1)::BIGINT AS w, bool_and(passed) AND any_value(video_id) % 7 <> 3 AS ok FROM p GROUP BY 1),
+o AS (SELECT video_id, (c // w + CASE WHEN 2 * (c % w) > w OR (2 * (c % w) = w AND (c // w) % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE AS overall, ok FROM t)
 SELECT video_id, {_MICRO.format('overall')} AS overall_micro, overall >= 80 AND ok AS passed, CASE WHEN overall >= 90 AND ok THEN 'excellent' WHEN overall >= 80 AND ok THEN 'good' WHEN overall >= 65 THEN 'needs_improvement' ELSE 'poor' END AS verdict FROM o""",
-    "fallback_criteria": f"SELECT c_custkey AS video_id, unnest({_KEYS}) AS key, 0.0::DOUBLE AS score, FALSE AS passed FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "fallback_criteria": f"SELECT c_custkey AS video_id, unnest({_KEYS}) AS key, 0.0::DOUBLE AS score, FALSE AS passed FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+    "job_history": f"WITH {_U} SELECT job_id, (epoch_us(updated_at) + CASE WHEN job_id % 3 > 0 THEN job_id % 50 * 3600000000 ELSE 0 END)::BIGINT AS newest_micro FROM j",
     "highlights": f"""WITH {_V}, {_blend('review')}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, k) AS b, row_number() OVER (PARTITION BY video_id ORDER BY score, k) AS w FROM p)
 SELECT video_id, coalesce(string_agg(key, ',' ORDER BY b) FILTER (b <= 2), '') AS strengths, coalesce(string_agg(key, ',' ORDER BY w) FILTER (w <= 4 AND score < 85), '') AS recommendations FROM r GROUP BY 1""",
-    "hard_gate": f"""WITH i AS (SELECT l_orderkey AS video_id, [{', '.join(f"'{c}'" for c in CODES)}][l_linenumber] AS code, CASE l_returnflag WHEN 'R' THEN 'error' WHEN 'A' THEN 'warning' ELSE 'info' END AS s FROM lineitem WHERE l_linenumber <= {len(CODES)}),
-g AS (SELECT video_id, code, CASE WHEN code IN {C.SOFT_CODES} THEN 'warning' ELSE s END AS severity FROM i)
-SELECT video_id, count(*) AS n_issues, count(*) FILTER (severity = 'warning') AS n_warnings, count(*) FILTER (severity = 'error') AS n_blocking, count(*) FILTER (severity = 'error') = 0 AS passed FROM g GROUP BY 1""",
+    "hard_gate": f"""WITH i AS (SELECT l_orderkey AS video_id, ['NO_CLIP', 'CHRONOLOGY', 'NARRATION_DURATION_MISMATCH', 'TARGET_DURATION_MISMATCH', 'VOICE_VIDEO_DRIFT', 'STORY_ARC_INCOMPLETE', 'NARRATIVE_LOGIC', 'SOURCE_COVERAGE', 'LOW_VISUAL_MATCH', 'POST_RENDER_VISUAL_MISMATCH', 'UNSUPPORTED_NARRATION', 'STYLE_MISMATCH', 'REPETITIVE_TRANSITIONS', 'UNVERIFIED_EVENT', 'OTHER'][l_partkey % 15 + 1] AS code, CASE l_returnflag WHEN 'R' THEN 'error' WHEN 'A' THEN 'warning' ELSE 'info' END AS s FROM lineitem),
+g AS (SELECT video_id, code, CASE WHEN code IN ('STYLE_MISMATCH', 'REPETITIVE_TRANSITIONS', 'UNVERIFIED_EVENT') THEN 'warning' ELSE s END AS severity FROM i)
+SELECT video_id, count(*) AS n_issues, count(*) FILTER (severity = 'warning') AS n_warnings, count(*) FILTER (severity = 'error' AND code <> 'OTHER') AS n_blocking, count(*) FILTER (severity = 'error' AND code <> 'OTHER') = 0 AS passed FROM g GROUP BY 1""",
     "budgets": f"WITH x AS (SELECT p_partkey, p_size - 3 AS minutes, ['story', 'fast', 'emotional', 'funny', 'other'][p_partkey % 5 + 1] AS style FROM part), {_budget('x', 'p_partkey')} SELECT * FROM q",
     "meets_budget": rf"""WITH {_S}, x AS (SELECT DISTINCT video_id, video_id % 5 AS minutes, 'fast' AS style FROM s), {_budget('x', 'video_id')}, n AS (SELECT video_id, sum(len(regexp_extract_all(narration, '[\pL\pN\pM_]+', 0)))::BIGINT AS n_words, count(*) AS n_segments FROM s GROUP BY 1)
 SELECT video_id, n_words, n_segments, n_words BETWEEN min_words AND max_words AND n_segments BETWEEN min_segments AND max_segments AS ok FROM n JOIN q USING (video_id)""",

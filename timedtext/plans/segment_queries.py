@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import segments as G
@@ -38,7 +38,9 @@ def chronology(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repeats_previous(spark: SparkSession, d: str) -> DataFrame:
-    return G.repeats_previous(_segments(spark, d), 0.2).select("video_id", "seq", micro("overlap").alias("overlap_micro"), "repeats")
+    s = _segments(spark, d).withColumn("scene_ids", F.when(F.col("weight") % 7 == 0, F.array()).otherwise(F.array(F.floor(F.col("seq") / 4))))
+    said = F.when(F.col("weight") % 3 == 0, F.array(F.lit(" Walks  off"))).when(F.col("weight") % 5 == 0, F.array(F.lit("a"), F.lit("b"))).when(F.col("weight") % 11 == 0, F.array(F.lit(" "))).otherwise(F.array(F.lit("walks off")))
+    return G.repeats_previous(s.withColumn("actions", said), 0.2).select("video_id", "seq", micro("overlap").alias("overlap_micro"), "repeats")
 
 
 def allocate_voice(spark: SparkSession, d: str) -> DataFrame:
@@ -65,12 +67,13 @@ def story_roles(spark: SparkSession, d: str) -> DataFrame:
 
 def quantize(spark: SparkSession, d: str) -> DataFrame:
     p = _segments(spark, d).select("video_id", "seq", (F.col("weight") % 97).alias("length_ms"))
+    p = p.withColumn("target_ms", F.sum("length_ms").over(Window.partitionBy("video_id")) + F.col("video_id") % 90)
     return G.quantize(p, 30).select("video_id", "seq", "frame_end")
 
 
 def partition_repeats(spark: SparkSession, d: str) -> DataFrame:
-    p = V.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("video_id"), F.col("l_orderkey").alias("seq")).agg((F.sum("l_linenumber") % 3 * 1000).alias("start_ms"))
-    return G.partition_repeats(p.withColumn("end_ms", F.col("start_ms") + 2000)).select("video_id", "seq", "slice_start_ms", "slice_end_ms")
+    p = V.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("video_id"), F.col("l_orderkey").alias("seq")).agg((F.sum("l_linenumber") % 3 * 1000 + F.sum("l_linenumber") % 5 * 20).alias("start_ms"), (2000 + F.max("l_linenumber") % 4 * 30).alias("length"))
+    return G.partition_repeats(p.withColumn("end_ms", F.col("start_ms") + F.col("length"))).select("video_id", "seq", "slice_start_ms", "slice_end_ms")
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -116,8 +119,8 @@ ORACLE_SQL = {
 y AS (SELECT *, same AND marker IN {GENERIC} AND trim(rest) <> '' AS stripped FROM x) SELECT video_id, seq, stripped, md5(CASE WHEN stripped THEN replace(upper(left(rest, 1)), 'ẞ', 'SS') || substring(rest, 2) ELSE narration END) AS narration_md5 FROM y""",
     "chronology": f"""WITH {_S} SELECT video_id, seq, coalesce(event_no < lag(event_no) OVER w, FALSE) AS event_back, coalesce(start_ms < lag(start_ms) OVER w - 250, FALSE) AS time_back,
 coalesce(start_ms < max(start_ms) OVER (PARTITION BY video_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 250, FALSE) AS behind_latest FROM s WINDOW w AS {_W}""",
-    "repeats_previous": rf"""WITH {_S}, p AS (SELECT *, lag(event_no) OVER w AS pe, list_distinct(regexp_extract_all(strip_accents(lower(narration)), '[\pL\pN\pM_]{{2,}}', 0)) AS a, list_distinct(regexp_extract_all(strip_accents(lower(lag(narration) OVER w)), '[\pL\pN\pM_]{{2,}}', 0)) AS b FROM s WINDOW w AS {_W}),
-o AS (SELECT *, CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END AS v FROM p WHERE pe IS NOT NULL) SELECT video_id, seq, cast(floor(v * 1000000 + 0.5) AS BIGINT) AS overlap_micro, event_no = pe AND v >= 0.2::DOUBLE AS repeats FROM o""",
+    "repeats_previous": rf"""WITH {_S}, p AS (SELECT *, lag(event_no) OVER w AS pe, list_distinct(regexp_extract_all(strip_accents(lower(narration)), '[\pL\pN\pM_]{{2,}}', 0)) AS a, list_distinct(regexp_extract_all(strip_accents(lower(lag(narration) OVER w)), '[\pL\pN\pM_]{{2,}}', 0)) AS b, seq // 4 = lag(seq) OVER w // 4 AND weight % 7 <> 0 AND lag(weight) OVER w % 7 <> 0 AND (weight % 3 = 0 OR (weight % 5 <> 0 AND weight % 11 <> 0)) AND (lag(weight) OVER w % 3 = 0 OR (lag(weight) OVER w % 5 <> 0 AND lag(weight) OVER w % 11 <> 0)) AS same FROM s WINDOW w AS {_W}),
+o AS (SELECT *, CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END AS v FROM p WHERE pe IS NOT NULL) SELECT video_id, seq, cast(floor(v * 1000000 + 0.5) AS BIGINT) AS overlap_micro, event_no = pe AND same AND v >= 0.2::DOUBLE AS repeats FROM o""",
     "allocate_voice": f"""WITH {_S}, t AS (SELECT *, sum(weight) OVER (PARTITION BY video_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run, sum(weight) OVER (PARTITION BY video_id) AS total FROM s),
 e AS (SELECT video_id, seq, cast(floor(run * (total * 55 + 345) / total::DOUBLE + 0.5) AS BIGINT) AS voice_end_ms FROM t) SELECT video_id, seq, coalesce(lag(voice_end_ms) OVER {_W}, 0) AS voice_start_ms, voice_end_ms FROM e""",
     "resequence": f"""WITH {_S}, o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY weight, seq) AS new_seq, greatest(10, end_ms - start_ms) AS len FROM s), e AS (SELECT *, sum(len) OVER (PARTITION BY video_id ORDER BY new_seq ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM o)
@@ -128,9 +131,12 @@ SELECT video_id, seq, row_number() OVER (PARTITION BY video_id ORDER BY event_no
 r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY event_no) - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n FROM f)
 SELECT video_id, event_no, CASE WHEN i = 0 THEN 'hook' WHEN i = n - 1 THEN 'resolution' WHEN i / greatest(n - 1, 1) <= 0.25 THEN 'context' WHEN i / greatest(n - 1, 1) <= 0.65::DOUBLE THEN 'conflict' WHEN i / greatest(n - 1, 1) <= 0.85::DOUBLE THEN 'climax' ELSE 'resolution' END AS role FROM r""",
     "quantize": f"""WITH RECURSIVE {_S}, p AS (SELECT video_id, seq, round_even(sum(weight % 97) OVER (PARTITION BY video_id ORDER BY seq ROWS UNBOUNDED PRECEDING) * 30 / 1000.0::DOUBLE, 0)::BIGINT AS f FROM s),
-q(video_id, seq, frame_end) AS (SELECT video_id, seq, greatest(1, f) FROM p WHERE seq = 0 UNION ALL SELECT p.video_id, p.seq, greatest(q.frame_end + 1, p.f) FROM q JOIN p ON p.video_id = q.video_id AND p.seq = q.seq + 1) SELECT * FROM q""",
-    "partition_repeats": """WITH p AS (SELECT l_suppkey AS video_id, l_orderkey AS seq, sum(l_linenumber) % 3 * 1000 AS lo FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seq) - row_number() OVER (PARTITION BY video_id, lo ORDER BY seq) AS run FROM p),
-i AS (SELECT *, row_number() OVER (PARTITION BY video_id, lo, run ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY video_id, lo, run) AS n FROM r) SELECT video_id, seq, (lo + 2000 * i // n)::BIGINT AS slice_start_ms, (lo + 2000 * (i + 1) // n)::BIGINT AS slice_end_ms FROM i""",
+q(video_id, seq, frame_end) AS (SELECT video_id, seq, greatest(1, f) FROM p WHERE seq = 0 UNION ALL SELECT p.video_id, p.seq, greatest(q.frame_end + 1, p.f) FROM q JOIN p ON p.video_id = q.video_id AND p.seq = q.seq + 1), n AS (SELECT video_id, max(seq) AS last, count(*) AS n, ceil((sum(weight % 97) + any_value(video_id) % 90) * 30 / 1000.0::DOUBLE)::BIGINT AS f FROM s GROUP BY 1) SELECT video_id, seq, CASE WHEN seq = last THEN greatest(n, f) ELSE frame_end END AS frame_end FROM q JOIN n USING (video_id)""",
+    "partition_repeats": """WITH RECURSIVE p AS (SELECT l_suppkey AS video_id, l_orderkey AS seq, (sum(l_linenumber) % 3 * 1000 + sum(l_linenumber) % 5 * 20)::BIGINT AS lo, (2000 + max(l_linenumber) % 4 * 30)::BIGINT AS len, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS r FROM lineitem GROUP BY 1, 2),
+f(video_id, r, seq, first, lo, len) AS (SELECT video_id, r, seq, r, lo, len FROM p WHERE r = 1 UNION ALL
+  SELECT p.video_id, p.r, p.seq, CASE WHEN n THEN p.r ELSE f.first END, CASE WHEN n THEN p.lo ELSE f.lo END, CASE WHEN n THEN p.len ELSE f.len END
+  FROM (SELECT f.*, p.r AS nr, abs(p.lo - f.lo) > 50 OR abs(p.len - f.len) > 50 AS n FROM f JOIN p ON p.video_id = f.video_id AND p.r = f.r + 1) f JOIN p ON p.video_id = f.video_id AND p.r = f.nr),
+i AS (SELECT *, count(*) OVER (PARTITION BY video_id, first) AS n FROM f) SELECT video_id, seq, (lo + len * (r - first) // n)::BIGINT AS slice_start_ms, (lo + len * (r - first + 1) // n)::BIGINT AS slice_end_ms FROM i""",
     "top_candidates": f"WITH {_CAND}, g AS (SELECT video_id, seq, candidate_id, max(score) AS score FROM c GROUP BY 1, 2, 3) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, seq ORDER BY score DESC, candidate_id)::INT AS rank FROM g) WHERE rank <= 3",
     "candidate_pool": f"WITH {_CAND} SELECT video_id, candidate_id, max(score) AS score, arg_min(pos, (-score, pos)) AS pos FROM c GROUP BY 1, 2",
     "smooth_boxes": f"""WITH {_BOX}, m AS (SELECT *, median(x) OVER w AS mx, median(y) OVER w AS my, median(w) OVER w AS mw, median(h) OVER w AS mh FROM r WINDOW w AS (PARTITION BY video_id ORDER BY region_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))

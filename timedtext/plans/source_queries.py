@@ -57,7 +57,7 @@ def captions(spark: SparkSession, d: str) -> DataFrame:
 
 def tags(spark: SparkSession, d: str) -> DataFrame:
     docs = V.table(spark, d, "documents")
-    out = docs.select("doc_id", T.clean_tags(F.transform(F.slice(F.split("text", " "), 1, 40), lambda w: F.concat(F.lit("##"), w))).alias("t"))
+    out = docs.select("doc_id", T.clean_tags(F.transform(F.split("text", " "), lambda w: F.concat(F.lit("##"), w))).alias("t"))
     return out.select("doc_id", F.size("t").alias("n"), F.array_join("t", ",").alias("tags"))
 
 
@@ -106,7 +106,7 @@ SELECT video_id, role, arg_min(name, rank) AS name FROM l JOIN p USING (name) WH
 {_HMS} AS clock, end_ms AS parsed_ms, end_ms // 1000 * 1000 AS clock_ms, cast(floor(exp(-pow((end_ms - start_ms) / 108000.0::DOUBLE, 2)) * 1000000 + 0.5) AS BIGINT) AS near_micro FROM t""",
     "captions": r"""WITH t AS (SELECT doc_id, trim(regexp_replace(replace('"' || replace(text, '.', ' .') || '.....', '\N', ' '), '\s+', ' ', 'g')) AS t FROM documents), a AS (SELECT doc_id, regexp_replace(t, '([0-9]),\s+([0-9])', '\1,\2', 'g') AS t FROM t),
 b AS (SELECT doc_id, trim(t, e' \t\n"''') AS t FROM a), d AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\.{4,}', '...', 'g'), '\s+([.,!?:;])', '\1', 'g') AS t FROM b) SELECT doc_id, md5(regexp_replace(t, ',([^\s0-9])', ', \1', 'g')) AS caption_md5 FROM d""",
-    "tags": r"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')[1:40]) AS w, generate_subscripts(string_split(text, ' ')[1:40], 1) AS i FROM documents), t AS (SELECT doc_id, regexp_replace(lower(w), '[^\pL\pN\pM_-]+', '', 'g') AS t, i FROM w),
+    "tags": r"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents), t AS (SELECT doc_id, regexp_replace(lower(w), '[^\pL\pN\pM_-]+', '', 'g') AS t, i FROM w),
 u AS (SELECT doc_id, t, min(i) AS i FROM t WHERE t <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM u) SELECT doc_id, count(t)::INT AS n, coalesce(string_agg(t, ',' ORDER BY k), '') AS tags FROM documents LEFT JOIN r USING (doc_id) WHERE coalesce(k, 1) <= 18 GROUP BY 1""",
     "numbers": """WITH n AS (SELECT p_partkey, p_size / 4.0::DOUBLE AS v FROM part) SELECT p_partkey, cast(floor(v * 1000000 + 0.5) AS BIGINT) AS number_micro, cast(floor(least(1, greatest(0, CASE WHEN v > 1 THEN v / 100 ELSE v END)) * 1000000 + 0.5) AS BIGINT) AS confidence_micro FROM n""",
     "json_recovery": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN o_orderstatus END AS status FROM orders",
