@@ -192,6 +192,8 @@ def linked(bands: DataFrame, sets_of: Callable[[DataFrame], tuple[DataFrame, Dat
         placed = _placed(members, found, scratch, f"{name}-placed")
         joined = scratch.table(components(step(placed, sketch, sets, scratch, name), scratch, f"{name}-cc"), f"{name}-joined")
         found = scratch.table(_merged(found, joined), f"{name}-found")
+        for done in ("placed", "open", "reps", "shared"):
+            scratch.drop(f"{name}-{done}")
     return found
 
 
@@ -223,10 +225,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = both.groupBy("id", "th").agg(F.array_except(F.collect_set("seen"), F.collect_set("first")).alias("gone"))
     gone = scratch.table(gone.where("size(gone) > 0"), "gone").select(F.col("id").alias("gid"), F.col("th").alias("gth"), "gone")
     # The row is one column, so that no name of the caller's meets one of ours.
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("th"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
     out = out.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
     # The split text is used several times below, so that Spark keeps it as a column of its own.
-    out = out.withColumn("parts", F.split("t", "\n"))
+    out = out.withColumn("t", F.col(f"row.`{text_col}`")).withColumn("parts", F.split("t", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n"))
     n_lines = F.when(F.col("t").isNotNull(), F.size("parts")).alias("n_lines")
