@@ -26,6 +26,8 @@ _SLACK = 1e-6
 _SEND = 2000
 #: Vectors of a length with no more rows than this are one leaf without a tree.
 _FEW = 64
+#: Below a level with more surviving pairs of nodes the driver does not go on: the bounds prune too little there.
+_MOST_PAIRS = 20_000
 _ROWS = 1000
 
 
@@ -176,6 +178,8 @@ def depth_of_least_cost(levels: list[tuple[np.ndarray, np.ndarray]], points: np.
         cost = (_SEND * np.where(i == j, n[i] * chunks[i], n[i] * chunks[j] + n[j] * chunks[i]) + n[i] * n[j]).sum()
         if best is None or cost < best[0]:
             best = cost, k, np.stack([i, j], axis=1)
+        if len(pairs) > _MOST_PAIRS:
+            break
     return best[1], best[2]
 
 
