@@ -158,6 +158,26 @@ def test_tracks_switch_only_when_a_box_persists(spark):
     assert [r.x for r in J.track_boxes(d).orderBy("frame").collect()] == [1.0, 1.1, 1.1, 1.0, 1.0, 1.0, 51.0, 51.0]
 
 
+def test_a_track_ends_after_misses_and_takes_what_comes_next(spark):
+    boxes = [1.0, *[None] * 3, *[60.0] * 2, None, 60.0]
+    d = spark.createDataFrame([(v, f, x, *([1.0, 2.0, 2.0] if x is not None else [None] * 3)) for v in (1, 2) for f, x in enumerate(boxes)], "video_id long, frame long, x double, y double, w double, h double")
+    got = [r.x for r in J.track_boxes(d.unionByName(d), hold=4).where("video_id = 2").orderBy("frame").collect()]
+    # Two boxes of another place are misses as well: the second of them ends the track.
+    assert got == [1.0, 1.0, 1.0, 1.0, 1.0, None, None, 60.0]
+
+
+def test_tracks_of_a_stream_equal_the_batch(spark, tmp_path):
+    rows = [(v, f, *((None,) * 4 if (f + v) % 7 == 3 else (float((f * v) % 40), 80.0, 20.0, 5.0))) for v in range(4) for f in range(40)]
+    schema = "video_id long, frame long, x double, y double, w double, h double"
+    for part in (rows[::-1][:80], rows[::-1][80:]):
+        spark.createDataFrame(sorted(part, key=lambda r: r[1], reverse=True), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
+    q = J.track_boxes_stream(s).writeStream.outputMode("append").format("memory").queryName("tracks").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    _drain(q)
+    want = J.track_boxes(spark.createDataFrame(rows, schema)).collect()
+    assert len(want) == 160 and sorted(map(str, spark.table("tracks").collect())) == sorted(map(str, want))
+
+
 def _feed(spark, tmp_path, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "feed"))
     return spark.readStream.schema(schema).parquet(str(tmp_path / "feed"))

@@ -63,35 +63,79 @@ def windowed_activity(updates: DataFrame, window: str = "1 hour", watermark: str
     return d.select(F.col("w.start").alias("window_start"), "status", "n", "max_progress")
 
 
+_BOXES = "video_id long, frame long, x double, y double, w double, h double"
+_NO_TRACK = (-1, *(None,) * 8, 0, 0)
+
+
+def _near(a: tuple, b: tuple) -> bool:
+    """Centres within 18 percent of the width, and 4.5 percent of the height or one and a half boxes."""
+    across, down = abs(a[0] + a[2] / 2 - b[0] - b[2] / 2), abs(a[1] + a[3] / 2 - b[1] - b[3] / 2)
+    return across <= 18 and down <= max(4.5, 1.5 * max(a[3], b[3]))
+
+
+def _track(state: tuple, frame: int, box: tuple | None, persist: int, hold: int) -> tuple:
+    """Next state ``(frame, track x y w h, candidate x y w h, frames of the candidate, misses)``."""
+    track, other, seen, missed = state[1:5], state[5:9], state[9], state[10]
+    if box is not None and track[0] is not None and not _near(track, box):
+        seen = seen + 1 if other[0] is not None and _near(other, box) else 1
+        other = box
+        if seen < persist:
+            box = None
+        else:
+            other, seen = (None,) * 4, 0
+    elif box is not None:
+        other, seen = (None,) * 4, 0
+    if box is not None:
+        return (frame, *box, *other, seen, 0)
+    kept = track[0] is not None and missed < hold
+    return (frame, *(track if kept else (None,) * 4), *other, seen, missed + 1)
+
+
+def _rows(pdf: pd.DataFrame) -> Iterator[tuple]:
+    for v, frame, *box in zip(*(pdf[c].tolist() for c in ("video_id", "frame", "x", "y", "w", "h"))):
+        yield v, frame, None if any(pd.isna(b) for b in box) else tuple(map(float, box))
+
+
+def _tracked(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["video_id", "frame", "x", "y", "w", "h"]).astype({"video_id": "int64", "frame": "int64", **{c: "float64" for c in "xywh"}})
+
+
 def track_boxes(detections: DataFrame, persist: int = 3, hold: int = 15) -> DataFrame:
-    """Stable boxes per video from detections ``(video_id, frame, x, y, w, h)`` with null boxes for misses.
+    """Stable boxes per video from detections ``(video_id, frame, x, y, w, h)`` in percent of the picture, null for misses.
 
-    A box that does not overlap the tracked one must come ``persist`` frames in a row before it replaces it; misses keep the
-    track for ``hold`` frames and then drop it. The order matters, so that this is a fold per video; state is two boxes.
+    A box far from the tracked one must come ``persist`` frames in a row before it replaces it, and counts as a miss until then; misses keep
+    the track for ``hold`` frames and then drop it. The order matters, so that rows are sorted inside their task and go by one at a time;
+    what is kept of a video is two boxes. Of repeated frames the first by box counts.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, track, other, seen, missed = [], None, None, 0, 0
-        for r in pdf.sort_values("frame").itertuples():
-            box = None if pd.isna(r.x) else (r.x, r.y, r.w, r.h)
-            if box is None:
-                missed += 1
-                if missed > hold:
-                    track, other, seen = None, None, 0
-            else:
-                missed = 0
-                if track is None or _meets(track, box):
-                    track, other, seen = box, None, 0
-                else:
-                    seen = seen + 1 if other is not None and _meets(other, box) else 1
-                    other = box
-                    if seen >= persist:
-                        track, other, seen = box, None, 0
-            out.append((r.video_id, r.frame, *(track or (None,) * 4)))
-        return pd.DataFrame(out, columns=["video_id", "frame", "x", "y", "w", "h"]).astype({c: "float64" for c in "xywh"})
-
-    return detections.groupBy("video_id").applyInPandas(run, "video_id long, frame long, x double, y double, w double, h double")
-
-
-def _meets(a: tuple, b: tuple) -> bool:
-    return min(a[0] + a[2], b[0] + b[2]) > max(a[0], b[0]) and min(a[1] + a[3], b[1] + b[3]) > max(a[1], b[1])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video, state = None, _NO_TRACK
+        for pdf in batches:
+            out = []
+            for v, frame, box in _rows(pdf):
+                if v != video:
+                    video, state = v, _NO_TRACK
+                if frame > state[0]:
+                    state = _track(state, frame, box, persist, hold)
+                    out.append((v, frame, *state[1:5]))
+            yield _tracked(out)
+
+    rows = detections.select("video_id", "frame", "x", "y", "w", "h")
+    return rows.repartition("video_id").sortWithinPartitions("video_id", "frame", "x", "y", "w", "h").mapInPandas(run, _BOXES)
+
+
+def track_boxes_stream(detections: DataFrame, persist: int = 3, hold: int = 15) -> DataFrame:
+    """`track_boxes` for a feed: a row per new frame, from a state of two boxes per video. Frames not later than the last one are ignored."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now = tuple(state.get) if state.exists else _NO_TRACK
+        out = []
+        for v, frame, box in sorted((r for f in frames for r in _rows(f)), key=lambda r: (r[1], r[2] is not None, r[2] or ())):
+            if frame > now[0]:
+                now = _track(now, int(frame), box, persist, hold)
+                out.append((v, frame, *now[1:5]))
+        state.update(now)
+        yield _tracked(out)
+
+    kept = "frame long, " + ", ".join(f"{p}{c} double" for p in "to" for c in "xywh") + ", seen long, missed long"
+    return detections.select("video_id", "frame", "x", "y", "w", "h").groupBy("video_id").applyInPandasWithState(run, _BOXES, kept, "append", GroupStateTimeout.NoTimeout)
