@@ -70,16 +70,19 @@ def split_cues(cues: DataFrame, max_chars: int = 42, max_ms: int = 3200) -> Data
     def cut(text: pd.Series, ms: pd.Series) -> pd.Series:
         return pd.Series([parts(t, m, max_chars, max_ms) for t, m in zip(text, ms)])
 
+    # Not pushed into the filter that Spark infers from the explosion, so that it runs once a row.
+    cut = cut.asNondeterministic()
     ms = F.greatest(F.lit(10).cast("long"), F.col("end_ms") - F.col("start_ms"))
     d = normalize_cues(cues).where("text is not null").select("video_id", F.col("cue_no").alias("source_no"), "start_ms", "end_ms", ms.alias("ms"), cut("text", ms).alias("parts"))
     least = F.least(F.lit(600.0), F.col("ms") / F.size("parts"))
     d = d.withColumn("least", least).withColumn("rest", F.greatest(F.lit(0.0), F.col("ms") - least * F.size("parts"))).withColumn("total", F.length(F.array_join("parts", "")))
-    d = d.select("*", F.posexplode("parts").alias("i", "text"))
+    # One shuffle for all windows below: by themselves, the first of them would deal the rows by its own longer key.
+    d = d.select("*", F.posexplode("parts").alias("i", "text")).withColumn("n", F.size("parts")).drop("parts").repartition("video_id")
     w = Window.partitionBy("video_id", "source_no", "start_ms").orderBy("i")
     done = F.sum(F.length("text")).over(w)
     edge = lambda k, chars: F.col("start_ms") + F.floor(F.col("least") * k + F.col("rest") * chars / F.col("total") + 0.5)
     start = F.when(F.col("i") == 0, F.col("start_ms")).otherwise(F.least("end_ms", edge(F.col("i"), done - F.length("text"))))
-    end = F.when(F.col("i") == F.size("parts") - 1, F.col("end_ms")).otherwise(F.least("end_ms", edge(F.col("i") + 1, done)))
+    end = F.when(F.col("i") == F.col("n") - 1, F.col("end_ms")).otherwise(F.least("end_ms", edge(F.col("i") + 1, done)))
     d = d.select("video_id", "source_no", "i", "text", start.cast("long").alias("start_ms"), end.cast("long").alias("end_ms"))
     order = Window.partitionBy("video_id").orderBy("start_ms", "source_no", "i")
     d = d.withColumn("cue_no", (F.row_number().over(order) - 1).cast("long"))
