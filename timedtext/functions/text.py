@@ -87,14 +87,15 @@ def token_overlap(a: str | Column, b: str | Column) -> Column:
 
 def list_overlap(required: str | Column, visible: str | Column, default: float, least: float = 0.45) -> Column:
     """Share of required phrases whose tokens mostly occur in the visible ones; ``default`` when nothing is required."""
-    seen = tokens(F.array_join(_col(visible), " "))
+    def hits(seen: Column) -> Column:
+        def hit(x: Column) -> Column:
+            return F.when((F.size(x) > 0) & (F.size(F.array_intersect(x, seen)) / F.size(x) >= least), 1.0).otherwise(0.0)
 
-    def hit(item: Column) -> Column:
-        x = tokens(item)
-        return F.when((F.size(x) > 0) & (F.size(F.array_intersect(x, seen)) / F.size(x) >= least), 1.0).otherwise(0.0)
+        return F.aggregate(F.transform(F.transform(_col(required), tokens), hit), F.lit(0.0), lambda s, v: s + v)
 
     n = F.size(_col(required))
-    return F.when(n > 0, F.aggregate(F.transform(_col(required), hit), F.lit(0.0), lambda s, v: s + v) / n).otherwise(F.lit(default))
+    # An array of one binds the visible tokens, so that they are found once and not once a phrase.
+    return F.when(n > 0, F.transform(F.array(tokens(F.array_join(_col(visible), " "))), hits)[0] / n).otherwise(F.lit(default))
 
 
 def word_count(c: str | Column) -> Column:

@@ -66,9 +66,10 @@ def sample_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Some slots and some recordings have a number of their own, so that either side misses them."""
     c = V.cues(spark, d)
-    slots = c.where("cue_no % 5 <> 4").select("video_id", F.col("cue_no").alias("idx"), (F.col("end_ms") - F.col("start_ms")).alias("available_ms"))
-    recorded = c.where("cue_no % 4 <> 3").select("video_id", F.col("cue_no").alias("idx"), F.when(F.col("cue_no") % 6 == 5, F.lit(None)).otherwise(F.col("end_ms") - F.col("start_ms") + F.col("cue_no") * 40).alias("duration_ms"))
+    slots = c.select("video_id", F.expr("if(cue_no % 5 = 4, -2 * cue_no, cue_no)").alias("idx"), (F.col("end_ms") - F.col("start_ms")).alias("available_ms"))
+    recorded = c.select("video_id", F.expr("if(cue_no % 4 = 3, -2 * cue_no - 1, cue_no)").alias("idx"), F.when(F.col("cue_no") % 6 == 5, F.lit(None)).otherwise(F.col("end_ms") - F.col("start_ms") + F.col("cue_no") * 40).alias("duration_ms"))
     out = I.audit_slots(slots, recorded)
     return out.select("video_id", "n_recorded", "n_expected", "n_overrun", "n_unreadable", micro("coverage").alias("coverage_micro"), "matched")
 
@@ -120,8 +121,8 @@ SELECT video_id, source_ms, target_ms, both_ms, cast(floor(mean_offset_ms * 1000
 SELECT video_id, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS n FROM (SELECT *, idx - row_number() OVER (PARTITION BY video_id ORDER BY idx) AS g FROM s) GROUP BY video_id, g""",
     "sample_windows": f"""SELECT video_id, cue_no AS idx, coalesce((lag(start_ms) OVER w + start_ms) // 2, 0) AS from_ms, coalesce((lead(start_ms) OVER w + start_ms) // 2, 4000000000000) AS to_ms
 FROM ({V.SPANS_DUCK}) WINDOW w AS (PARTITION BY video_id ORDER BY start_ms, cue_no)""",
-    "audit_slots": f"""WITH c AS ({V.CUES_DUCK}), e AS (SELECT video_id, cue_no, end_ms - start_ms AS a FROM c WHERE cue_no % 5 <> 4),
-r AS (SELECT video_id, cue_no, CASE WHEN cue_no % 6 = 5 THEN NULL ELSE end_ms - start_ms + cue_no * 40 END AS d, 1 AS has FROM c WHERE cue_no % 4 <> 3),
+    "audit_slots": f"""WITH c AS ({V.CUES_DUCK}), e AS (SELECT video_id, CASE WHEN cue_no % 5 = 4 THEN -2 * cue_no ELSE cue_no END AS cue_no, end_ms - start_ms AS a FROM c),
+r AS (SELECT video_id, CASE WHEN cue_no % 4 = 3 THEN -2 * cue_no - 1 ELSE cue_no END AS cue_no, CASE WHEN cue_no % 6 = 5 THEN NULL ELSE end_ms - start_ms + cue_no * 40 END AS d, 1 AS has FROM c),
 x AS (SELECT video_id, count(has) AS n_recorded, count(a) AS n_expected, count(*) FILTER (d > a + 80) AS n_overrun, count(*) FILTER (has = 1 AND a IS NOT NULL AND d IS NULL) AS n_unreadable,
   count(*) FILTER (has = 1 AND a IS NOT NULL) AS n FROM e FULL JOIN r USING (video_id, cue_no) GROUP BY 1)
 SELECT video_id, n_recorded, n_expected, n_overrun, n_unreadable,

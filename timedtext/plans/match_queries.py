@@ -27,7 +27,7 @@ def _texts(c: DataFrame) -> DataFrame:
 
 
 def _timed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    c = V.cues(spark, d).where("cue_no % 7 <> 3")
+    c = V.cues(spark, d)
     return _texts(c), _words(c), c.groupBy("video_id").agg(F.max("end_ms").alias("duration_ms"))
 
 
@@ -52,13 +52,13 @@ def match_by_tokens(spark: SparkSession, d: str) -> DataFrame:
 def _scenes(spark: SparkSession, d: str) -> DataFrame:
     c = V.cues(spark, d)
     words = T.terms("text")
-    s = c.select("video_id", F.col("cue_no").alias("scene_id"), "start_ms", "end_ms", F.slice(words, 1, 2).alias("characters"), F.when(F.col("cue_no") % 3 == 0, "UNKNOWN").otherwise(F.left("text", F.lit(30))).alias("summary"), F.when(F.col("cue_no") % 4 == 0, "").otherwise(F.right("text", F.lit(20))).alias("dialogue"), (F.col("cue_no") % 3).alias("n_evidence"))
-    return s.where("scene_id % 6 <> 5")
+    return c.select("video_id", F.col("cue_no").alias("scene_id"), "start_ms", "end_ms", words.alias("characters"), F.when(F.col("cue_no") % 3 == 0, "UNKNOWN").otherwise(F.col("text")).alias("summary"), F.when(F.col("cue_no") % 4 == 0, "").otherwise(F.reverse("text")).alias("dialogue"), (F.col("cue_no") % 3).alias("n_evidence"))
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
+    """Three cues an event; each names one more scene that no table has."""
     c = V.cues(spark, d)
-    return c.groupBy("video_id", F.floor(F.col("cue_no") / 3).alias("event_no")).agg(F.array_sort(F.collect_list("cue_no")).alias("scene_ids"))
+    return c.groupBy("video_id", F.floor(F.col("cue_no") / 3).alias("event_no")).agg(F.concat(F.array(F.lit(-1).cast("long")), F.array_sort(F.collect_list("cue_no"))).alias("scene_ids"))
 
 
 def event_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +118,7 @@ QUERIES = {f.__name__: f for f in (align_by_chars, time_captions, time_segments,
 
 _C = f"c AS ({V.CUES_DUCK})"
 _KEY = r"regexp_replace(lower({}), '[^\pL\pN]', '', 'g')"
-_T = rf"""k AS (SELECT * FROM c WHERE cue_no % 7 <> 3), d AS (SELECT video_id, max(end_ms) AS duration_ms FROM k GROUP BY 1),
+_T = rf"""k AS (SELECT * FROM c), d AS (SELECT video_id, max(end_ms) AS duration_ms FROM k GROUP BY 1),
 x AS (SELECT video_id, cue_no, unnest(regexp_extract_all(text, '[^,.!?]+[,.!?]*', 0)) AS t, generate_subscripts(regexp_extract_all(text, '[^,.!?]+[,.!?]*', 0), 1) - 1 AS i FROM k),
 t AS (SELECT video_id, cue_no * 10000 + i AS text_no, t || CASE WHEN video_id % 7 = 3 THEN 'x' ELSE '' END AS text FROM x WHERE length({_KEY.format('t')}) > 0),
 y AS (SELECT video_id, cue_no, start_ms, end_ms, len(string_split(text, ' ')) AS n, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM k),
@@ -139,7 +139,7 @@ def _vector(source: str, item: str, name: str) -> str:
 {name} AS (SELECT video_id, item_no, term, sum(w) AS weight FROM (SELECT video_id, item_no, t AS term, 1.0::DOUBLE AS w FROM {name}_p UNION ALL SELECT video_id, item_no, t || '_' || n, 1.35::DOUBLE FROM {name}_p WHERE n IS NOT NULL) GROUP BY 1, 2, 3)"""
 
 
-_SC = f"""sc AS (SELECT video_id, cue_no AS scene_id, start_ms, end_ms, ({_TERMS})[1:2] AS characters, CASE WHEN cue_no % 3 = 0 THEN 'UNKNOWN' ELSE left(text, 30) END AS summary, CASE WHEN cue_no % 4 = 0 THEN '' ELSE right(text, 20) END AS dialogue, cue_no % 3 AS n_evidence FROM c WHERE cue_no % 6 <> 5)"""
+_SC = f"""sc AS (SELECT video_id, cue_no AS scene_id, start_ms, end_ms, {_TERMS} AS characters, CASE WHEN cue_no % 3 = 0 THEN 'UNKNOWN' ELSE text END AS summary, CASE WHEN cue_no % 4 = 0 THEN '' ELSE reverse(text) END AS dialogue, cue_no % 3 AS n_evidence FROM c)"""
 ORACLE_SQL = {
     "align_by_chars": f"WITH {_C}, {_T} SELECT video_id, text_no, word_no FROM a",
     "time_captions": f"""WITH {_C}, {_T}, e AS (SELECT s.*, duration_ms, greatest(0, w0 - 80) AS start_ms, least(duration_ms, w1 + 180) AS e, lead(greatest(0, w0 - 80)) OVER (PARTITION BY s.video_id ORDER BY text_no) AS nxt FROM s JOIN d ON d.video_id = s.video_id),
@@ -156,7 +156,7 @@ cn AS (SELECT video_id, event_no, string_agg(n, ',' ORDER BY o) AS characters FR
 SELECT video_id, event_no, min(start_ms) AS start_ms, max(end_ms) AS end_ms, sum(n_evidence)::BIGINT AS evidence_count, sum(n_evidence) > 0 AS verified, coalesce(any_value(cn.characters), '') AS characters,
 md5(coalesce(string_agg(trim(summary), ' | ' ORDER BY start_ms, scene_id) FILTER (trim(summary) <> '' AND upper(trim(summary)) <> 'UNKNOWN'), string_agg(trim(dialogue), ' | ' ORDER BY start_ms, scene_id) FILTER (trim(dialogue) <> ''), '')) AS summary_md5
 FROM j LEFT JOIN cn USING (video_id, event_no) GROUP BY 1, 2""",
-    "scene_candidates": f"""WITH {_C}, {_SC}, e AS (SELECT video_id, cue_no // 3 AS event_no, list(cue_no ORDER BY cue_no) AS ids FROM c GROUP BY 1, 2),
+    "scene_candidates": f"""WITH {_C}, {_SC}, e AS (SELECT video_id, cue_no // 3 AS event_no, [-1] || list(cue_no ORDER BY cue_no) AS ids FROM c GROUP BY 1, 2),
 u AS (SELECT s.video_id, s.cue_no AS seq, unnest([s.cue_no + 1, s.cue_no] || ids) AS scene_id, generate_subscripts([s.cue_no + 1, s.cue_no] || ids, 1) AS o FROM c s JOIN e ON e.video_id = s.video_id AND e.event_no = s.cue_no // 3 WHERE role = 'user'),
 f AS (SELECT video_id, seq, scene_id, min(o) AS o FROM u GROUP BY 1, 2, 3), n AS (SELECT *, (row_number() OVER (PARTITION BY video_id, seq ORDER BY o) - 1)::INT AS pos FROM f)
 SELECT video_id, seq, pos, scene_id FROM n WHERE (video_id, scene_id) IN (SELECT (video_id, scene_id) FROM sc)""",

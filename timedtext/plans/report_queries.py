@@ -16,9 +16,12 @@ VERBS = "the|die|la|of|en"
 
 
 def _scenes(spark: SparkSession, d: str) -> DataFrame:
+    """A document is a scene: its words are dealt in turn to summary, dialogue, actions, seen and heard."""
     s = V.table(spark, d, "documents").select(F.col("doc_id").alias("k"), F.split("text", " ").alias("w"))
-    at = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
-    return s.select((F.col("k") % 40).alias("video_id"), F.col("k").alias("scene_id"), (F.col("k") % 3 == 0).alias("credits"), (F.col("k") % 11 == 0).alias("black"), F.when(F.col("k") % 5 < 3, "UNKNOWN").otherwise(at(0)).alias("summary"), F.when(F.col("k") % 4 > 0, "").otherwise(at(1)).alias("dialogue"), F.slice("w", 3, F.col("k").cast("int") % 2).alias("actions"), F.slice("w", 4, 1).alias("visual"), F.when(F.col("k") % 7 < 4, F.array(F.lit("unknown"))).otherwise(F.slice("w", 5, 1)).alias("spoken"), F.array(F.lit(" ")).alias("subtitle"))
+    every = lambda r: F.filter("w", lambda x, i: i % 5 == r)
+    said = lambda r: F.array_join(every(r), " ")
+    none = F.array().cast("array<string>")
+    return s.select((F.col("k") % 40).alias("video_id"), F.col("k").alias("scene_id"), (F.col("k") % 3 == 0).alias("credits"), (F.col("k") % 11 == 0).alias("black"), F.when(F.col("k") % 5 < 3, "UNKNOWN").otherwise(said(0)).alias("summary"), F.when(F.col("k") % 4 > 0, "").otherwise(said(1)).alias("dialogue"), F.when(F.col("k") % 2 == 1, F.array(said(2))).otherwise(none).alias("actions"), F.array(said(3)).alias("visual"), F.when(F.col("k") % 7 < 4, F.array(F.lit("unknown"))).otherwise(every(4)).alias("spoken"), F.array(F.lit(" ")).alias("subtitle"))
 
 
 def credits_only(spark: SparkSession, d: str) -> DataFrame:
@@ -127,10 +130,11 @@ QUERIES = {f.__name__: f for f in (credits_only, usable_scenes, unsupported_dial
 _M = "regexp_matches({}, '(?i)" + "|".join(MARKERS) + "')"
 _C = f"c AS ({V.CUES_DUCK})"
 _S = f"""x AS (SELECT doc_id AS k, string_split(text, ' ') AS w FROM documents),
-s AS (SELECT k % 40 AS video_id, k AS scene_id, k % 3 = 0 AS credits, k % 11 = 0 AS black, CASE WHEN k % 5 < 3 THEN 'UNKNOWN' ELSE coalesce(w[1], '') END AS summary, CASE WHEN k % 4 > 0 THEN '' ELSE coalesce(w[2], '') END AS dialogue,
-  CASE WHEN k % 2 = 1 THEN coalesce(w[3], '') ELSE '' END AS action, coalesce(w[4], '') AS visual, CASE WHEN k % 7 < 4 THEN 'unknown' ELSE coalesce(w[5], '') END AS spoken FROM x),
-p AS (SELECT *, (trim(summary) <> '' AND upper(summary) <> 'UNKNOWN' AND NOT {_M.format('summary')}) OR (trim(dialogue) <> '' AND NOT {_M.format('dialogue')}) OR (trim(action) <> '' AND NOT {_M.format('action')})
-  OR (trim(visual) <> '' AND upper(visual) <> 'UNKNOWN' AND NOT {_M.format('visual')}) OR (trim(spoken) <> '' AND upper(spoken) <> 'UNKNOWN' AND NOT {_M.format('spoken')}) AS plot FROM s)"""
+e AS (SELECT k, w, {", ".join(f"list_filter(w, lambda x, i: (i - 1) % 5 = {r}) AS w{r}" for r in range(5))} FROM x),
+s AS (SELECT k % 40 AS video_id, k AS scene_id, k % 3 = 0 AS credits, k % 11 = 0 AS black, CASE WHEN k % 5 < 3 THEN 'UNKNOWN' ELSE array_to_string(w0, ' ') END AS summary, CASE WHEN k % 4 > 0 THEN '' ELSE array_to_string(w1, ' ') END AS dialogue,
+  CASE WHEN k % 2 = 1 THEN array_to_string(w2, ' ') ELSE '' END AS action, array_to_string(w3, ' ') AS visual, list_filter(CASE WHEN k % 7 < 4 THEN ['unknown'] ELSE w4 END, lambda x: trim(x) <> '' AND upper(trim(x)) <> 'UNKNOWN') AS spoken FROM e),
+p AS (SELECT *, (trim(summary) <> '' AND upper(trim(summary)) <> 'UNKNOWN' AND NOT {_M.format('summary')}) OR (trim(dialogue) <> '' AND NOT {_M.format('dialogue')}) OR (trim(action) <> '' AND NOT {_M.format('action')})
+  OR (trim(visual) <> '' AND upper(trim(visual)) <> 'UNKNOWN' AND NOT {_M.format('visual')}) OR len(list_filter(spoken, lambda x: NOT {_M.format('x')})) > 0 AS plot FROM s)"""
 _NAMES = ("direct", "chronology", "evidence", "character", "duration", "story", "coverage", "style", "text_match", "subtitle_sync", "technical", "health")
 _R = "r AS (SELECT p_partkey AS video_id, " + ", ".join(f"((p_partkey * {2 * k + 3} + p_size * {k + 1}) % 101)::DOUBLE AS {n}" for k, n in enumerate(_NAMES)) + ", CASE WHEN p_size % 5 > 0 THEN p_size / 20.0::DOUBLE END AS drift, p_retailprice / 4 AS measured_s, p_size % 9 AS minutes FROM part)"
 _OVERALL = "round_even(" + " + ".join(f"{n} * {w}::DOUBLE" for n, w in P.REPORT_WEIGHTS.items()) + ", 2)"
@@ -146,7 +150,7 @@ _PROFILE = "CASE WHEN m = 'best' THEN 'quality' WHEN m IN ('fast', 'balanced', '
 ORACLE_SQL = {
     "credits_only": f"WITH {_S} SELECT scene_id, credits AND NOT plot AS credits_only FROM p",
     "usable_scenes": f"WITH {_S}, q AS (SELECT *, NOT (black OR video_id = 5) AND NOT ((credits OR video_id < 3) AND NOT plot) AS ok FROM p) SELECT video_id, scene_id FROM q WHERE ok OR video_id NOT IN (SELECT video_id FROM q WHERE ok)",
-    "unsupported_dialogue": f"WITH {_S} SELECT video_id, scene_id AS seq FROM s JOIN documents ON doc_id = scene_id WHERE regexp_matches(text, '(?i)(^|[^\\pL\\pN\\pM_])({VERBS})([^\\pL\\pN\\pM_]|$)') AND (trim(spoken) = '' OR upper(trim(spoken)) = 'UNKNOWN')",
+    "unsupported_dialogue": f"WITH {_S} SELECT video_id, scene_id AS seq FROM s JOIN documents ON doc_id = scene_id WHERE regexp_matches(text, '(?i)(^|[^\\pL\\pN\\pM_])({VERBS})([^\\pL\\pN\\pM_]|$)') AND len(spoken) = 0",
     "untranslated": f"WITH {_C} SELECT video_id, cue_no FROM c WHERE cue_no % 5 IN (1, 2) OR trim(text) = ''",
     "same_transcript": rf"WITH {_C}, k AS (SELECT video_id, string_agg(regexp_replace(lower(text), '[^\pL\pN]', '', 'g'), '' ORDER BY cue_no) AS a, string_agg(regexp_replace(lower(CASE WHEN video_id % 3 = 0 THEN replace(text, ' ', '-') ELSE text || 'x' END), '[^\pL\pN]', '', 'g'), '' ORDER BY cue_no) AS b FROM c GROUP BY 1) SELECT video_id, a = b AS same FROM k",
     "cjk_share": rf"WITH {_C}, k AS (SELECT video_id, cue_no, cue_no AS n, length(regexp_replace(text || repeat('字 ', cue_no), '\s', '', 'g')) AS t FROM c) SELECT video_id, cue_no, cast(floor(CASE WHEN t > 0 THEN n / t ELSE 0 END * 1000000 + 0.5) AS BIGINT) AS share_micro FROM k",

@@ -35,11 +35,11 @@ def dubbing_baselines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _post_render(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Line items of a part as segments; four in five were judged, some without a plain verdict."""
+    """Line items of a part as segments; one verdict in five is of a segment that no video has, and some are not plain."""
     li = V.table(spark, d, "lineitem").select(F.col("l_partkey").alias("video_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), "l_orderkey", "l_suppkey", "l_quantity")
     li = li.groupBy("video_id", "seq", "l_orderkey").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_quantity").alias("q"))
     seg = li.select("video_id", "seq", F.when(F.col("l_suppkey") % 6 > 0, 0.70 + F.col("q") / 200).alias("match_score"))
-    judged = li.where("l_orderkey % 5 > 0").select("video_id", "seq", (0.6 + F.col("q") / 125).alias("score"), F.when(F.col("l_suppkey") % 4 > 0, F.col("q") > 4).alias("direct_match"))
+    judged = li.select("video_id", F.expr("if(l_orderkey % 5 = 0, -seq - 1, seq)").alias("seq"), (0.6 + F.col("q") / 125).alias("score"), F.when(F.col("l_suppkey") % 4 > 0, F.col("q") > 4).alias("direct_match"))
     black = li.where("(l_orderkey + l_suppkey) % 97 = 0").select("video_id", "seq")
     v = _videos(spark, d).withColumn("minutes", (F.col("p_size") % 9).cast("int"))
     v = v.withColumn("measured_s", F.greatest(F.lit(1), "minutes") * 60.0 + F.col("video_id") % 13 - 6).withColumn("expected_s", F.col("measured_s") + (F.col("video_id") % 10) / 4)

@@ -112,13 +112,13 @@ def expire_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 def reconcile_ids(spark: SparkSession, d: str) -> DataFrame:
     li = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").alias("item_id"), "l_suppkey", "l_partkey")
-    return C.reconcile_ids(li.where("l_suppkey % 3 <> 0"), li.where("l_partkey % 4 <> 0"))
+    return C.reconcile_ids(li.withColumn("item_id", F.expr("if(l_suppkey % 3 = 0, item_id + 10, item_id)")), li.withColumn("item_id", F.expr("if(l_partkey % 4 = 0, item_id + 20, item_id)")))
 
 
 def changed_rows(spark: SparkSession, d: str) -> DataFrame:
     o = V.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
-    new = o.where("o_orderkey % 11 <> 0").withColumn("o_orderstatus", F.when(F.col("o_custkey") % 5 == 0, F.lit("X")).otherwise(F.col("o_orderstatus")))
-    return C.changed_rows(new, o.where("o_orderkey % 7 <> 0"), ["o_orderkey"], ["o_orderstatus", "o_custkey"])
+    new = o.withColumn("o_orderkey", F.expr("if(o_orderkey % 11 = 0, -2 * o_orderkey, o_orderkey)")).withColumn("o_orderstatus", F.when(F.col("o_custkey") % 5 == 0, F.lit("X")).otherwise(F.col("o_orderstatus")))
+    return C.changed_rows(new, o.withColumn("o_orderkey", F.expr("if(o_orderkey % 7 = 0, -2 * o_orderkey - 1, o_orderkey)")), ["o_orderkey"], ["o_orderstatus", "o_custkey"])
 
 
 def pending_items(spark: SparkSession, d: str) -> DataFrame:
@@ -187,9 +187,9 @@ SELECT video_id, cast(floor(least(100, 100 * (0.65::DOUBLE * hit + 0.35::DOUBLE
     "current_jobs": f"WITH {_U} SELECT job_id, status, progress, updated_at, created_at, n_updates FROM j",
     "recent_jobs": f"WITH {_U} SELECT job_id, status, progress, n_updates FROM j ORDER BY updated_at DESC, job_id LIMIT 8",
     "expire_jobs": f"WITH {_U} SELECT job_id, CASE WHEN status IN ('queued', 'processing', 'view', 'click') AND (SELECT max(epoch_us(updated_at) // 1000000) FROM u) - epoch_us(updated_at) // 1000000 > 7200 THEN 'failed' ELSE status END AS status FROM j",
-    "reconcile_ids": """WITH e AS (SELECT l_orderkey AS video_id, l_linenumber AS id, count(*) AS e FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY 1, 2), r AS (SELECT l_orderkey AS video_id, l_linenumber AS id, count(*) AS r FROM lineitem WHERE l_partkey % 4 <> 0 GROUP BY 1, 2)
+    "reconcile_ids": """WITH e AS (SELECT l_orderkey AS video_id, l_linenumber + CASE WHEN l_suppkey % 3 = 0 THEN 10 ELSE 0 END AS id, count(*) AS e FROM lineitem GROUP BY 1, 2), r AS (SELECT l_orderkey AS video_id, l_linenumber + CASE WHEN l_partkey % 4 = 0 THEN 20 ELSE 0 END AS id, count(*) AS r FROM lineitem GROUP BY 1, 2)
 SELECT video_id, count(*) FILTER (r IS NULL) AS n_missing, count(*) FILTER (e IS NULL) AS n_unexpected, count(*) FILTER (r > 1) AS n_duplicate, coalesce(sum(e), 0) <> coalesce(sum(r), 0) AS count_differs FROM e FULL JOIN r USING (video_id, id) GROUP BY 1""",
-    "changed_rows": """WITH n AS (SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 11 <> 0), o AS (SELECT o_orderkey, o_orderstatus AS t FROM orders WHERE o_orderkey % 7 <> 0)
+    "changed_rows": """WITH n AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN -2 * o_orderkey ELSE o_orderkey END AS o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders), o AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN -2 * o_orderkey - 1 ELSE o_orderkey END AS o_orderkey, o_orderstatus AS t FROM orders)
 SELECT o_orderkey, CASE WHEN t IS NULL THEN 'added' WHEN s IS NULL THEN 'removed' WHEN s = t THEN 'same' ELSE 'changed' END AS change FROM n FULL JOIN o USING (o_orderkey)""",
     "pending_items": f"""WITH {_S}, e AS (SELECT video_id, max(seq) + 1 AS done FROM s GROUP BY video_id, seq // 4)
 SELECT video_id, seq::INT AS item_no FROM s WHERE seq >= CASE WHEN video_id % 3 <> 0 AND (video_id, CASE WHEN video_id % 2 = 0 THEN 8 ELSE 7 END) IN (SELECT (video_id, done) FROM e) THEN CASE WHEN video_id % 2 = 0 THEN 8 ELSE 7 END ELSE 0 END""",

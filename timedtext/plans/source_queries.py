@@ -41,7 +41,7 @@ def pick_track(spark: SparkSession, d: str) -> DataFrame:
 
 def pick_artifacts(spark: SparkSession, d: str) -> DataFrame:
     listing = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("video_id"), F.concat(F.lit("f"), F.col("l_linenumber")).alias("name")).agg(F.max(F.col("l_quantity").cast("long") % 4).alias("size"))
-    order = V.table(spark, d, "nation").where("n_nationkey < 8").select(F.when(F.col("n_nationkey") % 2 == 0, "video").otherwise("text").alias("role"), F.concat(F.lit("f"), F.col("n_nationkey")).alias("name"), (10 - F.col("n_nationkey")).alias("rank"))
+    order = V.table(spark, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, "video").otherwise("text").alias("role"), F.concat(F.lit("f"), F.col("n_nationkey")).alias("name"), (30 - F.col("n_nationkey")).alias("rank"))
     return R.pick_artifacts(listing, order)
 
 
@@ -100,7 +100,7 @@ k AS (SELECT e.*, base + cast(floor(event_id * 12345 / 10000.0::DOUBLE + 0.5) AS
 SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY part_no, event_id) AS word_no, 'w' || event_id AS word, start_ms, start_ms + greatest(10, cast(floor(n / 10000.0::DOUBLE + 0.5) AS BIGINT)) AS end_ms FROM k""",
     "pick_track": """WITH t AS (SELECT s_suppkey % 7 AS video_id, 'l' || (s_nationkey % 4) AS language, s_nationkey % 4 AS r, s_suppkey % 5 = 0 AS o, s_name || CASE WHEN s_suppkey % 5 = 0 THEN '-orig' ELSE '' END AS name FROM supplier),
 h AS (SELECT *, bool_or(o) OVER (PARTITION BY video_id, language) AS has FROM t) SELECT video_id, language, name FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY has DESC, r, o, name) AS i FROM h) WHERE i = 1""",
-    "pick_artifacts": """WITH l AS (SELECT l_orderkey AS video_id, 'f' || l_linenumber AS name, max(l_quantity::BIGINT % 4) AS size FROM lineitem GROUP BY 1, 2), p AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'video' ELSE 'text' END AS role, 'f' || n_nationkey AS name, 10 - n_nationkey AS rank FROM nation WHERE n_nationkey < 8)
+    "pick_artifacts": """WITH l AS (SELECT l_orderkey AS video_id, 'f' || l_linenumber AS name, max(l_quantity::BIGINT % 4) AS size FROM lineitem GROUP BY 1, 2), p AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'video' ELSE 'text' END AS role, 'f' || n_nationkey AS name, 30 - n_nationkey AS rank FROM nation)
 SELECT video_id, role, arg_min(name, rank) AS name FROM l JOIN p USING (name) WHERE size > 0 GROUP BY 1, 2""",
     "timestamps": f"""WITH {_C}, t AS (SELECT *, start_ms AS t FROM c) SELECT video_id, cue_no, {_HMS} || ',' || lpad((t % 1000)::VARCHAR, 3, '0') AS srt, (t // 3600000)::VARCHAR || ':' || lpad((t // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((t // 1000 % 60)::VARCHAR, 2, '0') || '.' || lpad((t % 1000 // 10)::VARCHAR, 2, '0') AS ass,
 {_HMS} AS clock, end_ms AS parsed_ms, end_ms // 1000 * 1000 AS clock_ms, cast(floor(exp(-pow((end_ms - start_ms) / 108000.0::DOUBLE, 2)) * 1000000 + 0.5) AS BIGINT) AS near_micro FROM t""",

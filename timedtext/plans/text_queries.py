@@ -45,22 +45,25 @@ def clip_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scene_match(spark: SparkSession, d: str) -> DataFrame:
+    """The first half of a text is the narration, the second half the scene: its quarters are characters, actions, objects and place."""
     docs = V.table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w"))
+    docs = docs.withColumn("h", F.ceil(F.size("w") / 2).cast("int")).withColumn("q", F.floor((F.size("w") - F.col("h")) / 4).cast("int"))
     at = lambda a, n: F.slice("w", a, n)
     text = lambda a, n: F.array_join(at(a, n), " ")
     none = F.array().cast("array<string>")
+    h, q, n = F.col("h"), F.col("q"), F.size("w")
     c = docs.select(
         "doc_id",
-        text(1, 12).alias("narration"),
-        F.when(F.col("doc_id") % 2 == 0, F.array(text(2, 2))).otherwise(none).alias("req_characters"),
-        F.when(F.col("doc_id") % 3 == 0, F.array(text(30, 3))).otherwise(none).alias("req_actions"),
+        text(F.lit(1), h).alias("narration"),
+        F.when(F.col("doc_id") % 6 == 0, F.array(text(h + 1, q))).when(F.col("doc_id") % 2 == 0, F.array(text(F.lit(1), q))).otherwise(none).alias("req_characters"),
+        F.when(F.col("doc_id") % 3 == 0, F.array(text(h + 1, n - h))).otherwise(none).alias("req_actions"),
         none.alias("req_objects"),
-        F.when(F.col("doc_id") % 5 == 0, F.array(text(8, 2))).otherwise(none).alias("req_locations"),
-        at(5, 3).alias("characters"),
-        at(10, 4).alias("actions"),
-        at(20, 2).alias("objects"),
-        text(25, 1).alias("location"),
-        text(2, 3).alias("summary"),
+        F.when(F.col("doc_id") % 5 == 0, F.array(text(F.lit(1), h))).otherwise(none).alias("req_locations"),
+        F.array(text(h + 1, q)).alias("characters"),
+        at(h + q + 1, q).alias("actions"),
+        at(h + q * 2 + 1, q).alias("objects"),
+        text(h + q * 3 + 1, n - h - q * 3).alias("location"),
+        text(h + 1, q).alias("summary"),
         F.lit("").alias("dialogue"),
         (F.col("doc_id") % 4 == 0).alias("linked"),
         (F.col("doc_id") % 11 / 10).alias("confidence"),
@@ -101,11 +104,11 @@ n AS (SELECT *, greatest(800, coalesce(CASE WHEN x > 0 THEN x END, CASE WHEN v0
 f AS (SELECT *, target - sum(n0) OVER (PARTITION BY video_id) AS drift FROM n), g AS (SELECT *, CASE WHEN seq = last AND abs(drift) <= greatest(500, floor(target * 3 / 100)) THEN greatest(800, n0 + drift) ELSE n0 END AS m FROM f),
 h AS (SELECT *, least(m, 60000) AS o, least(s, 60000) AS a, greatest(least(s, 60000), least(e, 60000)) AS b FROM g), k AS (SELECT *, least(o, greatest(800, b - a)) AS c FROM h)
 SELECT video_id, seq, greatest(0, least(floor((a + b - c) / 2), 60000 - c))::BIGINT AS clip_start_ms, c::BIGINT AS clip_ms, o::BIGINT AS output_ms FROM k""",
-    "scene_match": f"""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
-c AS (SELECT doc_id, w, array_to_string(w[1:12], ' ') AS narration, {_TOK.format("array_to_string(w[5:7], ' ') || ' ' || array_to_string(w[10:13], ' ') || ' ' || array_to_string(w[20:21], ' ') || ' ' || array_to_string(w[25:25], ' ') || ' ' || array_to_string(w[2:4], ' ')")} AS tt FROM w),
-n AS (SELECT *, {_TOK.format('narration')} AS nt FROM c)
+    "scene_match": f"""WITH w AS (SELECT doc_id, w, len(w) AS n, (len(w) + 1) // 2 AS h, (len(w) - (len(w) + 1) // 2) // 4 AS q FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)),
+c AS (SELECT *, array_to_string(w[1:h], ' ') AS narration, array_to_string(w[h + 1:n], ' ') AS scene, array_to_string(w[h + 1:h + q], ' ') AS who, array_to_string(w[1:q], ' ') AS other FROM w),
+z AS (SELECT *, {_TOK.format('narration')} AS nt, {_TOK.format('scene')} AS tt FROM c)
 SELECT doc_id, cast(floor(least(1, greatest(0, CASE WHEN len(nt) > 0 AND len(tt) > 0 THEN len(list_intersect(nt, tt)) / len(nt) ELSE 0 END * 0.16::DOUBLE
-  + ({_hit("array_to_string(w[2:3], ' ')", "doc_id % 2 = 0", "0.75")}) * 0.22::DOUBLE + ({_hit("array_to_string(w[30:32], ' ')", "doc_id % 3 = 0", "0.72")}) * 0.18::DOUBLE + 0.72::DOUBLE * 0.12::DOUBLE
-  + ({_hit("array_to_string(w[8:9], ' ')", "doc_id % 5 = 0", "0.75")}) * 0.07::DOUBLE + CASE WHEN doc_id % 4 = 0 THEN 0.15::DOUBLE ELSE 0 END + doc_id % 11 / 10 * 0.05::DOUBLE + least(1, doc_id % 5 / 3) * 0.05::DOUBLE)) * 1000000 + 0.5) AS BIGINT) AS score_micro,
-  doc_id % 2 = 1 OR list_contains(w[5:7], array_to_string(w[2:3], ' ')) AS supported FROM n""",
+  + ({_hit("(CASE WHEN doc_id % 6 = 0 THEN who ELSE other END)", "doc_id % 2 = 0", "0.75")}) * 0.22::DOUBLE + ({_hit("scene", "doc_id % 3 = 0", "0.72")}) * 0.18::DOUBLE + 0.72::DOUBLE * 0.12::DOUBLE
+  + ({_hit("narration", "doc_id % 5 = 0", "0.75")}) * 0.07::DOUBLE + CASE WHEN doc_id % 4 = 0 THEN 0.15::DOUBLE ELSE 0 END + doc_id % 11 / 10 * 0.05::DOUBLE + least(1, doc_id % 5 / 3) * 0.05::DOUBLE)) * 1000000 + 0.5) AS BIGINT) AS score_micro,
+  doc_id % 2 = 1 OR doc_id % 6 = 0 OR who = other AS supported FROM z""",
 }

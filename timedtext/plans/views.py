@@ -20,11 +20,11 @@ SPANS_DUCK = """
 SELECT user_id AS video_id, event_id AS cue_no, event_type AS track, epoch_us(ts) // 1000 AS start_ms,
   epoch_us(ts) // 1000 + cast(floor(value * 60000) AS bigint) AS end_ms FROM events
 """
-#: Six criteria per supplier; a judge's score is missing for a quarter of them.
+#: Six criteria per supplier, over all its line items; a judge's score is missing for a quarter of them.
 SCORES = """
-SELECT l_suppkey AS video_id, CAST(l_linenumber AS BIGINT) AS k, CAST(sum(CAST(l_quantity AS BIGINT)) % 101 AS DOUBLE) AS baseline,
-  CASE WHEN (l_suppkey + l_linenumber) % 4 = 0 THEN NULL ELSE CAST(sum(l_partkey) % 101 AS DOUBLE) END AS judge
-FROM {lineitem} WHERE l_linenumber <= 6 GROUP BY l_suppkey, l_linenumber
+SELECT video_id, k, CAST(sum(q) % 101 AS DOUBLE) AS baseline, CASE WHEN (video_id + k) % 4 = 0 THEN NULL ELSE CAST(sum(p) % 101 AS DOUBLE) END AS judge
+FROM (SELECT l_suppkey AS video_id, CAST((l_linenumber - 1) % 6 + 1 AS BIGINT) AS k, CAST(l_quantity AS BIGINT) AS q, l_partkey AS p FROM {lineitem})
+GROUP BY video_id, k
 """
 SEGMENTS = """
 SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY cue_no) AS BIGINT) AS seq, CAST(floor(cue_no / 3) AS BIGINT) AS event_no,
