@@ -128,3 +128,11 @@ def test_op10_equals_brute_force(spark):
     near = v @ v.T >= 0.95
     for k, r in enumerate(rows):
         assert out[r[0]].n_links == near[k].sum() - 1
+    ids = np.array([r[0] for r in rows])
+    low = ids.copy()
+    for _ in rows:
+        new = np.array([low[n].min() if n.any() else low[k] for k, n in enumerate(near)])
+        if (new == low).all():
+            break
+        low = new
+    assert [(out[i].component_id, out[i].kept) for i in ids] == [(c, c == i) for i, c in zip(ids, low)]
