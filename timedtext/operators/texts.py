@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
+# Fields whose strings name sources, aliases or places, and endings of such fields.
+KEPT_FIELDS = ("alias", "aliases", "source", "source_name", "original", "original_name", "romanized_name", "other_names", "also_known_as", "asr_variants", "ocr_variants", "path", "url")
+KEPT_ENDINGS = ("_id", "_ids", "_path", "_url")
+
 
 def apply_rules(c: str | Column, rules: list[tuple[str, str]], only_cjk: bool = False) -> Column:
     """Corrections in order, each a regular expression and its replacement; with ``only_cjk`` for texts with CJK alone."""
@@ -22,11 +29,14 @@ def apply_rules(c: str | Column, rules: list[tuple[str, str]], only_cjk: bool =
 
 
 def mask_terms(c: str | Column, terms: list[str]) -> Column:
-    """Whole-word terms replaced by placeholders ``[[k]]``, longest first, so that a translator leaves them alone."""
-    out = F.col(c) if isinstance(c, str) else c
+    """Whole-word terms replaced by placeholders ``[[k]]``, longest first, so that a translator leaves them alone.
+
+    A ``[[`` of the text becomes ``[[-]]``; a term that is a number is not looked for inside placeholders.
+    """
+    out = F.replace(F.col(c) if isinstance(c, str) else c, F.lit("[["), F.lit("[[-]]"))
     order = sorted(range(len(terms)), key=lambda k: (-len(terms[k]), terms[k]))
     for k in order:
-        out = F.regexp_replace(out, f"(?U)(?<!\\w){re.escape(terms[k])}(?!\\w)", f"[[{k}]]")
+        out = F.regexp_replace(out, f"(?U)(?<!\\w)(?<!\\[\\[){re.escape(terms[k])}(?!\\w)", f"[[{k}]]")
     return out
 
 
@@ -34,7 +44,7 @@ def unmask_terms(c: str | Column, terms: list[str]) -> Column:
     out = F.col(c) if isinstance(c, str) else c
     for k, term in enumerate(terms):
         out = F.replace(out, F.lit(f"[[{k}]]"), F.lit(term))
-    return out
+    return F.replace(out, F.lit("[[-]]"), F.lit("[["))
 
 
 def prune_context(m: str | Column, allowed: tuple[str, ...]) -> Column:
@@ -42,29 +52,94 @@ def prune_context(m: str | Column, allowed: tuple[str, ...]) -> Column:
     return F.map_filter(m, lambda k, v: k.isin(*allowed) & F.coalesce(F.trim(v) != "", F.lit(False)))
 
 
+def _rule(names: dict) -> Callable[[str], str]:
+    """Replacement of whole names in one pass, longest first."""
+    if not names:
+        return lambda text: text
+    # Canonical names stand for themselves, so that a part of one is never replaced.
+    table = {**{c: c for c in names.values()}, **names}
+    body = "|".join(re.escape(n).replace("\\ ", "\\s+") for n in sorted(table, key=lambda n: (-len(n), n)))
+    pattern = re.compile(rf"(?<!\w)(?:{body})(?!\w)")
+    return lambda text: pattern.sub(lambda m: table.get(" ".join(m.group().split()), m.group()), text)
+
+
 @F.pandas_udf(StringType())
 def _replace(texts: pd.Series, maps: pd.Series) -> pd.Series:
+    rules: dict = {}
+
     def one(text: str | None, names: dict | list | None) -> str | None:
-        names = dict(names) if names is not None else {}
-        if not text or not names:
-            return text
-        # Canonical names stand for themselves, so that a part of one is never replaced.
-        table = {**{c: c for c in names.values()}, **names}
-        body = "|".join(re.escape(n).replace("\\ ", "\\s+") for n in sorted(table, key=lambda n: (-len(n), n)))
-        return re.sub(rf"(?<!\w)(?:{body})(?!\w)", lambda m: table.get(" ".join(m.group().split()), m.group()), text)
+        key = tuple(dict(names).items()) if names is not None else ()
+        if key not in rules:
+            rules[key] = _rule(dict(key))
+        return rules[key](text) if text else text
 
     return pd.Series([one(t, m) for t, m in zip(texts, maps)], dtype=object)
 
 
+def _name_maps(aliases: DataFrame) -> DataFrame:
+    """``(video_id, __m)``: the map of a video's aliases, of equal ones the first by priority."""
+    pick = aliases.groupBy("video_id", "alias").agg(F.min_by("canonical", F.struct("priority", "canonical")).alias("canonical"))
+    return pick.groupBy("video_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("alias", "canonical")))).alias("__m"))
+
+
 def replace_names(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """Texts with every whole alias replaced by its canonical name in one pass, longest first.
 
     ``aliases(video_id, alias, canonical, priority)`` becomes one map per video; the replacement itself is an Arrow-batched
     function, since no built-in replaces by a map.
     """
-    pick = aliases.groupBy("video_id", "alias").agg(F.min_by("canonical", F.struct("priority", "canonical")).alias("canonical"))
-    maps = pick.groupBy("video_id").agg(F.map_from_entries(F.collect_list(F.struct("alias", "canonical"))).alias("__m"))
-    return texts.join(maps.hint("merge"), "video_id", "left").withColumn("text", _replace("text", "__m")).drop("__m")
+    return texts.join(_name_maps(aliases).hint("merge"), "video_id", "left").withColumn("text", _replace("text", "__m")).drop("__m")
+
+
+def _holds_text(t: Y.DataType) -> bool:
+    """Whether a string is somewhere in the type."""
+    if isinstance(t, Y.StructType):
+        return any(_holds_text(f.dataType) for f in t)
+    inner = getattr(t, "elementType", None) or getattr(t, "valueType", None)
+    return _holds_text(inner) if inner else isinstance(t, Y.StringType)
+
+
+def _keeps(key: str) -> bool:
+    """Whether the strings of a field stay as they are."""
+    return key.lower() in KEPT_FIELDS or key.lower().endswith(KEPT_ENDINGS)
+
+
+def _renamed(value, key: str, rename):
+    if key.lower() == "artifact_paths" or value is None:
+        return value
+    if isinstance(value, str):
+        return value if _keeps(key) else rename(value)
+    if isinstance(value, dict):
+        return {k: _renamed(v, k, rename) for k, v in value.items()}
+    if isinstance(value, list):
+        # A map's entries come as pairs.
+        return [(x[0], _renamed(x[1], str(x[0]), rename)) if isinstance(x, tuple) else _renamed(x, key, rename) for x in value]
+    return value
+
+
+def replace_names_nested(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Rows of any schema with ``video_id``: all strings inside, however nested, by the rule of ``replace_names``.
+
+    Strings of fields for ids, paths, addresses and aliases stay, and all below ``artifact_paths``. A list has its field's name, a map's
+    value its key's. Columns without a string are not touched; types, nulls and the order of columns stay.
+    """
+    touched, columns = [f.name for f in rows.schema if _holds_text(f.dataType)], rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules: dict = {}
+        for b in batches:
+            names = [tuple(m or ()) for m in b.column(b.num_columns - 1).to_pylist()]
+            for m in set(names) - rules.keys():
+                rules[m] = _rule(dict(m))
+            rename = [rules[m] for m in names]
+            out = []
+            for name, c in zip(columns, b.columns):
+                if name in touched:
+                    c = pa.array([_renamed(v, name, r) for v, r in zip(c.to_pylist(), rename)], c.type)
+                out.append(c)
+            yield pa.RecordBatch.from_arrays(out, columns)
+
+    return rows.join(_name_maps(aliases).hint("merge"), "video_id", "left").select(*columns, "__m").mapInArrow(run, rows.schema)
 
 
 def caption_offsets(cues: DataFrame, decisions: DataFrame, matches: DataFrame) -> DataFrame:
