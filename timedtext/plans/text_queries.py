@@ -73,7 +73,15 @@ def scene_match(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", micro(M.scene_match_score(c)).alias("score_micro"), "supported")
 
 
-QUERIES = {f.__name__: f for f in (corrections, masked_terms, pruned_context, caption_offsets, clip_plan, scene_match)}
+def renamed_records(spark: SparkSession, d: str) -> DataFrame:
+    docs = V.table(spark, d, "documents").select((F.col("doc_id") % 7).alias("video_id"), "doc_id", F.struct(F.col("text").alias("said"), F.col("text").alias("source"), F.array("text").alias("lines")).alias("record"))
+    names = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(c).alias("canonical")) for a, c in (("the", "Theo"), ("die", "Didi"))])
+    aliases = docs.where("video_id > 0").select("video_id").distinct().select("video_id", F.inline(names)).withColumn("priority", F.lit(0))
+    out = X.replace_names_nested(docs, aliases)
+    return out.select("doc_id", F.md5("record.said").alias("said_md5"), F.md5("record.source").alias("source_md5"), F.md5(F.array_join("record.lines", "|")).alias("lines_md5"))
+
+
+QUERIES = {f.__name__: f for f in (corrections, masked_terms, pruned_context, caption_offsets, clip_plan, scene_match, renamed_records)}
 
 _TOK = r"list_distinct(regexp_extract_all(strip_accents(lower({})), '[\pL\pN\pM_]{{2,}}', 0))"
 
@@ -93,6 +101,8 @@ p AS (SELECT *, lead(t, 1) OVER o AS t1, lead(t, 2) OVER o AS t2, lag(t, 1) OVER
 m AS (SELECT doc_id, i, CASE WHEN t = 'of' AND t1 = ' ' AND t2 = 'the' THEN '[[1]]' WHEN b1 = 'of' AND t = ' ' AND t1 = 'the' THEN '' WHEN t = 'the' AND b1 = ' ' AND b2 = 'of' THEN ''
   WHEN t = 'the' THEN '[[0]]' WHEN t = 'die' THEN '[[2]]' WHEN t = 'la' THEN '[[3]]' WHEN t = 'and' THEN '[[4]]' ELSE t END AS t FROM p)
 SELECT doc_id, md5(string_agg(t, '' ORDER BY i)) AS masked_md5, TRUE AS restored FROM m GROUP BY 1""",
+    "renamed_records": r"""WITH r AS (SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN text ELSE array_to_string(list_transform(regexp_extract_all(text, '[\pL\pN_]+|[^\pL\pN_]+', 0), lambda x: CASE x WHEN 'the' THEN 'Theo' WHEN 'die' THEN 'Didi' ELSE x END), '') END AS said FROM documents)
+SELECT doc_id, md5(said) AS said_md5, md5(text) AS source_md5, md5(said) AS lines_md5 FROM r""",
     "pruned_context": "SELECT n_nationkey, CASE WHEN n_regionkey > 1 THEN 'name,region' ELSE 'name' END AS keys, CASE WHEN n_regionkey > 1 THEN n_regionkey || ',' || n_name ELSE n_name END AS vals FROM nation",
     "caption_offsets": f"""WITH {_C}, p AS (SELECT a.video_id, a.cue_no, a.start_ms AS s, a.end_ms AS e, b.cue_no AS seq, b.start_ms + 4000 AS v0, b.end_ms + 9000 AS v1, len(list_intersect({_TOK.format('a.text')}, {_TOK.format('b.text')})) AS k, len({_TOK.format('a.text')}) AS n
   FROM (SELECT * FROM c WHERE cue_no % 2 = 1) a LEFT JOIN (SELECT * FROM c WHERE cue_no % 2 = 0) b USING (video_id)), r AS (SELECT *, row_number() OVER (PARTITION BY video_id, cue_no ORDER BY k DESC, seq) AS i FROM p)
