@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections import defaultdict
@@ -21,6 +22,10 @@ LENGTH, END = 1024, 2
 #: Columns that the operator adds; kept columns of these names are replaced.
 _OWN = ("piece", "start", "length", "ids_crc32", "ids", "item", "shard", "sequence_id", "offset")
 _CACHE: dict = {}
+#: From this many blanks in a row a run is encoded apart: the pattern looks ahead from each of them, and its engine gives up at about a million.
+LONG_RUN = 100_000
+#: Blanks as the pattern knows them; Python's ``\s`` has four control characters more.
+_BLANKS = re.compile(r"[^\S\x1c-\x1f]+")
 
 
 def tokenizer(ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...]):
@@ -42,6 +47,22 @@ def default_tokenizer() -> tuple[str, str, tuple[tuple[str, int], ...]]:
     return p.path("byte_bpe_50k.tiktoken"), p.PATTERN, (("<|endoftext|>", 50256),)
 
 
+def token_ids(text: str, ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...]) -> list[int]:
+    """Ids of a text with runs of blanks of any length.
+
+    The pattern makes one piece of a run but for its last blank, which goes with the next word, if one follows. So a long run is
+    encoded as one piece by itself, and the texts around it by the pattern.
+    """
+    enc, ids, at = tokenizer(ranks_path, pattern, special), [], 0
+    for run in _BLANKS.finditer(text) if len(text) > LONG_RUN else ():
+        if run.end() - run.start() > LONG_RUN:
+            whole = run.end() == len(text) or text.startswith(tuple(t for t, _ in special), run.end())
+            ids += enc.encode(text[at : run.start()], allowed_special="all")
+            at = run.end() - (not whole)
+            ids += tokenizer(ranks_path, r"(?s).+", ()).encode(text[run.start() : at])
+    return ids + enc.encode(text[at:], allowed_special="all")
+
+
 def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """``(start, length)`` of the pieces of a document of n tokens: only the first may be shorter than the others."""
     first = n % length or min(n, length)
@@ -49,17 +70,19 @@ def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, keep: list[str], text_col: str = "text", length: int = LENGTH, end: int = END, vocabulary: tuple | None = None, with_ids: bool = False) -> DataFrame:
-    """Columns ``keep`` and ``piece, start, length, ids_crc32`` of every piece of every row; with its ``ids`` if wanted."""
+    """Columns ``keep`` and ``piece, start, length, ids_crc32`` of every piece of every row; with its ``ids`` if wanted.
+
+    Without a ``vocabulary`` each worker looks up the installed one for itself.
+    """
     keep = [c for c in keep if c not in _OWN]
-    spec = vocabulary or default_tokenizer()
     kinds = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokenizer(*spec)
+        spec = vocabulary or default_tokenizer()
         for b in batches:
             row, out = [], []
             for i, t in enumerate(b.column(0)):
-                ids = np.array([*enc.encode(t.as_py() or "", allowed_special="all"), end], "<u4")
+                ids = np.array([*token_ids(t.as_py() or "", *spec), end], "<u4")
                 for k, (s, n) in enumerate(cut(len(ids), length)):
                     part = ids[s : s + n]
                     row.append(i)
@@ -131,7 +154,7 @@ def pack(docs: DataFrame, keep: list[str], text_col: str = "text", length: int =
     A full piece is a sequence of its own. The others are dealt by a hash over shards of about ``shard`` pieces, each packed by
     best-two-fit; a shard ends with at most one loosely filled sequence. Only lengths take part: texts and ids are not
     shuffled. Defined cases: a null or empty text is one piece with the end id alone; repeated rows are packed once per
-    row; an empty table gives an empty result; kept columns with names of the result are replaced.
+    row; texts may be of any length, and a run of millions of blanks, letters or signs gives the ids of the pattern; an empty table gives an empty result; kept columns with names of the result are replaced.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     cutted = scratch.table(pieces(docs, keep, text_col, length, end, vocabulary, with_ids).withColumn("item", F.monotonically_increasing_id()), "pieces")
