@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import chat_format, language_id, mixing, packing, quality_classifier, quality_rules, secret_scan, simhash
 from .common import crc32_mod
 from .embedding_dedup import near_vectors
+from .exact_dedup import dedup_texts
 from .line_dedup import dedup_lines
 
 #: Wanted shares of the sources; the last ones are to be seen more often than they come.
@@ -90,7 +91,12 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_dedup, op3_source_mixing, op4_quality_rules, op5_chat_format, op6_line_dedup, op7_best_fit_packing, op8_language_id, op9_secret_scan, op10_embedding_dedup)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_texts(_read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_dedup, op3_source_mixing, op4_quality_rules, op5_chat_format, op6_line_dedup, op7_best_fit_packing, op8_language_id, op9_secret_scan, op10_embedding_dedup, op11_exact_dedup)}
 
 _WEIGHTS = ", ".join(f"('{s}', {w}::DOUBLE)" for s, w in SOURCE_WEIGHTS.items())
 
@@ -123,5 +129,10 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (sum(text_chars + CASE WHEN k > 1 AND before = role THEN 8 ELSE 16 + role_chars + CASE WHEN k > 1 THEN 7 ELSE 0 END END) + 7)::BIGINT AS formatted_chars
 FROM seen GROUP BY conv_id
+""",
+    "op11_exact_dedup": r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(body) AS text_sha256
+FROM t WINDOW g AS (PARTITION BY body)
 """,
 }
