@@ -48,7 +48,7 @@ def attach_text(scenes: DataFrame, cues: DataFrame, most: int = 900, bucket_ms:
     pairs = range_join(scenes.select("video_id", "scene_no", "start_ms", "end_ms"), cues.select("video_id", "cue_no", "start_ms", "end_ms", "text"), bucket_ms=bucket_ms)
     rows = F.array_sort(F.collect_list(F.struct("r_cue_no", "r_text")))
     joined = pairs.groupBy("video_id", "scene_no").agg(F.left(F.array_join(F.transform(rows, lambda x: x["r_text"]), " "), F.lit(most)).alias("dialogue"))
-    return scenes.select("video_id", "scene_no").join(joined, ["video_id", "scene_no"], "left").withColumn("dialogue", F.coalesce("dialogue", F.lit("")))
+    return scenes.select("video_id", "scene_no").join(joined.hint("merge"), ["video_id", "scene_no"], "left").withColumn("dialogue", F.coalesce("dialogue", F.lit("")))
 
 
 def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:

@@ -144,10 +144,10 @@ def recent_jobs(updates: DataFrame, n: int = 8) -> DataFrame:
     return current_jobs(updates).orderBy(F.desc("updated_at"), "job_id").limit(n)
 
 
-def expire_jobs(updates: DataFrame, now: Column, timeout_s: int) -> DataFrame:
-    """Jobs that are open without an update for ``timeout_s`` seconds become failed."""
+def expire_jobs(updates: DataFrame, now: Column, timeout_s: int, open_states: tuple[str, ...] = ("queued", "processing")) -> DataFrame:
+    """Jobs whose last state is one of ``open_states``, without an update for more than ``timeout_s`` seconds, become failed."""
     d = current_jobs(updates)
-    stale = F.col("status").isin("queued", "processing", "view", "click") & (F.unix_seconds(now) - F.unix_seconds(F.col("updated_at").cast("timestamp")) > timeout_s)
+    stale = F.col("status").isin(*open_states) & (F.unix_seconds(now) - F.unix_seconds(F.col("updated_at").cast("timestamp")) > timeout_s)
     return d.withColumn("status", F.when(stale, "failed").otherwise(F.col("status")))
 
 

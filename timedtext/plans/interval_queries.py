@@ -11,11 +11,13 @@ from . import views as V
 
 # Event spans last up to some hours; this is near their 90th percentile.
 _BUCKET = 1_800_000
+#: Event types that are the source track; all others are the target track.
+_SOURCE = "('view', 'purchase')"
 
 
 def _tracks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s = V.spans(spark, d)
-    return s.where("track = 'view'"), s.where("track = 'click'")
+    return s.where(f"track IN {_SOURCE}"), s.where(f"track NOT IN {_SOURCE}")
 
 
 def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +78,7 @@ def audit_slots(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (overlap_pairs, attach_dialogue, nearest_cue, align_tracks, union_duration, intersection_duration, timeline_score, index_runs, sample_windows, audit_slots)}
 
-_AB = f"s AS ({V.SPANS_DUCK}), a AS (SELECT * FROM s WHERE track = 'view'), b AS (SELECT * FROM s WHERE track = 'click')"
+_AB = f"s AS ({V.SPANS_DUCK}), a AS (SELECT * FROM s WHERE track IN {_SOURCE}), b AS (SELECT * FROM s WHERE track NOT IN {_SOURCE})"
 _PAIRS = """
 o AS (SELECT a.video_id, a.cue_no AS source_no, b.cue_no AS target_no FROM a JOIN b ON a.video_id = b.video_id AND least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) > 10),
 n AS (SELECT a.video_id, a.cue_no AS source_no, arg_min(b.cue_no, (abs(a.start_ms + a.end_ms - b.start_ms - b.end_ms), b.cue_no)) AS target_no

@@ -68,7 +68,7 @@ def event_facts(spark: SparkSession, d: str) -> DataFrame:
 
 def scene_candidates(spark: SparkSession, d: str) -> DataFrame:
     c = V.cues(spark, d)
-    seg = c.where("role = 'user'").select("video_id", F.col("cue_no").alias("seq"), F.floor(F.col("cue_no") / 3).alias("event_no"), F.array(F.col("cue_no") + 1, F.col("cue_no")).alias("scene_ids"))
+    seg = c.select("video_id", F.col("cue_no").alias("seq"), F.floor(F.col("cue_no") / 3).alias("event_no"), F.array(F.col("cue_no") + 1, F.col("cue_no")).alias("scene_ids"))
     return M.scene_candidates(seg, _events(spark, d), _scenes(spark, d))
 
 
@@ -157,7 +157,7 @@ SELECT video_id, event_no, min(start_ms) AS start_ms, max(end_ms) AS end_ms, sum
 md5(coalesce(string_agg(trim(summary), ' | ' ORDER BY start_ms, scene_id) FILTER (trim(summary) <> '' AND upper(trim(summary)) <> 'UNKNOWN'), string_agg(trim(dialogue), ' | ' ORDER BY start_ms, scene_id) FILTER (trim(dialogue) <> ''), '')) AS summary_md5
 FROM j LEFT JOIN cn USING (video_id, event_no) GROUP BY 1, 2""",
     "scene_candidates": f"""WITH {_C}, {_SC}, e AS (SELECT video_id, cue_no // 3 AS event_no, [-1] || list(cue_no ORDER BY cue_no) AS ids FROM c GROUP BY 1, 2),
-u AS (SELECT s.video_id, s.cue_no AS seq, unnest([s.cue_no + 1, s.cue_no] || ids) AS scene_id, generate_subscripts([s.cue_no + 1, s.cue_no] || ids, 1) AS o FROM c s JOIN e ON e.video_id = s.video_id AND e.event_no = s.cue_no // 3 WHERE role = 'user'),
+u AS (SELECT s.video_id, s.cue_no AS seq, unnest([s.cue_no + 1, s.cue_no] || ids) AS scene_id, generate_subscripts([s.cue_no + 1, s.cue_no] || ids, 1) AS o FROM c s JOIN e ON e.video_id = s.video_id AND e.event_no = s.cue_no // 3),
 f AS (SELECT video_id, seq, scene_id, min(o) AS o FROM u GROUP BY 1, 2, 3), n AS (SELECT *, (row_number() OVER (PARTITION BY video_id, seq ORDER BY o) - 1)::INT AS pos FROM f)
 SELECT video_id, seq, pos, scene_id FROM n WHERE (video_id, scene_id) IN (SELECT (video_id, scene_id) FROM sc)""",
     "canonical_names": r"""WITH p AS (SELECT p_partkey % 5 AS video_id, p_name AS name, p_partkey AS priority, trim(regexp_replace(strip_accents(lower(p_name)), '[^\pL\pN\pM_]+', ' ', 'g')) AS k FROM part),

@@ -107,7 +107,7 @@ def recent_jobs(spark: SparkSession, d: str) -> DataFrame:
 def expire_jobs(spark: SparkSession, d: str) -> DataFrame:
     u = _updates(spark, d)
     now = F.timestamp_seconds(F.lit(u.agg(F.max(F.unix_seconds(F.col("updated_at").cast("timestamp")))).first()[0]))
-    return C.expire_jobs(u, now, 7200).select("job_id", "status")
+    return C.expire_jobs(u, now, 7200, ("view", "click")).select("job_id", "status")
 
 
 def reconcile_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +186,7 @@ SELECT video_id, cast(floor(least(100, 100 * (0.65::DOUBLE * hit + 0.35::DOUBLE
     "validate": " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) AS n_rows, count(*) FILTER (NOT coalesce({e}, FALSE)) AS n_failed FROM lineitem" for k, e in RULES.items()),
     "current_jobs": f"WITH {_U} SELECT job_id, status, progress, updated_at, created_at, n_updates FROM j",
     "recent_jobs": f"WITH {_U} SELECT job_id, status, progress, n_updates FROM j ORDER BY updated_at DESC, job_id LIMIT 8",
-    "expire_jobs": f"WITH {_U} SELECT job_id, CASE WHEN status IN ('queued', 'processing', 'view', 'click') AND (SELECT max(epoch_us(updated_at) // 1000000) FROM u) - epoch_us(updated_at) // 1000000 > 7200 THEN 'failed' ELSE status END AS status FROM j",
+    "expire_jobs": f"WITH {_U} SELECT job_id, CASE WHEN status IN ('view', 'click') AND (SELECT max(epoch_us(updated_at) // 1000000) FROM u) - epoch_us(updated_at) // 1000000 > 7200 THEN 'failed' ELSE status END AS status FROM j",
     "reconcile_ids": """WITH e AS (SELECT l_orderkey AS video_id, l_linenumber + CASE WHEN l_suppkey % 3 = 0 THEN 10 ELSE 0 END AS id, count(*) AS e FROM lineitem GROUP BY 1, 2), r AS (SELECT l_orderkey AS video_id, l_linenumber + CASE WHEN l_partkey % 4 = 0 THEN 20 ELSE 0 END AS id, count(*) AS r FROM lineitem GROUP BY 1, 2)
 SELECT video_id, count(*) FILTER (r IS NULL) AS n_missing, count(*) FILTER (e IS NULL) AS n_unexpected, count(*) FILTER (r > 1) AS n_duplicate, coalesce(sum(e), 0) <> coalesce(sum(r), 0) AS count_differs FROM e FULL JOIN r USING (video_id, id) GROUP BY 1""",
     "changed_rows": """WITH n AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN -2 * o_orderkey ELSE o_orderkey END AS o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders), o AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN -2 * o_orderkey - 1 ELSE o_orderkey END AS o_orderkey, o_orderstatus AS t FROM orders)
