@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from timedtext.llm import exact_dedup
 from timedtext.llm.exact_dedup import dedup_texts
 
 SCHEMA = "doc_id long, text string"
@@ -51,9 +52,13 @@ def test_empty_and_single(spark):
     assert got(dedup_texts(spark.createDataFrame([(None, None)], SCHEMA))) == plain([(None, None)])
 
 
-def test_one_exchange_carries_the_texts(spark, capsys):
-    docs = spark.createDataFrame(ROWS, SCHEMA)
-    out = dedup_texts(docs)
-    out.explain()
+@pytest.mark.parametrize("often", [True, False])
+def test_one_exchange_carries_the_texts(spark, monkeypatch, capsys, often):
+    def table(self, df, name):
+        df.explain()
+        return df
+
+    monkeypatch.setattr(exact_dedup.Scratch, "table", table)
+    dedup_texts(spark.createDataFrame(ROWS if often else ROWS[-5:], SCHEMA))
     plan = capsys.readouterr().out
-    assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan and "Python" not in plan and "Arrow" not in plan

@@ -49,8 +49,10 @@ def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Rows that repeat an id have to spread too: the salt is the row's place, not its id.
     rows = rows.withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))).otherwise(0).cast("int"))
     head = F.left("body", F.lit(HEAD))
-    dealt = rows.withColumn("head", head).repartitionByRange("head", "h", "salt")
-    run = Window.partitionBy("head", "h", "salt", "body").orderBy(F.col("id").asc_nulls_last())
+    # The ranges already hold a run's rows together, so that the window sorts them where they are; a constant salt would hide that.
+    place = ["head", "h", "salt"] if often else ["head", "h"]
+    dealt = rows.withColumn("head", head).repartitionByRange(*place)
+    run = Window.partitionBy(*place, "body").orderBy(F.col("id").asc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sorted_ = dealt.select("id", "often", "salt", "body", F.row_number().over(run).alias("at"), F.first("id").over(whole).alias("low"), F.count("*").over(whole).alias("n"))
     first = F.col("often") & (F.col("at") == 1)
