@@ -9,6 +9,7 @@ from . import chat_format, language_id, mixing, packing, quality_classifier, qua
 from .common import crc32_mod
 from .embedding_dedup import near_vectors
 from .exact_dedup import dedup_texts
+from .lexical_search import search
 from .line_dedup import dedup_lines
 
 #: Wanted shares of the sources; the last ones are to be seen more often than they come.
@@ -96,7 +97,12 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_dedup, op3_source_mixing, op4_quality_rules, op5_chat_format, op6_line_dedup, op7_best_fit_packing, op8_language_id, op9_secret_scan, op10_embedding_dedup, op11_exact_dedup)}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_dedup, op3_source_mixing, op4_quality_rules, op5_chat_format, op6_line_dedup, op7_best_fit_packing, op8_language_id, op9_secret_scan, op10_embedding_dedup, op11_exact_dedup, op13_lexical_search)}
 
 _WEIGHTS = ", ".join(f"('{s}', {w}::DOUBLE)" for s, w in SOURCE_WEIGHTS.items())
 
@@ -134,5 +140,20 @@ FROM seen GROUP BY conv_id
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(body) AS text_sha256
 FROM t WINDOW g AS (PARTITION BY body)
+""",
+    "op13_lexical_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), c AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+p AS (SELECT doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * (SELECT n_docs FROM c) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf GROUP BY term),
+s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) CROSS JOIN c GROUP BY item_id, doc_id
+)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0) WHERE rank <= 10
 """,
 }
