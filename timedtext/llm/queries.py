@@ -9,6 +9,7 @@ from . import chat_format, language_id, mixing, packing, quality_classifier, qua
 from .common import crc32_mod
 from .embedding_dedup import near_vectors
 from .exact_dedup import dedup_texts
+from .hard_negatives import hard_negatives
 from .lexical_search import search
 from .line_dedup import dedup_lines
 
@@ -97,12 +98,16 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(_read(spark, sf_dir, "embeddings"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return out.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_dedup, op3_source_mixing, op4_quality_rules, op5_chat_format, op6_line_dedup, op7_best_fit_packing, op8_language_id, op9_secret_scan, op10_embedding_dedup, op11_exact_dedup, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_dedup, op3_source_mixing, op4_quality_rules, op5_chat_format, op6_line_dedup, op7_best_fit_packing, op8_language_id, op9_secret_scan, op10_embedding_dedup, op11_exact_dedup, op12_hard_negatives, op13_lexical_search)}
 
 _WEIGHTS = ", ".join(f"('{s}', {w}::DOUBLE)" for s, w in SOURCE_WEIGHTS.items())
 
@@ -140,6 +145,20 @@ FROM seen GROUP BY conv_id
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(body) AS text_sha256
 FROM t WINDOW g AS (PARTITION BY body)
+""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+), n AS (
+  SELECT p.*, s.other_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.other_id)::INT AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
 """,
     "op13_lexical_search": r"""
 WITH d AS (
