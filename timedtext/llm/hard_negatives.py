@@ -182,7 +182,8 @@ def hard_negatives(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     own = lambda name, count: F.pmod("rid", F.lit(count)).cast("int").alias(name)
     dealt = rows.select("*", own("chunk", chunks), each(blocks).alias("block"))
-    anchors = rows.where(is_anchor).select("rid", "id", "label", "dim", "v", own("block", blocks))
+    # Written apart, so that both sides of the meeting have columns of their own.
+    anchors = scratch.table(rows.where(is_anchor).select("rid", "id", "label", "dim", "v", own("block", blocks)), "anchors")
 
     def score(key: tuple, a: pa.Table, t: pa.Table, find) -> pa.Table:
         dim, out = key[0].as_py(), []
