@@ -208,7 +208,7 @@ def sliding_windows(cues: DataFrame, most: int = 8, max_ms: int = 42_000, min_ms
     return d.select("video_id", F.col("cue_no").alias("start_no"), F.col("x.no").alias("end_no"), "start_ms", F.col("x.end_ms").alias("end_ms"), text.alias("text"))
 
 
-def sample_evenly(rows: DataFrame, n: int, order: str = "cue_no") -> DataFrame:
+def sample_evenly(rows: DataFrame, n: int | Column, order: str = "cue_no") -> DataFrame:
     """``n`` rows of each video at rounded even positions; all rows if there are no more."""
     d = rows.withColumn("__i", F.row_number().over(_w(order)) - 1).withColumn("__k", F.count("*").over(Window.partitionBy("video_id")))
     # Position i(k-1)/(n-1) for some i is this row if the nearest i of the row rounds back to it.
