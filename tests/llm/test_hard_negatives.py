@@ -76,7 +76,7 @@ def test_filter_leaves_rows_out(monkeypatch):
     v = np.floor(256 * rng.standard_normal((3000, 64)))
     v[:40] = np.floor(v[0] + 60 * rng.standard_normal((40, 64)))
     n = np.arange(3000)
-    rows = H.Rows(n, n, np.ones(3000, np.int64), v, H.encode(v))
+    rows = H.rows_of(n, n, np.ones(3000, np.int64), v, H.encode(v))
     seen, plain_scores = [], H._scores
     monkeypatch.setattr(H, "_scores", lambda r, at, a: seen.append(len(at)) or plain_scores(r, at, a))
     at, score = H.closest(rows, 0, 1, v[0], 5)

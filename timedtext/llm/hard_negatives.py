@@ -38,7 +38,7 @@ def rotation(dim: int, spread: int = SPREAD) -> np.ndarray:
 
 
 class Codes(NamedTuple):
-    bits: np.ndarray  # 64-bit words
+    bits: np.ndarray  # 64-bit words, one row of all vectors for each word
     ones: np.ndarray
     align: np.ndarray  # product of the unit vector and its code
     length: np.ndarray  # of the code, turned back into the vector's own dimensions
@@ -52,7 +52,7 @@ def encode(v: np.ndarray) -> Codes:
     sign = unit @ r.T >= 0
     back = np.where(sign, 1.0, -1.0) @ r / np.sqrt(len(r))
     bits = np.packbits(sign, axis=1, bitorder="little").view("<u8")
-    return Codes(bits, sign.sum(axis=1).astype(np.int64), (unit * back).sum(axis=1), np.linalg.norm(back, axis=1), norm)
+    return Codes(bits.T, sign.sum(axis=1).astype(np.int64), (unit * back).sum(axis=1), np.linalg.norm(back, axis=1), norm)
 
 
 def intervals(anchor: np.ndarray, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +67,7 @@ def intervals(anchor: np.ndarray, codes: Codes) -> tuple[np.ndarray, np.ndarray]
     planes = np.packbits((level[None] >> np.arange(PLANES)[:, None]) & 1 == 1, axis=1, bitorder="little").view("<u8")
     counted = np.zeros(len(codes.ones), np.int64)
     for j, plane in enumerate(planes):
-        counted += np.bitwise_count(codes.bits & plane).sum(axis=1, dtype=np.int64) << j
+        counted += np.bitwise_count(codes.bits & plane[:, None]).sum(axis=0, dtype=np.int64) << j
     product = (2 * (low * codes.ones + step * counted) - low * len(y) - step * level.sum()) / np.sqrt(len(y))
     length = np.maximum(codes.length, 1e-300)
     along = codes.align / length**2
@@ -79,45 +79,51 @@ def intervals(anchor: np.ndarray, codes: Codes) -> tuple[np.ndarray, np.ndarray]
 
 
 class Rows(NamedTuple):
-    """Rows of one length, by label and then id."""
+    """Rows of one length, by label and then id; ``most``: the largest component."""
 
     rid: np.ndarray
     id: np.ndarray
     label: np.ndarray
     v: np.ndarray
     codes: Codes
+    most: float
 
 
 def _rows(t: pa.Table, dim: int) -> Rows:
     t = t.combine_chunks()
     column = lambda name: t[name].to_numpy()
     v = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim) if len(t) else np.zeros((0, dim), np.int64)
-    exact = np.float64 if not len(v) or float(np.abs(v).max()) ** 2 * dim < 2.0**53 else np.int64
-    words = len(rotation(dim)) // 64
-    bits = np.frombuffer(b"".join(t["bits"].to_pylist()), "<u8").reshape(-1, words)
-    rows = Rows(column("rid"), column("id"), column("label"), v.astype(exact), Codes(bits, *[column(c) for c in ("ones", "align", "length", "norm")]))
-    order = np.lexsort((rows.id, rows.label))
-    return Rows(*[x[order] for x in rows[:4]], Codes(*[x[order] for x in rows.codes]))
+    bits = np.frombuffer(b"".join(t["bits"].to_pylist()), "<u8").reshape(-1, len(rotation(dim)) // 64)
+    order = np.lexsort((column("id"), column("label")))
+    codes = Codes(np.ascontiguousarray(bits[order].T), *[column(c)[order] for c in ("ones", "align", "length", "norm")])
+    return rows_of(*[column(c)[order] for c in ("rid", "id", "label")], v[order], codes)
+
+
+def rows_of(rid: np.ndarray, id_: np.ndarray, label: np.ndarray, v: np.ndarray, codes: Codes) -> Rows:
+    """Components as floats where all products among these rows are exact in them."""
+    most = float(np.abs(v).max(initial=0))
+    return Rows(rid, id_, label, v.astype(np.float64 if most**2 * v.shape[1] < 2.0**53 else np.int64), codes, most)
 
 
 def _scores(rows: Rows, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     """Integer products with the rows ``at``: floats hold them exactly below 2^53, and are used only there."""
-    both = float(np.abs(anchor).max(initial=0)) * float(np.abs(rows.v).max(initial=0)) * len(anchor) < 2.0**53
+    both = float(np.abs(anchor).max(initial=0)) * rows.most * len(anchor) < 2.0**53
     kind = np.float64 if both else np.int64
     return (rows.v[at].astype(kind, copy=False) @ anchor.astype(kind, copy=False)).astype(np.int64)
 
 
-def _part(codes: Codes, at: slice | np.ndarray) -> Codes:
-    return Codes(*[x[at] for x in codes])
+def _part(codes: Codes, at: slice) -> Codes:
+    return Codes(codes.bits[:, at], *[x[at] for x in codes[1:]])
 
 
 def closest(rows: Rows, rid: int, label: int, anchor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and scores of the ``k`` best rows of the anchor's label other than itself."""
-    a, b = np.searchsorted(rows.label, (label, label), "left")[0], np.searchsorted(rows.label, label, "right")
-    at = np.arange(a, b)[rows.rid[a:b] != rid]
-    low, high = intervals(anchor, _part(rows.codes, at))
-    if len(at) > k:
-        at = at[high >= np.partition(low, -k)[-k]]
+    a, b = np.searchsorted(rows.label, label, "left"), np.searchsorted(rows.label, label, "right")
+    low, high = intervals(anchor, _part(rows.codes, slice(a, b)))
+    other = rows.rid[a:b] != rid
+    if np.count_nonzero(other) > k:
+        other &= high >= np.partition(low[other], -k)[-k]
+    at = np.flatnonzero(other) + a
     score = _scores(rows, at, anchor)
     best = np.lexsort((rows.id[at], -score))[:k]
     return at[best], score[best]
@@ -125,14 +131,15 @@ def closest(rows: Rows, rid: int, label: int, anchor: np.ndarray, k: int) -> tup
 
 def in_bands(rows: Rows, label: int, anchor: np.ndarray, bands: list[tuple[int, int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each band of scores, places and scores of the ``k`` best rows of other labels within it."""
-    at = np.flatnonzero(rows.label != label)
-    low, high = intervals(anchor, _part(rows.codes, at))
-    wanted = np.zeros(len(at), bool)
+    low, high = intervals(anchor, rows.codes)
+    own = slice(np.searchsorted(rows.label, label, "left"), np.searchsorted(rows.label, label, "right"))
+    low[own] = high[own] = -np.inf
+    wanted = np.zeros(len(low), bool)
     for first, last in bands:
         sure = low[(low >= first) & (high <= last)]
         least = max(first, np.partition(sure, -k)[-k]) if len(sure) >= k else first
         wanted |= (high >= least) & (low <= last)
-    at = at[wanted]
+    at = np.flatnonzero(wanted)
     score, out = _scores(rows, at, anchor), []
     for first, last in bands:
         inside = np.flatnonzero((score >= first) & (score <= last))
@@ -158,7 +165,7 @@ def _coded(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
             for dim in np.unique(dims):
                 part = b.filter(pa.array(dims == dim))
                 c = encode(part.column(4).flatten().to_numpy().reshape(-1, dim).astype(np.float64))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in c.bits], pa.binary()), *[pa.array(x) for x in c[1:]]], [*part.schema.names, "bits", "ones", "align", "length", "norm"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.tobytes() for x in np.ascontiguousarray(c.bits.T)], pa.binary()), *[pa.array(x) for x in c[1:]]], [*part.schema.names, "bits", "ones", "align", "length", "norm"])
 
     return base.mapInArrow(run, "rid long, id long, label long, dim int, v array<long>, bits binary, ones long, align double, length double, norm double")
 
