@@ -71,9 +71,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds:
     control sums a round.
     """
     edge = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    e, mark = scratch.table(edge, f"{name}-0"), None
+    e = scratch.table(edge, f"{name}-0")
+    seen_of = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+    mark = seen_of(e)
     # Links are few next to what they came from: tasks follow their number, not the session's shuffle partitions.
-    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, e.count() // 200_000)
+    tasks = 1 + mark[0] // 200_000
     for i in range(1, max_rounds + 1):
         lowest = e.groupBy(F.col("hi").alias("top")).agg(F.min("lo").alias("m"))
         large = e.join(lowest.hint("merge"), F.col("lo") == F.col("top"), "left").select("hi", F.coalesce("m", "lo").alias("lo"))
@@ -82,7 +84,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds:
         small = large.join(lowest.hint("merge"), F.col("hi") == F.col("top")).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         small = small.unionByName(lowest.select(F.col("top").alias("hi"), F.col("m").alias("lo"))).distinct()
         e = scratch.table(small.coalesce(tasks), f"{name}-{i}")
-        seen = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        seen = seen_of(e)
         scratch.drop(f"{name}-{i}-large")
         if i > 1:
             scratch.drop(f"{name}-{i - 1}")
