@@ -90,7 +90,7 @@ def test_given_examples(spark):
     assert [r.cause_no for r in got[3]] == [0, None, None, None, None, None] and got[3][-1].effect_no == 0
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_equals_plain(spark, seed):
     rnd, events, scenes, counts, want = random.Random(seed), [], [], [], {}
     for v in range(25):
@@ -118,3 +118,15 @@ def test_edges(spark):
     assert {v: [r.scene_ids for r in rows] for v, rows in got.items()} == {1: [[1], [2]], 2: [[1]]}
     assert [r.verified for r in got[1]] == [False, True]
     assert run(spark, [], [], []) == {}
+
+
+def test_query_equals_plain(spark):
+    from timedtext.plans import story_queries as Q
+
+    events, scenes, counts = ([tuple(r) for r in x.collect()] for x in Q.event_tables(spark, "/root/testdata/sf0.001"))
+    got, want = {}, {}
+    for r in Q.balance_events(spark, "/root/testdata/sf0.001").orderBy("video_id", "event_no").collect():
+        got.setdefault(r.video_id, []).append((r.scene_ids, r.start_ms, r.end_ms, r.evidence_count, r.confidence, r.cause_no, r.effect_no))
+    for v, *limits in counts:
+        want[v] = plain([e[1:] for e in events if e[0] == v], [x[1:] for x in scenes if x[0] == v], *limits)
+    assert got == want

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import micro
 from ..operators import alignment as A
+from ..operators import balancing as B
+from ..operators import caption_sync as S
 from ..operators.scorecards import budget
 from . import views as V
 from .match_queries import _TERMS
@@ -64,7 +66,39 @@ def repair_edit(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("score", micro("score"))
 
 
-QUERIES = {f.__name__: f for f in (align_beats, replace_weak, repair_edit)}
+def caption_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Captions, words, voice ranges and lengths of all films. In every fourth film the words are not those of the captions; cues come late by film."""
+    f = film(spark, d)
+    late = (F.col("video_id") % 5) * 90 * (F.col("cue_no") % 3)
+    captions = f.select("video_id", "cue_no", (F.col("start_ms") + late).alias("start_ms"), (F.col("end_ms") + 2 * late - 120).alias("end_ms"), "text")
+    w = f.select("video_id", "cue_no", "start_ms", "end_ms", F.posexplode(F.split("text", " ")).alias("i", "word"), F.size(F.split("text", " ")).alias("n"))
+    at = lambda k: F.floor(F.col("start_ms") + (F.col("end_ms") - F.col("start_ms")) * (F.col("i") + k) / F.col("n"))
+    said = F.when((F.col("video_id") % 4 == 1) & (F.col("cue_no") == 2), F.concat("word", F.lit("x"))).otherwise(F.col("word"))
+    words = w.select("video_id", (F.col("cue_no") * 10000 + F.col("i")).alias("word_no"), said.alias("word"), at(0).alias("start_ms"), at(1).alias("end_ms"))
+    told = F.when(F.col("cue_no") % 6 == 4, F.reverse("text")).otherwise(F.col("text"))
+    ranges = f.select("video_id", F.col("cue_no").alias("seq"), told.alias("narration"), (F.col("start_ms") + 300).alias("start_ms"), "end_ms")
+    return captions, words, ranges, _durations(f)
+
+
+def caption_sync(spark: SparkSession, d: str) -> DataFrame:
+    return S.caption_sync(*caption_tables(spark, d))
+
+
+def event_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three turns of a film are an event, but for the later films' first events, which are much longer or missing."""
+    f = film(spark, d)
+    no = F.when((F.col("video_id") % 3 == 1) & (F.col("cue_no") < 20), 0).otherwise(F.floor(F.col("cue_no") / 3))
+    events = f.withColumn("event_no", no).where("video_id % 3 <> 2 OR cue_no >= 12").groupBy("video_id", "event_no").agg(F.collect_list("cue_no").alias("scene_ids"))
+    scenes = f.select("video_id", F.col("cue_no").alias("scene_id"), "start_ms", "end_ms", (F.col("cue_no") % 4).alias("n_evidence"), ((F.col("cue_no") * 7 % 10) / 10).alias("confidence"))
+    counts = f.select("video_id").distinct().select("video_id", (F.col("video_id") % 4 * 4 + 5).alias("target"), (F.col("video_id") % 4 * 3 + 3).alias("least"), (F.col("video_id") % 4 * 4 + 6).alias("most"))
+    return events, scenes, counts
+
+
+def balance_events(spark: SparkSession, d: str) -> DataFrame:
+    return B.balance_events(*event_tables(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (align_beats, replace_weak, repair_edit, caption_sync, balance_events)}
 
 _F = f"film AS ({FILM.format(conversations='conversations')})"
 _B = f"beats AS ({BEATS.format(film='film')}), dur AS (SELECT video_id, max(end_ms) + 5000 AS duration_ms FROM film GROUP BY 1)"
