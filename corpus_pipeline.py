@@ -50,7 +50,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(*COLUMNS, text_key().alias("key"), row.alias("row"))
     first = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "row")).alias("at"))
     first = first.join(found.hint("merge"), "key", "left").groupBy(F.coalesce("root", "key").alias("c")).agg(F.min("at").alias("at")).select("at.row")
-    return rows.join(first.hint("merge"), "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
+    # Repeated rows become one before they are sent: a row that comes a million times is no hot key of the join.
+    return rows.dropDuplicates(["row"]).join(first.hint("merge"), "row", "left_semi").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
