@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -165,7 +166,7 @@ def test_vectors(spark):
     rows = [(i, [float(x) for x in v]) for i, v in enumerate([*base, *near, base[0] * 3, base[0], base[0]])]
     rows += [(100, None), (101, [0.0] * 8), (102, [None] + [1.0] * 7), (103, [math.nan] * 8), (104, [math.inf] + [0.0] * 7), (105, []), (106, [1.0, 2.0]), (107, [2.0, 4.0]), (None, rows[1][1]), (5, rows[5][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("leaf", F.lit(1)).withColumn("node", F.lit("x"))
-    got = near_vectors(df, sample=16, leaf=7).collect()
+    got = near_vectors(df, leaf=7, draw=8, chunk=16).collect()
     assert len(got) == len(rows)
 
     def good(v):
@@ -197,29 +198,34 @@ def test_vectors_of_extreme_size_and_many_lengths(spark):
     assert all(got[100 + n] == got[5000 + n] == (1, 100 + n) for n in range(3, 1203))
 
 
-def test_cover_tree_prunes_clusters(spark):
+def test_separated_centres():
+    v = embedding_dedup._unit(np.random.default_rng(4).normal(size=(400, 6)))
+    for radius in (1.0, 0.5, 0.25):
+        kept = embedding_dedup.separated(v, radius)
+        d = embedding_dedup._distance(v[kept], v[kept])
+        assert (d + 9 * np.eye(len(kept)) > radius).all() and embedding_dedup._distance(v, v[kept]).min(axis=1).max() <= radius + 1e-9
+
+
+@pytest.mark.parametrize("clusters,size,draw", [(300, 20, 512), (3000, 4, 256)])
+def test_cover_tree_prunes_clusters(spark, clusters, size, draw):
+    """More clusters than a round draws centres; few pairs of vectors are left to compare, and no link is lost."""
     rng = np.random.default_rng(8)
-    centre = rng.normal(size=(300, 16))
-    v = np.concatenate([c + rng.normal(size=(20, 16)) * 0.05 for c in centre])
-    points = embedding_dedup._unit(list(v))
-    levels = embedding_dedup.cover_levels(points[::10], 2048)
-    radius = 1.0
-    for members, parent in levels[1:]:
-        d = embedding_dedup._distance(points[::10][members], points[::10][members])
-        assert (d + 9 * np.eye(len(members)) > radius).all() and embedding_dedup._distance(points[::10], points[::10][members]).min(axis=1).max() <= radius + 1e-9
-        radius /= 2
-    stats = []
-    for members, _ in levels:
-        d = embedding_dedup._distance(points, points[::10][members])
-        at, reach = d.argmin(axis=1), np.zeros(len(members))
-        np.maximum.at(reach, at, d.min(axis=1))
-        stats.append((reach, np.bincount(at, minlength=len(members))))
-    depth, pairs = embedding_dedup.depth_of_least_cost(levels, points[::10], stats, np.sqrt(0.1), 4096)
-    nodes = len(levels[depth][0])
-    assert depth > 0 and nodes >= 100 and len(pairs) < 0.1 * nodes * nodes / 2
-    near = points @ points.T >= 0.95
+    centre = rng.normal(size=(clusters, 16))
+    v = np.concatenate([c + rng.normal(size=(size, 16)) * 0.05 for c in centre])
+    points = embedding_dedup._unit(v)
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
-    got = {r.id: r for r in near_vectors(df).collect()}
+    scratch = embedding_dedup.Scratch(spark, "cells")
+    nodes = scratch.table(df.select(F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("copies"), F.col("embedding").alias("v"), F.lit(16).alias("dim")), "nodes")
+    placed, pairs = embedding_dedup.cell_pairs(nodes, float(np.sqrt(0.1)), scratch, 64, draw, 1024)
+    cell = {r.node: r.cell for r in placed.select("node", "cell").collect()}
+    held, left = Counter(cell.values()), {(r.a, r.b) for r in pairs.collect()}
+    assert len(cell) == len(v) and len(held) > 100
+    work = sum(held[a] * held[b] for a, b in left)
+    assert work < 0.3 * len(v) ** 2 / 2
+    near = points @ points.T >= 0.95
+    for i, j in np.argwhere(near).tolist():
+        assert (min(cell[i], cell[j]), max(cell[i], cell[j])) in left
+    got = {r.id: r for r in near_vectors(df, leaf=64, draw=draw, chunk=1024).collect()}
     root = groups(np.argwhere(near).tolist(), range(len(v)))
     assert all(got[i].n_links == near[i].sum() - 1 and got[i].component_id == root[i] for i in range(len(v)))
 
