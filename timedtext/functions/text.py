@@ -46,6 +46,45 @@ def fold(c: str | Column) -> Column:
     return F.translate(F.lower(_col(c)), source + _marks(), target)
 
 
+@cache
+def _changes(rule: str) -> tuple[str, str, dict[str, str]]:
+    """Characters that a rule of Python's Unicode data changes: to one or none each, as two texts of which the first is longer, and to several."""
+    change = {
+        "casefold": lambda c: c.lower().casefold(),
+        "nfkd": lambda c: "".join(x for x in unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", c).casefold()) if not unicodedata.combining(x)),
+        "marks": lambda c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)),
+    }[rule]
+    one, none, many = {}, [], {}
+    for cp in (*range(0xD800), *range(0xE000, 0x20000)):
+        c = chr(cp)
+        if 0xAC00 <= cp <= 0xD7A3 or (new := change(c)) == (c.lower() if rule == "casefold" else c):
+            continue
+        if new:
+            (one if len(new) == 1 else many)[c] = new
+        else:
+            none.append(c)
+    return "".join([*one, *none]), "".join(one.values()), many
+
+
+def _changed(c: Column, rule: str) -> Column:
+    """``c`` after a rule, by built-in expressions: single characters by one translation, the few longer ones character by character."""
+    source, target, many = _changes(rule)
+    text = F.translate(c, source, target)
+    # One text for the parser: a thousand literals made one by one would take a second a use.
+    table = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in many.items()) + ")")
+    codes = sorted(map(ord, many))
+    starts = [k for i, k in enumerate(codes) if not i or codes[i - 1] != k - 1]
+    ends = [k for i, k in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != k + 1]
+    found = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]"
+    each = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return F.when(text.rlike(found), F.array_join(F.transform(each, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")).otherwise(text)
+
+
+def without_marks(c: str | Column) -> Column:
+    """Compatibility forms taken apart and combining marks dropped; the case stays."""
+    return _changed(_col(c), "marks")
+
+
 def has_cjk(c: str | Column) -> Column:
     return _col(c).rlike("[\\u4e00-\\u9fff]")
 
@@ -71,7 +110,8 @@ def is_incomplete(c: str | Column) -> Column:
 
 
 def alignment_key(c: str | Column) -> Column:
-    return F.regexp_replace(F.lower(_col(c)), "[^\\p{L}\\p{N}]", "")
+    """Letters and digits only, case-folded: a sharp s is ss, a final sigma a sigma, ligatures are letters. Texts are taken as NFC."""
+    return F.regexp_replace(_changed(F.lower(_col(c)), "casefold"), "[^\\p{L}\\p{N}]", "")
 
 
 def tokens(c: str | Column) -> Column:
@@ -124,7 +164,8 @@ def clean_tags(tags: str | Column, most: int = 18) -> Column:
 
 
 def name_key(c: str | Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(fold(c), "(?U)[^\\w]+", " "), " +", " "))
+    """Words of the case-folded text, compatibility forms (ligatures, full-width and circled signs) taken apart, without combining marks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(_changed(_col(c), "nfkd"), "[^\\p{L}\\p{N}_]+", " "), " +", " "))
 
 
 def terms(c: str | Column, stop: list[str] | None = None) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import micro
+from ..operators import aliases as N
 from ..operators import alignment as A
 from ..operators import balancing as B
 from ..operators import caption_sync as S
@@ -98,7 +99,22 @@ def balance_events(spark: SparkSession, d: str) -> DataFrame:
     return B.balance_events(*event_tables(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (align_beats, replace_weak, repair_edit, caption_sync, balance_events)}
+def alias_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Parts as a cast: records by their names, glossary entries whose targets hold a name, observed names with a letter changed, seeds for some videos."""
+    p = V.table(spark, d, "part").select((F.col("p_partkey") % 16).alias("video_id"), F.col("p_partkey").alias("no"), F.initcap("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("brand"))
+    pair = F.concat("name", F.lit(" / "), F.reverse("name"))
+    records = p.select("video_id", "no", F.when(F.col("no") % 7 == 3, pair).when(F.col("no") % 7 == 5, F.upper("name")).otherwise(F.col("name")).alias("name"), F.when(F.col("no") % 3 == 0, F.array(F.concat("brand", F.lit(", "), "type"), F.concat(F.lit("É"), "name"))).alias("aliases"))
+    glossary = p.select("video_id", "no", F.concat(F.lit("g"), (F.col("no") % 50).cast("string"), F.lit("; h"), F.col("no").cast("string")).alias("source"), F.concat_ws(" ", F.lit("the old"), F.when(F.col("no") % 2 == 0, F.col("name")).otherwise(F.reverse("type")), F.lit("again")).alias("target"))
+    observed = p.select("video_id", "no", F.when(F.col("no") % 9 == 0, F.lit("unknown man")).when(F.col("no") % 4 == 1, F.concat("name", F.lit("e"))).otherwise(F.concat_ws(" ", "type", "brand")).alias("name"))
+    seeds = p.where("video_id % 4 = 1").select("video_id", "no", F.concat(F.lit("Seed "), "brand").alias("canonical"), F.array("brand", F.lower("type")).alias("aliases"))
+    return records, glossary, observed, seeds
+
+
+def build_aliases(spark: SparkSession, d: str) -> DataFrame:
+    return N.build_aliases(*alias_tables(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (align_beats, replace_weak, repair_edit, caption_sync, balance_events, build_aliases)}
 
 _F = f"film AS ({FILM.format(conversations='conversations')})"
 _B = f"beats AS ({BEATS.format(film='film')}), dur AS (SELECT video_id, max(end_ms) + 5000 AS duration_ms FROM film GROUP BY 1)"
