@@ -142,6 +142,12 @@ def word_count(c: str | Column) -> Column:
     return F.regexp_count(_col(c), F.lit("(?U)\\w+"))
 
 
+def sentences(c: str | Column) -> Column:
+    """Number of sentences: pieces between a closing sign with blanks after it, blank ones apart."""
+    pieces = F.split(F.regexp_replace(F.coalesce(_col(c), F.lit("")), "(?U)([.!?…])\\s+", "$1\x00"), "\x00")
+    return F.size(F.filter(pieces, lambda x: F.trim(x) != ""))
+
+
 def voice_seconds(c: str | Column) -> Column:
     """Estimated speaking time: 2.75 words a second and a lead of 0.35 s, held to 2..7 s."""
     return F.bround(F.least(F.lit(7.0), F.greatest(F.lit(2.0), word_count(c) / 2.75 + 0.35)), 3)

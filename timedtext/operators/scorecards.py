@@ -107,8 +107,11 @@ def budget(minutes: str, style: str) -> dict[str, Column]:
 
 
 def meets_budget(segments: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Word and segment totals of a script held against ``budgets(video_id, min_words, ...)``."""
-    g = segments.groupBy("video_id").agg(F.sum(T.word_count("narration")).cast("long").alias("n_words"), F.count("*").alias("n_segments"))
+    """Words and sentences of a script held against ``budgets(video_id, min_words, ...)``; ``n_segments`` counts sentences.
+
+    Whether the script also has all roles and verified events is a part of ``quality.quality_report``.
+    """
+    g = segments.groupBy("video_id").agg(F.sum(T.word_count("narration")).cast("long").alias("n_words"), F.sum(T.sentences("narration")).cast("long").alias("n_segments"))
     ok = F.col("n_words").between(F.col("min_words"), F.col("max_words")) & F.col("n_segments").between(F.col("min_segments"), F.col("max_segments"))
     return g.join(budgets.hint("merge"), "video_id").select("video_id", "n_words", "n_segments", ok.alias("ok"))
 

@@ -139,7 +139,7 @@ ORACLE_SQL = {
 f AS (SELECT *, least(end_ms, coalesce(nxt, duration_ms), duration_ms) AS slot_end FROM e), g AS (SELECT *, slot_end - start_ms AS slot FROM f WHERE slot_end - start_ms >= 30),
 h AS (SELECT *, slot - CASE WHEN nxt IS NOT NULL AND slot_end >= nxt THEN least(50, greatest(0, slot - 30)) ELSE 0 END AS available_ms FROM g)
 SELECT video_id, cue_no, available_ms, greatest(0, start_ms - coalesce(lag(start_ms + available_ms) OVER (PARTITION BY video_id ORDER BY start_ms, cue_no), 0)) AS gap_ms FROM h""",
-    "cue_health": f"""WITH {_C}, e AS (SELECT c.*, duration_ms, lag(end_ms) OVER (PARTITION BY video_id ORDER BY cue_no) AS before, length(regexp_replace(lower(text), '[^\\pL\\pN]', '', 'g')) AS k FROM c JOIN d USING (video_id)),
+    "cue_health": f"""WITH {_C}, e AS (SELECT c.*, duration_ms, lag(end_ms) OVER (PARTITION BY video_id ORDER BY cue_no) AS before, length(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\pL\\pN]', '', 'g')) AS k FROM c JOIN d USING (video_id)),
 g AS (SELECT video_id, count(*) AS n_cues, count(*) FILTER (start_ms < -10 OR end_ms <= start_ms OR (duration_ms > 0 AND end_ms > duration_ms + 200)) AS n_out_of_bounds, count(*) FILTER (start_ms < before - 20) AS n_overlaps,
   count(*) FILTER (k = 0) AS n_empty, 100 * sum(greatest(0, end_ms - start_ms)) / greatest(max(duration_ms), 10) AS coverage,
   coalesce(avg(CASE WHEN k > 0 THEN k * 1000 / greatest(end_ms - start_ms, 50) END), 0) AS mean_rate, coalesce(max(CASE WHEN k > 0 THEN k * 1000 / greatest(end_ms - start_ms, 50) END), 0) AS max_rate FROM e GROUP BY 1)
@@ -187,7 +187,7 @@ SELECT video_id, length(transcript)::INT AS n_chars, md5(transcript) AS transcri
   ends_with(trim(regexp_replace(text, '[.!?…]+$', '')), ',') OR regexp_matches(trim(regexp_replace(text, '[.!?…]+$', '')), '(?i)(^|[^\pL\pN\pM_])({_CONN})\s*$') AS incomplete, regexp_matches(text, '[\pL\pN]') AS speakable, regexp_matches(text, '[一-鿿]') AS cjk FROM s""",
     "voice_estimate": rf"""WITH {_S}, n AS (SELECT video_id, cue_no, len(regexp_extract_all(text, '{_WORD}+', 0))::INT AS n_words FROM s)
 SELECT video_id, cue_no, n_words, cast(floor(round_even(least(7.0::DOUBLE, greatest(2.0::DOUBLE, n_words / 2.75::DOUBLE + 0.35::DOUBLE)), 3) * 1000000 + 0.5) AS BIGINT) AS voice_micro FROM n""",
-    "alignment_keys": r"SELECT doc_id, md5(regexp_replace(lower(text), '[^\pL\pN]', '', 'g')) AS key_md5, md5(strip_accents(lower(text))) AS fold_md5 FROM documents",
+    "alignment_keys": r"SELECT doc_id, md5(regexp_replace(replace(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), 'ſ', 's'), '[^\pL\pN]', '', 'g')) AS key_md5, md5(strip_accents(lower(text))) AS fold_md5 FROM documents",
     "token_overlap": rf"""WITH {_S}, p AS (SELECT video_id, cue_no, {_TOK.format(t='text')} AS a, {_TOK.format(t='after')} AS b FROM (SELECT *, lead(text) OVER (PARTITION BY video_id ORDER BY cue_no) AS after FROM s) WHERE after IS NOT NULL)
 SELECT video_id, cue_no, cast(floor(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END * 1000000 + 0.5) AS BIGINT) AS overlap_micro FROM p""",
 }

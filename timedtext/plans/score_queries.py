@@ -172,7 +172,7 @@ SELECT video_id, coalesce(string_agg(key, ',' ORDER BY b) FILTER (b <= 2), '') A
 g AS (SELECT video_id, code, CASE WHEN code IN ('STYLE_MISMATCH', 'REPETITIVE_TRANSITIONS', 'UNVERIFIED_EVENT') THEN 'warning' ELSE s END AS severity FROM i)
 SELECT video_id, count(*) AS n_issues, count(*) FILTER (severity = 'warning') AS n_warnings, count(*) FILTER (severity = 'error' AND code <> 'OTHER') AS n_blocking, count(*) FILTER (severity = 'error' AND code <> 'OTHER') = 0 AS passed FROM g GROUP BY 1""",
     "budgets": f"WITH x AS (SELECT p_partkey, p_size - 3 AS minutes, ['story', 'fast', 'emotional', 'funny', 'other'][p_partkey % 5 + 1] AS style FROM part), {_budget('x', 'p_partkey')} SELECT * FROM q",
-    "meets_budget": rf"""WITH {_S}, x AS (SELECT DISTINCT video_id, video_id % 5 AS minutes, 'fast' AS style FROM s), {_budget('x', 'video_id')}, n AS (SELECT video_id, sum(len(regexp_extract_all(narration, '[\pL\pN\pM_]+', 0)))::BIGINT AS n_words, count(*) AS n_segments FROM s GROUP BY 1)
+    "meets_budget": rf"""WITH {_S}, x AS (SELECT DISTINCT video_id, video_id % 5 AS minutes, 'fast' AS style FROM s), {_budget('x', 'video_id')}, n AS (SELECT video_id, sum(len(regexp_extract_all(narration, '[\pL\pN\pM_]+', 0)))::BIGINT AS n_words, sum(len(list_filter(string_split(regexp_replace(narration, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')))::BIGINT AS n_segments FROM s GROUP BY 1)
 SELECT video_id, n_words, n_segments, n_words BETWEEN min_words AND max_words AND n_segments BETWEEN min_segments AND max_segments AS ok FROM n JOIN q USING (video_id)""",
     "durations_ok": """WITH x AS (SELECT p_partkey, p_retailprice * 0.37713::DOUBLE AS a, p_size % 12 AS m, greatest(1, least(30, p_size % 12)) * 60.0::DOUBLE AS t FROM part)
 SELECT p_partkey, cast(floor(CASE WHEN a <= 0 THEN 0 ELSE round_even(greatest(0, 100 - abs(a - t) / t * 250), 2) END * 1000000 + 0.5) AS BIGINT) AS score_micro, a > 0 AND abs(a - t) / t <= 0.1::DOUBLE AS ok,

@@ -10,7 +10,10 @@ from ..operators import aliases as N
 from ..operators import alignment as A
 from ..operators import balancing as B
 from ..operators import caption_sync as S
+from ..operators import quality as Q
+from ..operators.reports import REPORT_WEIGHTS
 from ..operators.scorecards import budget
+from ..operators.segments import OPENERS
 from . import views as V
 from .match_queries import _TERMS
 
@@ -114,7 +117,32 @@ def build_aliases(spark: SparkSession, d: str) -> DataFrame:
     return N.build_aliases(*alias_tables(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (align_beats, replace_weak, repair_edit, caption_sync, balance_events, build_aliases)}
+#: The tables of a review in one film's terms: every turn is a segment, a scene and a decision, three turns are an event.
+REVIEW = {
+    "videos": """SELECT video_id, CAST(video_id % 3 + 1 AS BIGINT) AS minutes, CASE WHEN video_id % 2 = 0 THEN 'story' ELSE 'fast' END AS style, CASE WHEN video_id % 4 = 1 THEN CAST(80 + video_id % 20 AS DOUBLE) END AS coherence,
+  CASE WHEN video_id % 4 = 1 THEN CAST(70 + video_id % 30 AS DOUBLE) END AS style_score, CASE WHEN video_id % 4 = 1 THEN video_id % 8 = 1 END AS logic_passed, CASE WHEN video_id % 4 = 1 THEN video_id % 3 > 0 END AS style_passed FROM {film} GROUP BY video_id""",
+    "segments": """SELECT f.video_id, f.cue_no AS seq, CAST(floor(f.cue_no / 3) AS BIGINT) AS event_no, CASE WHEN f.video_id % 5 = 2 AND f.cue_no = 4 THEN 'odd' WHEN f.cue_no = 0 THEN 'hook' WHEN f.cue_no * 4 <= n THEN 'context' WHEN f.cue_no * 3 <= n * 2 THEN 'conflict'
+  WHEN f.cue_no * 20 <= n * 17 THEN 'climax' ELSE 'resolution' END AS story_role, concat(CASE WHEN f.video_id % 3 = 1 AND f.cue_no % 7 = 2 THEN 'Sau đó, ' WHEN f.video_id % 7 = 4 AND f.cue_no BETWEEN 5 AND 7 THEN 'Tuy nhiên ' ELSE '' END, text) AS narration, f.cue_no % 13 <> 4 AS supported
+  FROM {film} f JOIN (SELECT video_id, count(*) AS n FROM {film} GROUP BY video_id) k ON k.video_id = f.video_id""",
+    "events": """SELECT video_id, CAST(floor(cue_no / 3) AS BIGINT) AS event_no, CAST(floor(cue_no / 3) + CASE WHEN video_id % 6 = 5 AND floor(cue_no / 3) = 2 THEN 40 ELSE 0 END AS BIGINT) AS order_index, min(start_ms) AS start_ms, floor(cue_no / 3) % 5 <> 3 OR video_id % 2 = 0 AS verified
+  FROM {film} GROUP BY video_id, floor(cue_no / 3)""",
+    "scenes": """SELECT video_id, cue_no AS scene_id, start_ms, end_ms, CAST(cue_no % 3 AS BIGINT) AS n_evidence, cue_no % 10 < 8 AS usable, CASE WHEN video_id % 2 = 1 AND cue_no % 4 = 1 THEN 'Unknown' ELSE 'Ann' END AS one FROM {film}""",
+    "decisions": """SELECT f.video_id, f.cue_no AS seq, CAST(floor(f.cue_no / 3) AS BIGINT) AS event_no, f.cue_no AS scene_id, CASE WHEN f.video_id % 3 = 0 AND c.start_ms IS NOT NULL THEN f.start_ms ELSE CAST(c.start_ms AS BIGINT) END AS start_ms, CASE WHEN f.video_id % 3 = 0 AND c.score IS NOT NULL THEN 0.9 ELSE c.score END AS match_score
+  FROM {film} f LEFT JOIN (SELECT * FROM {clips} WHERE pos = 0) c ON c.video_id = f.video_id AND c.seq = f.cue_no""",
+}
+
+
+def quality_report(spark: SparkSession, d: str) -> DataFrame:
+    f = film(spark, d)
+    tables = {"film": f, "clips": spark.sql(CLIPS, film=f)}
+    t = {k: spark.sql(q, **{x: v for x, v in tables.items() if f"{{{x}}}" in q}) for k, q in REVIEW.items()}
+    t["scenes"] = t["scenes"].withColumn("characters", F.array("one", F.lit("Bo")))
+    r = Q.quality_report(t["videos"], t["segments"], t["events"], t["scenes"], t["decisions"])
+    codes = F.array_join(F.array_sort(F.transform("issues", lambda x: F.concat_ws(":", x["severity"], x["code"], x["seq"].cast("string")))), ",")
+    return r.select("video_id", *[micro(k).alias(k) for k in ("overall", *REPORT_WEIGHTS)], "passed", "meets_budget", "n_words", "n_sentences", F.md5(codes).alias("issues_md5"))
+
+
+QUERIES = {f.__name__: f for f in (align_beats, replace_weak, repair_edit, caption_sync, balance_events, build_aliases, quality_report)}
 
 _F = f"film AS ({FILM.format(conversations='conversations')})"
 _B = f"beats AS ({BEATS.format(film='film')}), dur AS (SELECT video_id, max(end_ms) + 5000 AS duration_ms FROM film GROUP BY 1)"
@@ -185,4 +213,35 @@ f(video_id, seq, new_seq, last, candidate_id, start_ms, score, replaced) AS (
       FROM (SELECT k.*, f.last, CASE WHEN c.candidate_id IS NOT NULL THEN {{'id': c.candidate_id, 's': c.start_ms, 'score': c.score}} END AS cur FROM f JOIN kept k ON k.video_id = f.video_id AND k.new_seq = f.new_seq + 1 LEFT JOIN (SELECT * FROM clips WHERE pos = 0) c ON c.video_id = k.video_id AND c.seq = k.seq) j
       LEFT JOIN pool p ON p.video_id = j.video_id AND p.seq = j.seq AND p.start_ms + 250 >= j.last GROUP BY ALL)))
 SELECT video_id, seq, new_seq, candidate_id, start_ms, floor(score * 1000000 + 0.5)::BIGINT AS score, replaced FROM f WHERE new_seq > 0""",
+    "quality_report": rf"""WITH {_F}, {_CL}, {', '.join(f"{k} AS ({q.format(film='film', clips='clips')})" for k, q in REVIEW.items())},
+bu AS (SELECT *, minutes * 205 AS target, round_even(minutes * 205 * 0.9, 0) AS lo_w, round_even(minutes * 205 * 1.15, 0) AS hi_w, greatest(8, round_even(minutes * 205 / CASE style WHEN 'story' THEN 16.0 ELSE 14.0 END, 0)) AS n_seg FROM videos),
+sg AS (SELECT *, len(regexp_extract_all(narration, '[\pL\pN\pM_]+')) AS words, len(list_filter(string_split(regexp_replace(narration, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS sents,
+  regexp_replace(lower(regexp_extract(narration, '(?i)^\s*["''“”‘’(\[]*\s*({OPENERS})(?:$|[^\pL\pN_])', 1)), '\s+', ' ', 'g') AS marker FROM segments),
+mk AS (SELECT video_id, seq, marker, lead(marker) OVER w AS m1, lead(marker, 2) OVER w AS m2, count(*) OVER (PARTITION BY video_id) AS n, count(*) OVER (PARTITION BY video_id, marker) AS k FROM sg WINDOW w AS (PARTITION BY video_id ORDER BY seq)),
+li AS (SELECT video_id, bool_or(n >= 4 AND marker <> '' AND (k > greatest(2, floor(n * 0.1)) OR coalesce(m1 = marker AND m2 = marker, FALSE))) AS listed FROM mk GROUP BY 1),
+sw AS (SELECT video_id, count(*) AS n_seg_rows, sum(words)::BIGINT AS n_words, sum(sents)::BIGINT AS n_sentences FROM sg GROUP BY 1),
+ro AS (SELECT *, coalesce(list_position(['hook', 'context', 'conflict', 'climax', 'resolution'], story_role), 999) AS pl FROM sg), rn AS (SELECT *, lead(pl) OVER (PARTITION BY video_id ORDER BY seq) AS nx FROM ro), rd AS (SELECT video_id, bool_and(nx IS NULL OR pl <= nx) AS ordered FROM rn GROUP BY 1),
+ev AS (SELECT *, bool_or(verified) OVER (PARTITION BY video_id) AS any_ok FROM events), et AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n FROM ev WHERE verified OR NOT any_ok WINDOW w AS (PARTITION BY video_id ORDER BY order_index, start_ms, event_no)),
+need AS (SELECT DISTINCT video_id, CASE WHEN i = 0 THEN 'hook' WHEN i = n - 1 THEN 'resolution' WHEN i / (n - 1) <= 0.25 THEN 'context' WHEN i / (n - 1) <= 0.65 THEN 'conflict' WHEN i / (n - 1) <= 0.85 THEN 'climax' ELSE 'resolution' END AS role FROM et),
+wh AS (SELECT video_id, bool_and((video_id, role) IN (SELECT (video_id, story_role) FROM segments)) AS whole FROM need GROUP BY 1),
+de AS (SELECT d.*, coalesce(e.order_index, 999999) AS ord FROM decisions d LEFT JOIN events e USING (video_id, event_no)), dn AS (SELECT *, lead(ord) OVER (PARTITION BY video_id ORDER BY seq) AS nx FROM de),
+cn AS (SELECT *, lead(start_ms) OVER (PARTITION BY video_id ORDER BY seq) AS nx FROM decisions WHERE start_ms IS NOT NULL),
+ah AS (SELECT v.video_id, NOT EXISTS (SELECT 1 FROM dn WHERE dn.video_id = v.video_id AND ord > nx) AND NOT EXISTS (SELECT 1 FROM cn WHERE cn.video_id = v.video_id AND start_ms > nx + 250) AS ahead FROM videos v),
+di AS (SELECT video_id, count(*) FILTER (match_score >= 0.75) AS good FROM cn GROUP BY 1),
+vf AS (SELECT video_id, 100.0::DOUBLE * count(*) FILTER (verified) / count(*) AS evidence, bool_and(NOT verified OR (video_id, event_no) IN (SELECT (video_id, event_no) FROM segments)) AS all_told FROM events GROUP BY 1),
+ch AS (SELECT video_id, CASE WHEN count(*) FILTER (upper(one) = 'UNKNOWN') = 0 THEN 100 ELSE greatest(60, 100 - 4.0::DOUBLE * count(*) FILTER (upper(one) = 'UNKNOWN') / (2 * count(*))) END AS character FROM scenes GROUP BY 1),
+us AS (SELECT s.*, row_number() OVER (PARTITION BY s.video_id ORDER BY start_ms, end_ms, scene_id) - 1 AS i, count(*) OVER (PARTITION BY s.video_id) AS n, minutes, (s.video_id, scene_id) IN (SELECT (video_id, scene_id) FROM cn) AS chosen FROM scenes s JOIN videos USING (video_id) WHERE usable AND n_evidence > 0),
+ub AS (SELECT *, least(n, greatest(4, least(minutes * 4, n))) AS b FROM us), uc AS (SELECT *, CASE WHEN i < n % b * (n // b + 1) THEN i // (n // b + 1) ELSE n % b + (i - n % b * (n // b + 1)) // (n // b) END AS run FROM ub),
+co AS (SELECT video_id, round_even(coalesce(least(100, 100 * (count(DISTINCT run) FILTER (chosen) / any_value(b) * 0.65::DOUBLE + least(1, greatest(0, (max(end_ms) FILTER (chosen) - min(start_ms) FILTER (chosen)) / (max(end_ms) - min(start_ms)))) * 0.35::DOUBLE)), 0), 2) AS coverage FROM uc GROUP BY 1),
+p AS (SELECT bu.*, n_words, n_sentences, n_seg_rows, listed, ordered, coalesce(whole, TRUE) AS whole, ahead, all_told, 100.0::DOUBLE * coalesce(good, 0) / n_seg_rows AS direct, CASE WHEN ahead THEN 100.0 ELSE 60.0 END AS chronology, evidence, character,
+  greatest(0, 100 - abs(n_words - target) / target * 250.0::DOUBLE) AS duration, least(CASE WHEN NOT ordered THEN 30 WHEN coalesce(whole, TRUE) THEN 100 ELSE 60 END, coalesce(coherence, 100)) AS story, coalesce(coverage, 0) AS coverage, CASE WHEN listed THEN least(84, coalesce(style_score, 100)) ELSE coalesce(style_score, 100) END AS style_part
+  FROM bu JOIN sw USING (video_id) JOIN li USING (video_id) JOIN rd USING (video_id) LEFT JOIN wh USING (video_id) JOIN ah USING (video_id) LEFT JOIN di USING (video_id) JOIN vf USING (video_id) JOIN ch USING (video_id) LEFT JOIN co USING (video_id)),
+o AS (SELECT *, {' + '.join(f"{'style_part' if k == 'style' else k}::DECIMAL(12,6) * {w}" for k, w in REPORT_WEIGHTS.items())} AS total FROM p),
+iss AS (SELECT s.video_id, 'error:' || CASE WHEN start_ms IS NULL THEN 'NO_CLIP' WHEN match_score < 0.75 THEN 'LOW_VISUAL_MATCH' ELSE 'UNSUPPORTED_NARRATION' END || ':' || s.seq AS x FROM segments s LEFT JOIN decisions d USING (video_id, seq) WHERE start_ms IS NULL OR match_score < 0.75 OR NOT supported
+  UNION ALL SELECT video_id, unnest(list_filter([CASE WHEN NOT ahead THEN 'error:CHRONOLOGY' END, CASE WHEN evidence < 95 THEN 'warning:UNVERIFIED_EVENT' END, CASE WHEN n_words NOT BETWEEN lo_w AND hi_w THEN 'error:NARRATION_DURATION_MISMATCH' END, CASE WHEN NOT (whole AND ordered) THEN 'error:STORY_ARC_INCOMPLETE' END,
+    CASE WHEN NOT logic_passed THEN 'error:NARRATIVE_LOGIC' END, CASE WHEN NOT style_passed THEN 'error:STYLE_MISMATCH' END, CASE WHEN listed THEN 'error:REPETITIVE_TRANSITIONS' END, CASE WHEN coverage < 85 THEN 'error:SOURCE_COVERAGE' END], lambda x: x IS NOT NULL)) FROM p),
+il AS (SELECT video_id, string_agg(x, ',' ORDER BY x) AS codes, bool_or(x LIKE 'error%') AS bad FROM iss GROUP BY 1)
+SELECT video_id, cast(floor(round_even(total, 2)::DOUBLE * 1000000 + 0.5) AS BIGINT) AS overall, {', '.join(f"cast(floor(round_even({'style_part' if k == 'style' else k}::DECIMAL(12,6), 2)::DOUBLE * 1000000 + 0.5) AS BIGINT) AS {k}" for k in REPORT_WEIGHTS)},
+  total >= 90 AND NOT coalesce(bad, FALSE) AS passed, n_words BETWEEN lo_w AND hi_w AND n_sentences BETWEEN greatest(6, floor(n_seg * 0.8)) AND greatest(10, ceil(n_seg * 1.2)) AND whole AND all_told AS meets_budget, n_words, n_sentences, md5(coalesce(codes, '')) AS issues_md5
+FROM o LEFT JOIN il USING (video_id)""",
 }
