@@ -225,11 +225,11 @@ def test_names_in_texts(spark):
 
 
 def test_regions(spark):
-    from timedtext.operators import texts as X
+    from timedtext.operators import regions as R
 
     rows = [(1, 1, True, None, 10.0, 10.0, 10.0, 10.0), (1, 2, False, None, 11.0, 11.0, 20.0, 20.0), (1, 3, False, None, 60.0, 60.0, 10.0, 10.0), (1, 4, False, None, 62.0, 62.0, 9.0, 9.0), (1, 5, False, 2000.0, 60.0, 60.0, 10.0, 10.0)]
-    d = spark.createDataFrame(rows, "video_id long, region_id long, validated boolean, start_ms double, x double, y double, w double, h double")
-    got = {r.region_id: (r.x, r.w) for r in X.dedupe_regions(d).collect()}
+    d = spark.createDataFrame(rows, "video_id long, region_id long, validated boolean, start_ms double, x double, y double, w double, h double").selectExpr("*", "start_ms + 1000 AS end_ms")
+    got = {r.region_id: (r.x, r.w) for r in R.merge_regions(d).collect()}
     assert got == {1: (10.0, 10.0), 3: (60.0, 11.0), 5: (60.0, 10.0)}
 
 

@@ -178,36 +178,6 @@ def clip_plan(decisions: DataFrame, media: DataFrame) -> DataFrame:
     return d.select("video_id", "seq", start.cast("long").alias("clip_start_ms"), F.col("clip_ms").cast("long").alias("clip_ms"), F.col("output_ms").cast("long").alias("output_ms"))
 
 
-def dedupe_regions(regions: DataFrame, untimed: float = 0.45) -> DataFrame:
-    """Regions of each video without repeated ones: validated first, untimed before timed, larger before smaller.
-
-    An untimed region that covers more than ``untimed`` of a kept untimed one, or the other way round, widens it, unless the kept one
-    was validated. Each decision depends on those before, so that a video's few regions are a group of their own.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf.to_dict("records"), key=lambda r: (not r["validated"], r["start_ms"] == r["start_ms"] and r["start_ms"] is not None, -r["w"] * r["h"], r["region_id"]))
-        kept: list[dict] = []
-        timed = lambda r: r["start_ms"] is not None and r["start_ms"] == r["start_ms"]
-        for r in rows:
-            hit = next((k for k in kept if not timed(r) and not timed(k) and _share(r, k) > untimed), None)
-            if hit is None:
-                kept.append(dict(r))
-            elif not hit["validated"]:
-                x, y = min(hit["x"], r["x"]), min(hit["y"], r["y"])
-                right, low = max(hit["x"] + hit["w"], r["x"] + r["w"]), max(hit["y"] + hit["h"], r["y"] + r["h"])
-                hit |= {"x": x, "y": y, "w": right - x, "h": low - y}
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    return regions.groupBy("video_id").applyInPandas(run, regions.schema)
-
-
-def _share(a: dict, b: dict) -> float:
-    w = min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"])
-    h = min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"])
-    return max(0.0, w) * max(0.0, h) / max(1.0, min(a["w"] * a["h"], b["w"] * b["h"]))
-
-
 def write_artifacts(tables: dict[str, DataFrame], path: str) -> None:
     """Each nested table as Parquet in a folder of its own, by video."""
     for name, df in tables.items():
