@@ -179,12 +179,24 @@ def cosine_join(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select("video_id", "item_no", "r_item_no", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
 
 
-def mine_names(cues: DataFrame, stop: list[str], least: int = 2) -> DataFrame:
-    """Capitalised tokens per video that are not stop words and come ``least`` times, or once inside a sentence: ``(video_id, name, n, n_inside)``."""
-    words = cues.select("video_id", "cue_no", F.posexplode(F.regexp_extract_all("text", F.lit("[\\p{L}\\p{N}]+"), F.lit(0))).alias("i", "name"))
-    d = words.where(F.col("name").rlike("^\\p{Lu}\\p{Ll}+$") & ~F.lower("name").isin(*stop))
-    g = d.groupBy("video_id", "name").agg(F.count("*").alias("n"), F.sum(F.when(F.col("i") > 0, 1).otherwise(0)).cast("long").alias("n_inside"))
-    return g.where((F.col("n") >= least) | (F.col("n_inside") >= 1))
+def mine_names(cues: DataFrame, common: list[str], least: int = 2) -> DataFrame:
+    """``(video_id, name, n, n_inside, vocative)``: capitalised words that are likely names.
+
+    Words of two Latin letters or more, also joined by hyphens or apostrophes. A word counts that comes ``least`` times, or once inside a
+    sentence, if it is not one of the ``common`` ones (in lower case); and any word that is called, with a comma before or after it, even a
+    common one. Sentences begin with the text, a line, or after a closing sign with blanks. The texts between the words are kept
+    as they are, so that a word's neighbours say what it is. ``n`` and ``n_inside`` are 0 for common words. A null text has no words.
+    """
+    marked = F.regexp_replace("text", "(?U)\\b([A-Z][a-zA-Z]{1,24}(?:[-'][A-Z][a-zA-Z]{1,24})*)\\b", "\x01$1\x01")
+    d = cues.select("video_id", F.split(marked, "\x01").alias("p"))
+    odd = F.when(F.size("p") > 2, F.sequence(F.lit(1), F.size("p") - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    d = d.select("video_id", F.explode(F.transform(odd, lambda i: F.struct(F.get("p", i).alias("name"), F.get("p", i - 1).alias("before"), F.get("p", i + 1).alias("after"), (i == 1).alias("first")))).alias("x")).select("video_id", "x.*")
+    start = (F.col("first") & F.rlike("before", F.lit("(?U)^\\s*$"))) | F.rlike("before", F.lit("(?U)([.!?…。！？]\\s+|\\n\\s*)$"))
+    called = F.rlike("before", F.lit("(?U),\\s*$")) | F.rlike("after", F.lit("(?U)^\\s*,"))
+    known = F.lower("name").isin(*common) if common else F.lit(False)
+    n = lambda c: F.sum(c.cast("long"))
+    g = d.groupBy("video_id", "name").agg(n(~known).alias("n"), n(~known & ~start).alias("n_inside"), F.bool_or(called).alias("vocative"))
+    return g.where((F.col("n") >= least) | (F.col("n_inside") >= 1) | F.col("vocative"))
 
 
 def merge_glossary(entries: DataFrame, most: int = 120) -> DataFrame:

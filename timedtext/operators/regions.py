@@ -15,9 +15,10 @@ _BOX = ("x", "y", "w", "h")
 
 
 def share(a: Column, b: Column) -> Column:
-    """Intersection over the smaller area, which counts as 1 at least."""
+    """Intersection over the smaller area, which counts as 1 at least; 0 where a side is null."""
     over = lambda p, n: F.greatest(F.lit(0.0), F.least(a[p] + a[n], b[p] + b[n]) - F.greatest(a[p], b[p]))
-    return over("x", "w") * over("y", "h") / F.greatest(F.lit(1.0), F.least(a["w"] * a["h"], b["w"] * b["h"]))
+    whole = (a["x"] + a["y"] + a["w"] + a["h"] + b["x"] + b["y"] + b["w"] + b["h"]).isNotNull()
+    return F.when(whole, over("x", "w") * over("y", "h") / F.greatest(F.lit(1.0), F.least(a["w"] * a["h"], b["w"] * b["h"]))).otherwise(0.0)
 
 
 def _timed(r: Column) -> Column:
@@ -77,8 +78,8 @@ def blur_boxes(regions: DataFrame, subtitles: DataFrame, least: float = 0.45, ba
     def step(kept: Column, r: Column) -> Column:
         def put(box: Column) -> Column:
             seen = lambda e: ~_timed(box) | ~_timed(e) | (F.greatest(box["start_ms"], e["start_ms"]) < F.least(box["end_ms"], e["end_ms"]))
-            inside = ~_timed(box) & F.coalesce(share(box, F.col("band")) > band, F.lit(False))
-            gone = inside | F.exists(kept, lambda e: F.coalesce(share(box, e) > again, F.lit(False)) & seen(e))
+            inside = ~_timed(box) & (share(box, F.col("band")) > band)
+            gone = inside | F.exists(kept, lambda e: (share(box, e) > again) & seen(e))
             return F.when(gone, kept).otherwise(F.concat(kept, F.array(box)))
 
         top = F.coalesce((r["y"] <= 15) & ~_timed(r), F.lit(False))

@@ -167,8 +167,10 @@ SELECT DISTINCT p.video_id, p.name, coalesce(a.canonical, p.name) AS canonical F
     "cosine_join": f"""WITH {_C}, e AS (SELECT * FROM c WHERE cue_no % 2 = 0), o AS (SELECT * FROM c WHERE cue_no % 2 = 1), {_vector('e', 'cue_no', 'v')}, {_vector('o', 'cue_no', 'u')},
 n AS (SELECT video_id, item_no, sqrt(sum(weight * weight)) AS n FROM (SELECT * FROM v UNION ALL SELECT * FROM u) GROUP BY 1, 2), j AS (SELECT v.video_id, v.item_no, u.item_no AS r_item_no, sum(v.weight * u.weight) AS dot FROM v JOIN u USING (video_id, term) GROUP BY 1, 2, 3)
 SELECT j.video_id, j.item_no, r_item_no, cast(floor(dot / (a.n * b.n) * 10000 + 0.5) AS BIGINT) AS cosine_e4 FROM j JOIN n a ON a.video_id = j.video_id AND a.item_no = j.item_no JOIN n b ON b.video_id = j.video_id AND b.item_no = r_item_no""",
-    "mine_names": r"""WITH w AS (SELECT doc_id AS video_id, unnest(regexp_extract_all(text, '[\pL\pN]+', 0)) AS name, generate_subscripts(regexp_extract_all(text, '[\pL\pN]+', 0), 1) AS i FROM documents)
-SELECT video_id, name, count(*) AS n, count(*) FILTER (i > 1) AS n_inside FROM w WHERE regexp_matches(name, '^\p{Lu}\p{Ll}+$') AND lower(name) NOT IN ('the', 'and', 'die', 'la') GROUP BY 1, 2 HAVING count(*) >= 2 OR count(*) FILTER (i > 1) >= 1""",
+    "mine_names": r"""WITH m AS (SELECT doc_id AS video_id, string_split(regexp_replace(regexp_replace(text, '[^\x00-\x7F\PL]|[^\x00-\x7F\PN]|[^\x00-\x7F\PM]', '_', 'g'), '\b([A-Z][a-zA-Z]{1,24}(?:[-''][A-Z][a-zA-Z]{1,24})*)\b', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS p FROM documents WHERE text IS NOT NULL),
+w AS (SELECT video_id, unnest(range(2, len(p), 2)) AS i, p FROM m), x AS (SELECT video_id, p[i] AS name, p[i - 1] AS before, p[i + 1] AS after, i = 2 AS first FROM w),
+y AS (SELECT video_id, name, lower(name) NOT IN ('the', 'and', 'die', 'la') AS ok, (first AND regexp_matches(before, '^\s*$')) OR regexp_matches(before, '([.!?…。！？]\s+|\n\s*)$') AS start, regexp_matches(before, ',\s*$') OR regexp_matches(after, '^\s*,') AS called FROM x)
+SELECT video_id, name, count(*) FILTER (ok) AS n, count(*) FILTER (ok AND NOT start) AS n_inside, bool_or(called) AS vocative FROM y GROUP BY 1, 2 HAVING count(*) FILTER (ok) >= 2 OR count(*) FILTER (ok AND NOT start) >= 1 OR bool_or(called)""",
     "merge_glossary": """WITH g AS (SELECT user_id % 4 AS video_id, cast(floor(value) AS BIGINT)::VARCHAR AS source, arg_max(event_type, event_id) AS target, min(event_id) AS first FROM events GROUP BY 1, 2)
 SELECT video_id, source, target FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY first DESC) AS i FROM g) WHERE i <= 40""",
     "merge_memory": """WITH g AS (SELECT user_id % 4 AS video_id, cast(floor(value) AS BIGINT)::VARCHAR AS item, min(event_id) AS first FROM events GROUP BY 1, 2) SELECT video_id, item, first FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY first) AS i FROM g) WHERE i <= 30""",
