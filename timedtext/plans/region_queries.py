@@ -57,7 +57,7 @@ ORACLE_SQL = {
     "blur_boxes": f"""WITH RECURSIVE {_KEPT}, band AS ({BANDS.format(orders='orders')}),
 g AS (SELECT video_id, unnest(rows) AS e, generate_subscripts(rows, 1) AS k FROM kept),
 q AS (SELECT video_id, k, {{'id': e.id, 'v': e.v, 'a': e.a, 'b': e.b, 'x': e.x, 'y': CASE WHEN e.y <= 15 AND e.a IS NULL THEN 0 ELSE e.y END, 'w': e.w, 'h': CASE WHEN e.y <= 15 AND e.a IS NULL THEN least(e.h, 13) ELSE e.h END}} AS r FROM g),
-z AS (SELECT q.video_id, q.k, q.r, coalesce(q.r.a IS NULL AND {_share('q.r', 'band')} > 0.25, FALSE) AS inside FROM q LEFT JOIN band USING (video_id)),
+z AS (SELECT q.video_id, q.k, q.r, band.x IS NOT NULL AND q.r.a IS NULL AND {_share('q.r', 'band')} > 0.25 AS inside FROM q LEFT JOIN band USING (video_id)),
 f(video_id, k, acc) AS (
   SELECT video_id, 0::BIGINT, []::STRUCT(id BIGINT, v BOOLEAN, a BIGINT, b BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)[] FROM kept
   UNION ALL
