@@ -36,6 +36,11 @@ def format_timestamp(ms: str | Column, style: str = "srt") -> Column:
     return F.format_string("%02d:%02d:%02d", h, m, s)
 
 
+def format_range(start_ms: str | Column, end_ms: str | Column) -> Column:
+    """``HH:MM:SS-HH:MM:SS``; times before the beginning count as 0."""
+    return F.concat(format_timestamp(start_ms, "clock"), F.lit("-"), format_timestamp(end_ms, "clock"))
+
+
 def time_proximity(t_ms: str | Column, target_ms: str | Column, duration_ms: str | Column) -> Column:
     """exp(-(distance / sigma)^2), sigma the larger of 90 s and 0.18 of the duration; 0 without a duration."""
     sigma = F.greatest(F.lit(90000.0), _col(duration_ms) * 0.18)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
+from .folding import bind, fold
 
 # Markers of credits, and verbs that claim that somebody speaks.
 CREDIT_MARKERS = ("credit", "staff", "cast list", "production list", "end card", "ending card", "title card", "illustration", "poster", "teaser", "logo", "rolling text", "static text", "are shown", "is shown", "displayed", "scrolling names", "character still", "montage still", "片尾", "制作", "字幕")
@@ -191,7 +192,6 @@ def assign_scenes(candidates: DataFrame, slack_ms: int = 250, close: int = 60) -
     seqs = seqs.withColumn("p", F.row_number().over(event.orderBy("seq")) - 1).withColumn("t", F.count("*").over(event))
     g = candidates.groupBy("video_id", "event_no", "seq").agg(F.array_sort(F.collect_list(F.struct("start_ms", "scene_id", "score"))).alias("c"))
     g = g.join(seqs.hint("merge"), ["video_id", "event_no", "seq"])
-    rows = g.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seq", "p", "t", "c"))).alias("rows"))
 
     def step(acc: Column, r: Column) -> Column:
         ahead = F.filter(r["c"], lambda x: x["start_ms"] + slack_ms >= acc["last"])
@@ -204,10 +204,8 @@ def assign_scenes(candidates: DataFrame, slack_ms: int = 250, close: int = 60) -
         n, t = F.size(pool) - 1, F.greatest(r["t"] - 1, F.lit(1))
         ideal = F.when(r["t"] <= 1, n * t).otherwise(2 * r["p"] * n)
         ranked = F.transform(pick, lambda x: F.struct(F.abs(2 * t * (F.array_position(pool, x) - 1) - ideal).alias("d"), (-x["score"]).alias("s"), x["start_ms"].alias("start_ms"), x["scene_id"].alias("scene_id")))
-        took = F.array_min(ranked)
-        out = F.concat(acc["out"], F.array(F.struct(r["seq"].alias("seq"), took["scene_id"].alias("scene_id"))))
-        return F.struct(F.greatest(acc["last"], took["start_ms"]).alias("last"), took["scene_id"].alias("r1"), acc["r1"].alias("r2"), out.alias("out"))
+        return bind(F.array_min(ranked), lambda took: F.struct(F.greatest(acc["last"], took["start_ms"]).alias("last"), took["scene_id"].alias("r1"), acc["r1"].alias("r2")))
 
     none = F.lit(-1).cast("long")
-    zero = F.struct(none.alias("last"), none.alias("r1"), none.alias("r2"), F.array().cast("array<struct<seq:bigint,scene_id:bigint>>").alias("out"))
-    return rows.select("video_id", F.explode(F.aggregate("rows", zero, step)["out"]).alias("x")).select("video_id", "x.seq", "x.scene_id")
+    zero = F.struct(none.alias("last"), none.alias("r1"), none.alias("r2"))
+    return fold(g, ["seq"], ["p", "t", "c"], zero, step, lambda s: F.struct(s["r1"].alias("scene_id")))

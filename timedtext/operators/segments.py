@@ -186,7 +186,8 @@ def smooth_boxes(detections: DataFrame, back: int = 6) -> DataFrame:
 def overlapping_regions(regions: DataFrame, least: float, cell: float = 25.0) -> DataFrame:
     """Pairs of regions of a video whose intersection is more than ``least`` of the smaller area, by a grid of cells.
 
-    A pair is kept only in the first cell that both touch, so that it appears once.
+    A pair is kept only in the first cell that both touch, so that it appears once. With columns ``start_ms`` and ``end_ms``, regions that both
+    have a time range must share more than its edge; one without a range is seen all the time.
     """
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(a) + F.col(b)) / cell))
     d = regions.withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h")))
@@ -196,5 +197,8 @@ def overlapping_regions(regions: DataFrame, least: float, cell: float = 25.0) ->
     first = (F.col("cx") == F.floor(F.greatest("x", "r_x") / cell)) & (F.col("cy") == F.floor(F.greatest("y", "r_y") / cell))
     share = ix * iy / F.greatest(F.lit(1.0), F.least(F.col("w") * F.col("h"), F.col("r_w") * F.col("r_h")))
     on = (F.col("video_id") == F.col("r_video_id")) & (F.col("cx") == F.col("r_cx")) & (F.col("cy") == F.col("r_cy")) & (F.col("region_id") < F.col("r_region_id"))
+    if {"start_ms", "end_ms"} <= set(regions.columns):
+        timed = F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull() & F.col("r_start_ms").isNotNull() & F.col("r_end_ms").isNotNull()
+        on = on & (~timed | (F.greatest("start_ms", "r_start_ms") < F.least("end_ms", "r_end_ms")))
     out = a.join(b.hint("merge"), on & first & (ix > 0) & (iy > 0))
     return out.withColumn("share", share).where(F.col("share") > least).select("video_id", "region_id", "r_region_id", "share")

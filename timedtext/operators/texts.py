@@ -178,11 +178,12 @@ def clip_plan(decisions: DataFrame, media: DataFrame) -> DataFrame:
     return d.select("video_id", "seq", start.cast("long").alias("clip_start_ms"), F.col("clip_ms").cast("long").alias("clip_ms"), F.col("output_ms").cast("long").alias("output_ms"))
 
 
-def write_artifacts(tables: dict[str, DataFrame], path: str) -> None:
-    """Each nested table as Parquet in a folder of its own, by video."""
+def write_artifacts(tables: dict[str, DataFrame], path: str, buckets: int = 64) -> None:
+    """Each nested table as Parquet in a folder of its own, dealt over ``buckets`` folders by a hash of the video, however many videos there are."""
     for name, df in tables.items():
-        df.write.mode("overwrite").partitionBy("video_id").parquet(f"{path}/{name}")
+        dealt = df.withColumn("bucket", F.pmod(F.xxhash64("video_id"), F.lit(buckets)).cast("int"))
+        dealt.repartition("bucket").sortWithinPartitions("bucket", "video_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
 def read_artifacts(spark: SparkSession, path: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+    return {n: spark.read.parquet(f"{path}/{n}").drop("bucket") for n in names}

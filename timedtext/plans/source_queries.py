@@ -47,7 +47,7 @@ def pick_artifacts(spark: SparkSession, d: str) -> DataFrame:
 
 def timestamps(spark: SparkSession, d: str) -> DataFrame:
     c = V.cues(spark, d)
-    return c.select("video_id", "cue_no", times.format_timestamp("start_ms").alias("srt"), times.format_timestamp("start_ms", "ass").alias("ass"), times.format_timestamp("start_ms", "clock").alias("clock"), times.parse_timestamp(times.format_timestamp("end_ms")).alias("parsed_ms"), times.parse_clock(times.format_timestamp("end_ms", "clock")).alias("clock_ms"), F.floor(times.time_proximity("start_ms", "end_ms", F.lit(600000)) * 1e6 + 0.5).cast("long").alias("near_micro"))
+    return c.select("video_id", "cue_no", times.format_timestamp("start_ms").alias("srt"), times.format_timestamp("start_ms", "ass").alias("ass"), times.format_timestamp("start_ms", "clock").alias("clock"), times.format_range("start_ms", "end_ms").alias("span"), times.parse_timestamp(times.format_timestamp("end_ms")).alias("parsed_ms"), times.parse_clock(times.format_timestamp("end_ms", "clock")).alias("clock_ms"), F.floor(times.time_proximity("start_ms", "end_ms", F.lit(600000)) * 1e6 + 0.5).cast("long").alias("near_micro"))
 
 
 def captions(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +103,7 @@ h AS (SELECT *, bool_or(o) OVER (PARTITION BY video_id, language) AS has FROM t)
     "pick_artifacts": """WITH l AS (SELECT l_orderkey AS video_id, 'f' || l_linenumber AS name, max(l_quantity::BIGINT % 4) AS size FROM lineitem GROUP BY 1, 2), p AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'video' ELSE 'text' END AS role, 'f' || n_nationkey AS name, 30 - n_nationkey AS rank FROM nation)
 SELECT video_id, role, arg_min(name, rank) AS name FROM l JOIN p USING (name) WHERE size > 0 GROUP BY 1, 2""",
     "timestamps": f"""WITH {_C}, t AS (SELECT *, start_ms AS t FROM c) SELECT video_id, cue_no, {_HMS} || ',' || lpad((t % 1000)::VARCHAR, 3, '0') AS srt, (t // 3600000)::VARCHAR || ':' || lpad((t // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((t // 1000 % 60)::VARCHAR, 2, '0') || '.' || lpad((t % 1000 // 10)::VARCHAR, 2, '0') AS ass,
-{_HMS} AS clock, end_ms AS parsed_ms, end_ms // 1000 * 1000 AS clock_ms, cast(floor(exp(-pow((end_ms - start_ms) / 108000.0::DOUBLE, 2)) * 1000000 + 0.5) AS BIGINT) AS near_micro FROM t""",
+{_HMS} AS clock, {_HMS} || '-' || {_HMS.replace('(t //', '(end_ms //')} AS span, end_ms AS parsed_ms, end_ms // 1000 * 1000 AS clock_ms, cast(floor(exp(-pow((end_ms - start_ms) / 108000.0::DOUBLE, 2)) * 1000000 + 0.5) AS BIGINT) AS near_micro FROM t""",
     "captions": r"""WITH t AS (SELECT doc_id, trim(regexp_replace(replace('"' || replace(text, '.', ' .') || '.....', '\N', ' '), '\s+', ' ', 'g')) AS t FROM documents), a AS (SELECT doc_id, regexp_replace(t, '([0-9]),\s+([0-9])', '\1,\2', 'g') AS t FROM t),
 b AS (SELECT doc_id, trim(t, e' \t\n"''') AS t FROM a), d AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\.{4,}', '...', 'g'), '\s+([.,!?:;])', '\1', 'g') AS t FROM b) SELECT doc_id, md5(regexp_replace(t, ',([^\s0-9])', ', \1', 'g')) AS caption_md5 FROM d""",
     "tags": r"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents), t AS (SELECT doc_id, regexp_replace(lower(w), '[^\pL\pN\pM_-]+', '', 'g') AS t, i FROM w),
