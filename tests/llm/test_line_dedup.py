@@ -85,14 +85,3 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_empty(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def test_recall_of_the_bands():
-    """By the minima themselves: pairs at a similarity of 0.8 and 0.9 that share a band."""
-    rnd = random.Random(9)
-    for similar, least in ((0.8, 0.93), (0.9, 0.985)):
-        hits = 0
-        for _ in range(2000):
-            agree = [rnd.random() < similar for _ in range(7)]
-            hits += any(all(agree[j] for j in band) for band in L.BANDS)
-        assert hits / 2000 > least
