@@ -57,7 +57,7 @@ def test_given_examples(spark):
 
 
 def key(text):
-    return re.sub(r"[\W_]", "", text.lower())
+    return re.sub(r"[\W_]", "", text.casefold())
 
 
 def test_query_equals_plain(spark):
