@@ -36,3 +36,13 @@ def test_word_inside_a_candidate():
     assert ("passphrase_" + key(30))[10:] == "_" + key(30)
     assert scan("passphrase_" + key(30))[0][1:] == (41, "novel")
     assert scan("secret_value_1 " * 3000) == []
+
+
+@pytest.mark.parametrize("text", ["my accessToken is {}", "dbPassword was {}", "the SessionId {} of it", "GITHUB_TOKEN {}"])
+def test_words_in_camel_case(text):
+    at = text.index("{")
+    assert scan(text.format("9f3Kq0ZpLx7Tb2VnYw8R")) == [(at, at + 20, "novel")]
+
+
+def test_parts_of_other_words_are_not_sensitive():
+    assert scan("a nonsecret unauthored thing 9f3Kq0ZpLx7Tb2VnYw8R") == []

@@ -21,8 +21,8 @@ BASE = {
     "hex": (re.compile(r"[0-9a-f]+"), 0, 32),
 }
 KINDS = (*BASE, "novel")
-#: Words that make a context sensitive.
-_SENSITIVE = re.compile(r"(?<![a-z])(password|passwd|pwd|secret|token|api[ _-]?key|private[ _-]?key|access[ _-]?key|credential|auth|bearer|session[ _-]?id|signature|passphrase)", re.A | re.I)
+#: Words that make a context sensitive, at the start of a word or of a part of a camel-case one.
+_SENSITIVE = re.compile(r"(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))(password|passwd|pwd|secret|token|api[ _-]?key|private[ _-]?key|access[ _-]?key|credential|auth|bearer|session[ _-]?id|signature|passphrase)", re.A | re.I)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}", re.A)
 #: Identifier vocabulary that primes the compressor: what names, paths and code are made of.
 IDENTIFIERS = (
