@@ -49,6 +49,12 @@ def test_rules(spark):
     assert run(spark) == {}
 
 
+def test_chains_and_many_equal_names_take_no_fold(spark):
+    chain = [(1, i, f"n{i:03}", [f"n{i + 1:03}"]) for i in range(40)]
+    got = run(spark, [*chain, *[(1, 100 + i, "n039", [f"last {i % 3}"]) for i in range(30_000)], (1, 99_999, "***", ["Star"]), (1, 100_000, "Star", None)])
+    assert {c for (_, a), c in got.items() if a[0] in "nl"} == {"n000"} and got[1, "last 2"] == "n000" and got[1, "Star"] == "***" and len(got) == 46
+
+
 def test_descriptions(spark):
     texts = ["Nam (ASR: Năm, Nạm) (OCR lỗi: Narn): hero", "Ann Lee: who (alias: x)", "Plain", "Tom (a cat): pet", "", None]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .folding import bind, fold
+from ..functions.stages import Scratch
 from .matching import fuzzy_match
 
 #: What introduces variants of a name in parentheses.
@@ -34,39 +34,46 @@ def parse_character(c: Column) -> tuple[Column, Column]:
 def contained_names(texts: DataFrame, names: DataFrame) -> DataFrame:
     """``(video_id, entry_no, name)``: the longest of a video's ``names(video_id, name, at)`` that is within a text, as whole words.
 
-    ``texts(video_id, entry_no, text)``. Names are found by their first word: a join on the words of the texts, of which those stay whose
-    next words are the name's. Of equally long names the first by ``at``.
+    ``texts(video_id, entry_no, text)``. Names are found by all their words: a join of the texts' runs of as many words as some name of the
+    video has. Of equally long names the first by ``at``.
     """
     words = lambda c: F.split(T.name_key(c), " ")
+    n = names.select("video_id", "name", "at", words("name").alias("own")).where(F.col("own")[0] != "")
+    best = F.min_by(F.struct((-F.length("name")).alias("k"), "at", "name"), F.struct(-F.length("name"), "at", "name")).alias("x")
+    sizes = n.groupBy("video_id").agg(F.collect_set(F.size("own")).alias("sizes"))
+    n = n.groupBy("video_id", F.array_join("own", " ").alias("run")).agg(best)
     t = texts.select("video_id", "entry_no", words("text").alias("words")).where(F.col("words")[0] != "")
-    t = t.select("video_id", "entry_no", "words", F.posexplode("words").alias("i", "word"))
-    n = names.select("video_id", "name", "at", words("name").alias("own")).where(F.col("own")[0] != "").withColumn("word", F.col("own")[0])
-    hit = t.join(n.hint("merge"), ["video_id", "word"]).where(F.slice("words", F.col("i") + 1, F.size("own")) == F.col("own"))
-    return hit.groupBy("video_id", "entry_no").agg(F.min_by("name", F.struct(-F.length("name"), "at", "name")).alias("name"))
+    t = t.join(sizes.hint("merge"), "video_id").select("video_id", "entry_no", "words", F.explode("sizes").alias("n")).where(F.size("words") >= F.col("n"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.array_join(F.slice("words", i, F.col("n")), " "))
+    hit = t.select("video_id", "entry_no", F.explode(F.array_distinct(runs)).alias("run")).join(n.hint("merge"), ["video_id", "run"])
+    return hit.groupBy("video_id", "entry_no").agg(F.min("x").alias("x")).select("video_id", "entry_no", "x.name")
 
 
-def _registered(units: DataFrame) -> DataFrame:
+def _registered(units: DataFrame, scratch: Scratch) -> DataFrame:
     """Units with their canonical name, in the order in which they came.
 
-    ``units(video_id, kind, no, part, name, aliases)``. A name whose key an earlier spelling has takes that one's canonical name; the fold's state is the
-    map from keys to canonical names.
+    ``units(video_id, kind, no, part, name, aliases)``. A name whose key an earlier spelling has takes that one's canonical name. A key belongs to the
+    first unit that spells it, and this unit has its own name or that of an earlier one: links from key to key, which are followed in
+    rounds, each twice as far as the one before, until all end at a unit with its own name. A round's table has a row for each key.
     """
-    keyed = units.withColumn("key", T.name_key("name")).withColumn("keys", F.transform(F.concat(F.array("name"), "aliases"), T.name_key))
-
-    def step(s: Column, r: Column) -> Column:
-        def put(canonical: Column) -> Column:
-            new = F.filter(F.array_distinct(F.concat(F.array(T.name_key(canonical)), r["keys"])), lambda k: (k != "") & ~F.map_contains_key(s["known"], k))
-            return F.struct(F.map_concat(s["known"], F.map_from_arrays(new, F.transform(new, lambda k: canonical))).alias("known"), canonical.alias("canonical"))
-
-        return bind(F.coalesce(F.try_element_at(s["known"], r["key"]), r["name"]), put)
-
-    zero = F.struct(F.create_map().cast("map<string,string>").alias("known"), F.lit("").alias("canonical"))
-    done = fold(keyed, ["kind", "no", "part"], ["name", "key", "keys"], zero, step, lambda s: F.struct(s["canonical"].alias("canonical")))
-    return units.join(done.hint("merge"), ["video_id", "kind", "no", "part"])
+    unit = units.withColumn("key", T.name_key("name")).withColumn("keys", F.array_distinct(F.transform(F.concat(F.array("name"), "aliases"), T.name_key)))
+    unit = scratch.table(unit, "units")
+    first = F.min(F.struct("kind", "no", "part", "name", "key")).alias("x")
+    k = unit.select("video_id", "kind", "no", "part", "name", F.col("key").alias("own"), F.explode("keys").alias("key")).where("key <> ''").withColumnsRenamed({"key": "of", "own": "key"}).groupBy("video_id", "of").agg(first)
+    own = (F.col("x.key") == "") | (F.col("x.key") == F.col("of"))
+    k = scratch.table(k.select("video_id", "of", F.when(~own, F.col("x.key")).alias("to"), F.when(own, F.col("x.name")).alias("canonical")), "keys-0")
+    i = 0
+    while not k.where("to IS NOT NULL").isEmpty():
+        i += 1
+        far = k.select("video_id", F.col("of").alias("to"), F.col("to").alias("next"), F.col("canonical").alias("found"))
+        k = k.join(far.hint("merge"), ["video_id", "to"], "left").select("video_id", "of", F.col("next").alias("to"), F.coalesce("canonical", "found").alias("canonical"))
+        k = scratch.table(k, f"keys-{i}")
+    done = unit.drop("keys").join(k.select("video_id", F.col("of").alias("key"), "canonical").hint("merge"), ["video_id", "key"], "left")
+    return done.select("video_id", "kind", "no", "part", "name", "aliases", F.coalesce("canonical", "name").alias("canonical"))
 
 
 def _spelled(rows: DataFrame) -> DataFrame:
-    """``(video_id, alias, canonical, kind, no, part, pos)``: the canonical name itself, each alias, and its form without marks if that has four letters or more."""
+    """``(video_id, alias, canonical, at)``: the canonical name itself, each alias, and its form without marks if that has four letters or more, where first."""
     solid = lambda c: F.length(F.replace(c, F.lit(" ")))
 
     def forms(a: Column) -> Column:
@@ -74,7 +81,8 @@ def _spelled(rows: DataFrame) -> DataFrame:
         return F.when(F.length(F.replace(T.name_key(a), F.lit(" "))) < 2, F.array().cast("array<string>")).when((plain != a) & (solid(plain) >= 4), F.array(a, plain)).otherwise(F.array(a))
 
     every = F.concat(F.array("canonical"), F.flatten(F.transform("aliases", forms)))
-    return rows.select("video_id", "kind", "no", "part", F.posexplode(every).alias("pos", "alias"), "canonical").where("canonical <> ''")
+    d = rows.select("video_id", "kind", "no", "part", F.posexplode(every).alias("pos", "alias"), "canonical").where("canonical <> ''")
+    return d.groupBy("video_id", "alias", "canonical").agg(F.min(F.struct("kind", "no", "part", "pos")).alias("at"))
 
 
 def build_aliases(records: DataFrame, glossary: DataFrame, observed: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -87,8 +95,7 @@ def build_aliases(records: DataFrame, glossary: DataFrame, observed: DataFrame,
     longest canonical name within its target. An observed name with no key among these takes the one canonical name that matches it
     clearly (``fuzzy_match``), else it is a name of its own. Defined cases: null and empty names are left out; null lists count as
     empty; spellings of a single letter only count as names; observed names that start with UNKNOWN are left out and are not
-    matched with each other but by equal keys; a name that merely contains an earlier spelling stays as it is. The names of
-    one video must fit a task.
+    matched with each other but by equal keys; a name that merely contains an earlier spelling stays as it is.
     """
     none = F.array().cast("array<string>")
     name = clean_name(F.col("name"))
@@ -98,20 +105,26 @@ def build_aliases(records: DataFrame, glossary: DataFrame, observed: DataFrame,
     r = r.select("video_id", "kind", "no", F.posexplode("parts").alias("part", "name"), F.when(F.size("parts") > 1, none).otherwise(F.concat(F.array("raw"), "aliases")).alias("aliases"))
     r = r.withColumn("name", F.trim("name")).withColumn("aliases", F.when(F.size("aliases") == 0, F.array("name")).otherwise(F.col("aliases")))
     split = F.flatten(F.transform("aliases", split_aliases))
-    units = _registered(s.unionByName(r).where("name <> ''").withColumn("aliases", split))
-    own = _spelled(units)
-    firsts = own.groupBy("video_id", "canonical").agg(F.min(F.struct("kind", "no", "part", "pos")).alias("at"))
+    # Equal units and names stand for the first of them, so that what follows grows with the different ones.
+    units = s.unionByName(r).where("name <> ''").withColumn("aliases", split)
+    units = units.groupBy("video_id", "kind", "name", "aliases").agg(F.min(F.struct("no", "part")).alias("x")).select("video_id", "kind", "x.no", "x.part", "name", "aliases")
+    scratch = Scratch(records.sparkSession, "aliases")
+    own = scratch.table(_spelled(_registered(units, scratch)), "own")
+    firsts = own.groupBy("video_id", "canonical").agg(F.min("at").alias("at"))
     names = firsts.select("video_id", F.col("canonical").alias("name"), "at")
-    g = contained_names(glossary.select("video_id", F.col("no").alias("entry_no"), F.col("target").alias("text")), names).withColumnsRenamed({"entry_no": "no", "name": "canonical"})
-    g = glossary.select("video_id", "no", split_aliases(F.col("source")).alias("aliases")).join(g.hint("merge"), ["video_id", "no"])
-    own = own.unionByName(_spelled(g.withColumns({"kind": F.lit(_GLOSSARY), "part": F.lit(0)})))
-    o = observed.select("video_id", "no", name.alias("name")).where((F.col("name") != "") & ~F.upper("name").startswith("UNKNOWN")).withColumn("key", T.name_key("name"))
-    key = own.groupBy("video_id", T.name_key("alias").alias("key")).agg(F.min_by("canonical", F.struct("kind", "no", "part", "pos")).alias("known"))
+    targets = glossary.select("video_id", F.col("target").alias("entry_no"), F.col("target").alias("text")).distinct()
+    g = contained_names(targets, names).withColumnsRenamed({"entry_no": "target", "name": "canonical"})
+    g = glossary.select("video_id", "no", "target", split_aliases(F.col("source")).alias("aliases")).join(g.hint("merge"), ["video_id", "target"])
+    own = scratch.table(own.unionByName(_spelled(g.withColumns({"kind": F.lit(_GLOSSARY), "part": F.lit(0)}))), "glossary")
+    o = observed.select("video_id", "no", name.alias("name")).where((F.col("name") != "") & ~F.upper("name").startswith("UNKNOWN"))
+    o = o.groupBy("video_id", "name").agg(F.min("no").alias("no")).withColumn("key", T.name_key("name"))
+    key = own.groupBy("video_id", T.name_key("alias").alias("key")).agg(F.min_by("canonical", "at").alias("known"))
     o = o.join(key.hint("merge"), ["video_id", "key"], "left").withColumn("first", F.first("name").over(Window.partitionBy("video_id", "key").orderBy("no")))
+    o = scratch.table(o, "observed")
     lone = o.where("known IS NULL").select("video_id", F.col("first").alias("name")).distinct()
     like = fuzzy_match(lone, names.select("video_id", "name")).select("video_id", F.col("name").alias("first"), F.col("canonical").alias("like"))
     o = o.join(like.hint("merge"), ["video_id", "first"], "left").withColumn("canonical", F.coalesce("known", "like", "first"))
     own = own.unionByName(_spelled(o.select("video_id", F.lit(_OBSERVED).alias("kind"), "no", F.lit(0).alias("part"), split_aliases(F.col("name")).alias("aliases"), "canonical")))
-    best = own.groupBy("video_id", "alias").agg(F.min_by(F.struct("canonical", "kind"), F.struct("kind", "no", "part", "pos")).alias("x"))
+    best = own.groupBy("video_id", "alias").agg(F.min_by(F.struct("canonical", F.col("at.kind")), "at").alias("x"))
     kinds = F.element_at(F.array(*[F.lit(k) for k in ("seed", "record", "glossary", "observed")]), F.col("x.kind") + 1)
     return best.select("video_id", "alias", "x.canonical", kinds.alias("kind"))
