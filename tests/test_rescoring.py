@@ -48,3 +48,15 @@ def test_requirements_follow_the_chosen_scene(spark):
     seg = spark.createDataFrame([(1, 0, 4, "Nam opens the old gate in Hanoi"), (1, 1, 9, "x")], "video_id long, seq int, scene_id int, narration string")
     sc = spark.createDataFrame([(1, 4, ["Nam", "Lan"], ["runs away", "opens the old gate in Hanoi", "opens the old gate in Hanoi!"], ["gate", "car"], "Hanoi")], "video_id long, scene_id int, characters array<string>, actions array<string>, objects array<string>, location string")
     assert [tuple(r) for r in R.refresh_requirements(seg, sc).collect()] == [(1, 0, ["Nam"], ["opens the old gate in Hanoi"], ["gate"], ["Hanoi"])]
+
+
+def test_long_narrations_are_split_once(spark):
+    import time
+
+    words = " ".join(f"wörd{i}" for i in range(20_000))
+    seg = spark.createDataFrame([(1, 0, 4, words)], "video_id long, seq int, scene_id int, narration string")
+    lines = [f"wörd{i} other{i}" for i in range(3_000)]
+    sc = spark.createDataFrame([(1, 4, [], [*lines, words[:90_000]], ["nothing"], "wörd1 none at all")], "video_id long, scene_id int, characters array<string>, actions array<string>, objects array<string>, location string")
+    start = time.monotonic()
+    assert [tuple(r) for r in R.refresh_requirements(seg, sc).collect()] == [(1, 0, [], [words[:90_000]], [], [])]
+    assert time.monotonic() - start < 20

@@ -43,7 +43,9 @@ def _marks() -> str:
 def fold(c: str | Column) -> Column:
     """Lower case without combining marks; letters that do not decompose stay."""
     source, target = _fold_map()
-    return F.translate(F.lower(_col(c)), source + _marks(), target)
+    low = F.lower(_col(c))
+    # Text of single bytes has nothing to translate, which would cost a look-up a character.
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, source + _marks(), target))
 
 
 @cache
@@ -116,13 +118,24 @@ def alignment_key(c: str | Column) -> Column:
 
 def tokens(c: str | Column) -> Column:
     """Distinct folded word tokens longer than one character."""
-    return F.array_distinct(F.regexp_extract_all(fold(c), F.lit("(?U)\\w{2,}"), F.lit(0)))
+    def found(low: Column) -> Column:
+        words = lambda rule: F.regexp_extract_all(low, F.lit(rule), F.lit(0))
+        # On text of single bytes both classes hold the same characters; the plain one is faster.
+        return F.array_distinct(F.when(F.octet_length(low) == F.length(low), words("\\w{2,}")).otherwise(words("(?U)\\w{2,}")))
+
+    return F.transform(F.array(fold(c)), found)[0]
+
+
+def shared_tokens(x: Column, y: Column) -> Column:
+    """Tokens of ``x`` that are in ``y``, over those of ``x``; 0 if either has none."""
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(x)).otherwise(F.lit(0.0))
 
 
 def token_overlap(a: str | Column, b: str | Column) -> Column:
     """Shared tokens over the tokens of the first text; 0 if either has none."""
-    x, y = tokens(a), tokens(b)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(x)).otherwise(F.lit(0.0))
+    # The array of one binds both token lists, so that they are found once.
+    both = F.array(F.struct(tokens(a).alias("x"), tokens(b).alias("y")))
+    return F.transform(both, lambda t: shared_tokens(t["x"], t["y"]))[0]
 
 
 def list_overlap(required: str | Column, visible: str | Column, default: float, least: float = 0.45) -> Column:

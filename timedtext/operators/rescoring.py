@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
+from .folding import bind
 from .reports import REPORT_WEIGHTS
 from .scorecards import HARD_CODES, SOFT_CODES, budget
 
@@ -155,18 +156,26 @@ def refresh_requirements(segments: DataFrame, scenes: DataFrame) -> DataFrame:
     Segments whose scene is missing are left out, as their requirements stay as they were.
     """
     d = segments.join(scenes.hint("merge"), ["video_id", "scene_id"])
-    said = F.lower("narration")
-    named = lambda x: F.contains(said, F.lower(x))
-    narration = F.col("narration")
-    # Negative positions, so that the greatest struct of equal shares is the first action.
-    ranked = F.transform("actions", lambda x, i: F.struct(T.token_overlap(narration, x).alias("share"), (-i).alias("i"), x.alias("action")))
-    best = F.array_max(F.filter(ranked, lambda x: (x["share"] >= 0.35) & (x["action"] != "")))
-    where = (F.col("location") != "") & (T.token_overlap("location", narration) >= 0.4)
-    return d.select(
-        "video_id",
-        "seq",
-        F.filter("characters", named).alias("characters"),
-        F.when(best.isNull(), F.array().cast("array<string>")).otherwise(F.array(best["action"])).alias("actions"),
-        F.filter("objects", lambda x: named(x) | (T.token_overlap(x, narration) >= 0.8)).alias("objects"),
-        F.when(where, F.array("location")).otherwise(F.array().cast("array<string>")).alias("locations"),
-    )
+
+    def asked(n: Column) -> Column:
+        """All fields for a narration ``n`` in lower case with its tokens, which are found once for all phrases."""
+        said, heard = n["said"], n["heard"]
+        named = lambda x: F.contains(said, F.lower(x))
+        # Shared tokens are no more than a phrase's: a phrase that is too short needs no comparison.
+        short = lambda t: F.size(t) / F.size(heard) < 0.35
+        share = lambda x: bind(T.tokens(x), lambda t: F.when((F.size(heard) == 0) | short(t), 0.0).otherwise(T.shared_tokens(heard, t)))
+        # Negative positions, so that the greatest struct of equal shares is the first action.
+        ranked = F.transform("actions", lambda x, i: F.struct(share(x).alias("share"), (-i).alias("i"), x.alias("action")))
+        best = F.array_max(F.filter(ranked, lambda x: (x["share"] >= 0.35) & (x["action"] != "")))
+        within = lambda x: bind(T.tokens(x), lambda t: T.shared_tokens(t, heard))
+        where = (F.col("location") != "") & (within(F.col("location")) >= 0.4)
+        none = F.array().cast("array<string>")
+        return F.struct(
+            F.filter("characters", named).alias("characters"),
+            bind(best, lambda b: F.when(b.isNull(), none).otherwise(F.array(b["action"]))).alias("actions"),
+            F.filter("objects", lambda x: named(x) | (within(x) >= 0.8)).alias("objects"),
+            F.when(where, F.array("location")).otherwise(none).alias("locations"),
+        )
+
+    narration = F.struct(F.lower("narration").alias("said"), T.tokens("narration").alias("heard"))
+    return d.select("video_id", "seq", F.explode(F.array(bind(narration, asked))).alias("x")).select("video_id", "seq", "x.*")
