@@ -78,8 +78,8 @@ def repeats_previous(segments: DataFrame, least: float = 0.45) -> DataFrame:
 
     ``scene_ids`` and ``actions`` are arrays. Actions are compared in lower case and without doubled blanks.
     """
-    d = segments.withColumn("__p", F.lag(F.struct("event_no", "narration", "scene_ids", "actions")).over(_w("seq"))).where("__p is not null")
-    share = T.token_overlap("narration", F.col("__p.narration"))
+    d = segments.withColumn("__t", T.tokens("narration")).withColumn("__p", F.lag(F.struct("event_no", "__t", "scene_ids", "actions")).over(_w("seq"))).where("__p is not null")
+    share = T.shared_tokens(F.col("__t"), F.col("__p.__t"))
     only = lambda c: F.when(F.size(c) == 1, F.get(c, F.lit(0)))
     action = lambda c: F.nullif(F.btrim(F.regexp_replace(F.lower(only(F.col(c))), r"\s+", " ")), F.lit(""))
     same = (F.col("event_no") == F.col("__p.event_no")) & (only(F.col("scene_ids")) == only(F.col("__p.scene_ids"))) & (action("actions") == action("__p.actions"))

@@ -116,8 +116,9 @@ def alignment_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def token_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Overlap of each sentence with the one after it."""
-    s = _sentences(spark, d).withColumn("after", F.lead("text").over(C._w("cue_no"))).where("after is not null")
-    return s.select("video_id", "cue_no", micro(T.token_overlap("text", "after")).alias("overlap_micro"))
+    s = _sentences(spark, d).select("video_id", "cue_no", T.tokens("text").alias("own"))
+    s = s.withColumn("after", F.lead("own").over(C._w("cue_no"))).where("after is not null")
+    return s.select("video_id", "cue_no", micro(T.shared_tokens(F.col("own"), F.col("after"))).alias("overlap_micro"))
 
 
 _FUNCTIONS = (clamp_cues, scale_time, normalize_cues, speech_slots, cue_health, drop_repeats, group_cues, merge_cues, pack_batches, pack_words, with_context, sliding_windows, sample_evenly, consolidate, transcript, text_predicates, voice_estimate, alignment_keys, token_overlap)
