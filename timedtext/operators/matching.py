@@ -163,10 +163,11 @@ def fuzzy_match(names: DataFrame, canon: DataFrame, least: float = 0.88, lead: f
 
 def term_weights(texts: DataFrame, stop: list[str] | None = None) -> DataFrame:
     """``(video_id, item_no, term, weight)``: tokens count 1, adjacent pairs 1.35."""
-    t = texts.select("video_id", "item_no", F.posexplode(T.terms("text", stop)).alias("i", "t"))
-    t = t.withColumn("n", F.lead("t").over(Window.partitionBy("video_id", "item_no").orderBy("i")))
+    t = texts.select("video_id", "item_no", T.terms("text", stop).alias("t"))
+    t = t.select("video_id", "item_no", F.explode(F.arrays_zip("t", F.slice("t", 2, 1 << 30).alias("n"))).alias("x")).select("video_id", "item_no", "x.t", "x.n")
+    one = F.struct(F.col("t").alias("term"), F.lit(1.0).alias("w"))
     pair = F.struct(F.concat_ws("_", "t", "n").alias("term"), F.lit(1.35).alias("w"))
-    d = t.select("video_id", "item_no", F.explode(F.when(F.col("n").isNull(), F.array(F.struct(F.col("t").alias("term"), F.lit(1.0).alias("w")))).otherwise(F.array(F.struct(F.col("t").alias("term"), F.lit(1.0).alias("w")), pair))).alias("x"))
+    d = t.select("video_id", "item_no", F.explode(F.when(F.col("n").isNull(), F.array(one)).otherwise(F.array(one, pair))).alias("x"))
     return d.groupBy("video_id", "item_no", "x.term").agg(F.sum("x.w").alias("weight"))
 
 
