@@ -34,3 +34,16 @@ def test_joins_have_no_nested_loops(spark, capsys):
         QUERIES[name](spark, DATA).explain()
         plan = capsys.readouterr().out
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+@pytest.mark.parametrize("name", ["token_overlap", "repeats_previous"])
+def test_tokens_are_found_once_before_the_window(spark, capsys, name):
+    QUERIES[name](spark, DATA).explain()
+    above = capsys.readouterr().out.split("Window")[0]
+    assert "regexp_extract_all" not in above
+
+
+@pytest.mark.parametrize("name,step", [("term_weights", "Window"), ("group_cues", "Join"), ("merge_cues", "Join")])
+def test_plans_without_the_costly_step(spark, capsys, name, step):
+    QUERIES[name](spark, DATA).explain()
+    assert step not in capsys.readouterr().out

@@ -119,10 +119,10 @@ def drop_repeats(cues: DataFrame) -> DataFrame:
     return cues.join(kept.hint("merge"), ["video_id", "cue_no"], "left_semi")
 
 
-def _grouped(cues: DataFrame, numbered: DataFrame) -> DataFrame:
-    d = cues.join(numbered.select("video_id", "cue_no", "group_no").hint("merge"), ["video_id", "cue_no"])
-    rows = F.array_sort(F.collect_list(F.struct("start_ms", "cue_no", "end_ms", F.trim("text").alias("t"))))
-    g = d.groupBy("video_id", "group_no").agg(rows.alias("r"))
+def _grouped(numbered: DataFrame) -> DataFrame:
+    """The fold carries the trimmed texts ``t``, so that nothing is joined back."""
+    rows = F.array_sort(F.collect_list(F.struct("start_ms", "cue_no", "end_ms", "t")))
+    g = numbered.groupBy("video_id", "group_no").agg(rows.alias("r"))
     text = F.array_join(F.transform("r", lambda x: x["t"]), " ")
     return g.select("video_id", "group_no", F.get("r", F.lit(0))["start_ms"].alias("start_ms"), F.element_at("r", -1)["end_ms"].alias("end_ms"), text.alias("text"), F.size("r").alias("n_cues"))
 
@@ -131,7 +131,7 @@ def group_cues(cues: DataFrame, max_chars: int = 90, max_ms: int = 6000, max_gap
     """Cues joined to sentences: cut before a row that makes the group too long in characters or time, or after a gap behind a
     complete sentence; and after a complete sentence that is at least half as long as allowed or follows a gap."""
     rows = normalize_cues(cues).where(F.trim("text") != "")
-    rows = rows.withColumn("n", F.length(F.trim("text"))).withColumn("done", T.ends_sentence("text") & ~T.is_incomplete("text"))
+    rows = rows.withColumn("t", F.trim("text")).withColumn("n", F.length("t")).withColumn("done", T.ends_sentence("text") & ~T.is_incomplete("text"))
     zero = F.struct(F.lit(0).alias("g"), F.lit(True).alias("closed"), F.lit(0).alias("chars"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"), F.lit(False).alias("done"))
 
     def step(s: Column, r: Column) -> Column:
@@ -142,12 +142,12 @@ def group_cues(cues: DataFrame, max_chars: int = 90, max_ms: int = 6000, max_gap
         close = r["done"] & (s["closed"] | (chars >= max_chars * 0.5) | (gap > max_gap_ms))
         return F.struct((s["g"] + cut.cast("int")).alias("g"), close.alias("closed"), chars.cast("int").alias("chars"), F.when(cut, r["start_ms"]).otherwise(s["first"]).alias("first"), r["end_ms"].alias("last"), r["done"].alias("done"))
 
-    return _grouped(rows, fold_groups(rows, ["start_ms", "cue_no"], ["end_ms", "n", "done"], zero, step))
+    return _grouped(fold_groups(rows, ["start_ms", "cue_no"], ["end_ms", "n", "done", "t"], zero, step))
 
 
 def merge_cues(cues: DataFrame, max_gap_ms: int = 300, max_chars: int = 120, max_ms: int = 8000) -> DataFrame:
     """Cues merged for speech while the gap, length and span are small and the text so far does not end a sentence."""
-    rows = cues.withColumn("n", F.length(F.trim("text"))).withColumn("ends", T.ends_sentence("text"))
+    rows = cues.withColumn("t", F.trim("text")).withColumn("n", F.length("t")).withColumn("ends", T.ends_sentence("text"))
     zero = F.struct(F.lit(0).alias("g"), F.lit(0).alias("chars"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"), F.lit(True).alias("ends"))
 
     def step(s: Column, r: Column) -> Column:
@@ -155,7 +155,7 @@ def merge_cues(cues: DataFrame, max_gap_ms: int = 300, max_chars: int = 120, max
         join = (s["g"] > 0) & (r["start_ms"] - s["last"] <= max_gap_ms) & (merged <= max_chars) & (r["end_ms"] - s["first"] <= max_ms) & ~s["ends"]
         return F.struct((s["g"] + (~join).cast("int")).alias("g"), F.when(join, merged).otherwise(r["n"]).cast("int").alias("chars"), F.when(join, s["first"]).otherwise(r["start_ms"]).alias("first"), r["end_ms"].alias("last"), r["ends"].alias("ends"))
 
-    return _grouped(rows, fold_groups(rows, ["start_ms", "cue_no"], ["end_ms", "n", "ends"], zero, step))
+    return _grouped(fold_groups(rows, ["start_ms", "cue_no"], ["end_ms", "n", "ends", "t"], zero, step))
 
 
 def pack_batches(items: DataFrame, size: str, max_items: int = 20, max_chars: int = 4600, overhead: int = 60) -> DataFrame:
