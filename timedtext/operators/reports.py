@@ -126,16 +126,21 @@ def black_segments(frames: DataFrame) -> DataFrame:
 
 def sample_blocks(rows: DataFrame, most: int = 240, blocks: int = 12) -> DataFrame:
     """Rows of ``blocks`` centred blocks over each video, at most ``most``: ``(video_id, cue_no)``; all if there are no more."""
-    w = Window.partitionBy("video_id").orderBy("cue_no")
-    d = rows.select("video_id", "cue_no").withColumn("i", F.row_number().over(w) - 1).withColumn("k", F.count("*").over(Window.partitionBy("video_id")))
     per = max(4, most // blocks)
-    inside = F.lit(False)
-    for b in range(blocks):
-        centre = F.bround(F.lit(b) * (F.col("k") - 1) / F.lit(max(blocks - 1, 1)), 0)
+    # The blocks are placed once a video, on its sorted numbers: rounding doubles for each row would take nearly all of the time.
+    d = rows.groupBy("video_id").agg(F.count("*").cast("int").alias("k"), F.array_sort(F.collect_list("cue_no")).alias("no"))
+    null = F.lit(None).cast(rows.schema["cue_no"].dataType)
+    d = d.withColumn("no", F.concat(F.array_repeat(null, F.col("k") - F.size("no")), "no"))
+    last = F.col("k") - 1
+
+    def block(b: int) -> Column:
+        centre = F.bround(F.lit(b) * last / F.lit(max(blocks - 1, 1)), 0).cast("int")
         start = F.greatest(F.lit(0), F.least(F.col("k") - per, centre - per // 2))
-        inside = inside | ((F.col("i") >= start) & (F.col("i") < start + per))
-    d = d.where((F.col("k") <= most) | inside).withColumn("j", F.row_number().over(w))
-    return d.where(F.col("j") <= most).select("video_id", "cue_no")
+        return F.sequence(start, F.least(last, start + per - 1))
+
+    inside = F.array_sort(F.array_distinct(F.flatten(F.array(*[block(b) for b in range(blocks)]))))
+    at = F.slice(F.when(F.col("k") <= most, F.sequence(F.lit(0), last)).otherwise(inside), 1, most)
+    return d.withColumn("at", at).select("video_id", F.explode(F.transform("at", lambda i: F.get("no", i))).alias("cue_no"))
 
 
 def verified_window(start: str, end: str, at: str) -> tuple[Column, Column]:
