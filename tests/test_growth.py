@@ -1,5 +1,6 @@
 """Plans and odd cases of the queries whose cost grew faster than their input."""
 
+from timedtext.operators import cues as C
 from timedtext.operators import reports as P
 from timedtext.plans import QUERIES
 
@@ -19,3 +20,15 @@ def test_blocks_of_numbers_that_are_null_or_come_twice(spark):
     rows = [(1, None), (1, 7), (1, 7), *[(2, i) for i in range(100, 0, -1)], (None, 5), (None, None)]
     got = [tuple(r) for r in P.sample_blocks(spark.createDataFrame(rows, "video_id long, cue_no int"), 6, 2).collect()]
     assert sorted(got, key=repr) == sorted([(1, None), (1, 7), (1, 7), (None, 5), (None, None), *[(2, i) for i in (1, 2, 3, 4, 97, 98)]], key=repr)
+
+
+def test_words_are_packed_where_they_are_read(spark, capsys):
+    shown = plan(capsys, QUERIES["pack_words"](spark, DATA))
+    assert "Exchange" not in shown and "Aggregate" not in shown
+
+
+def test_packed_words_of_odd_texts(spark):
+    texts = [(1, "aa bb\t\ncc"), (2, " abcdefgh  a b \u2028 "), (3, ""), (4, None), (5, "\U0001f600\U0001f600 \U0001f600\U0001f600 x"), (6, " \n "), (7, "w" * 200_000), (8, "abcde\x85 a")]
+    got = C.pack_words(spark.createDataFrame(texts, "video_id long, text string"), 5).collect()
+    want = [(1, 1, "aa bb"), (1, 2, "cc"), (2, 1, "abcdefgh"), (2, 2, "a b \u2028"), (5, 1, "\U0001f600\U0001f600 \U0001f600\U0001f600"), (5, 2, "x"), (7, 1, "w" * 200_000), (8, 1, "abcde\x85"), (8, 2, "a")]
+    assert sorted(tuple(r) for r in got) == want

@@ -171,18 +171,14 @@ def pack_batches(items: DataFrame, size: str, max_items: int = 20, max_chars: in
 
 
 def pack_words(texts: DataFrame, max_chars: int) -> DataFrame:
-    """``(video_id, chunk_no, chunk)``: words packed into chunks of at most ``max_chars`` characters with single blanks."""
-    words = texts.select("video_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", "\\s+", " ")), " ")).alias("item_no", "word")).where("word <> ''")
-    rows = words.withColumn("n", F.length("word"))
-    zero = F.struct(F.lit(0).alias("g"), F.lit(0).alias("used"))
+    """``(video_id, chunk_no, chunk)``: words packed into chunks of at most ``max_chars`` characters with single blanks.
 
-    def step(s: Column, r: Column) -> Column:
-        cut = (s["g"] == 0) | (s["used"] + 1 + r["n"] > max_chars)
-        return F.struct((s["g"] + cut.cast("int")).alias("g"), F.when(cut, r["n"]).otherwise(s["used"] + 1 + r["n"]).cast("int").alias("used"))
-
-    numbered = fold_groups(rows, ["item_no"], ["word", "n"], zero, step, "chunk_no")
-    row = F.array_sort(F.collect_list(F.struct("item_no", "word")))
-    return numbered.groupBy("video_id", "chunk_no").agg(F.array_join(F.transform(row, lambda x: x["word"]), " ").alias("chunk"))
+    A longer word is a chunk of its own. One row a video. The longest run of whole words that fits is what a greedy pattern takes first,
+    so that a text is packed where it is read.
+    """
+    plain = F.trim(F.regexp_replace("text", "\\s+", " "))
+    chunks = F.regexp_extract_all(plain, F.lit(f"(?s)(.{{1,{max_chars}}}|[^ ]+)(?: |\\z)"), F.lit(1))
+    return texts.select("video_id", F.posexplode(chunks).alias("i", "chunk")).select("video_id", (F.col("i") + 1).alias("chunk_no"), "chunk")
 
 
 def with_context(cues: DataFrame, batch: int = 20, before: int = 8, after: int = 4) -> DataFrame:
