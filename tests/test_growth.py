@@ -1,6 +1,7 @@
 """Plans and odd cases of the queries whose cost grew faster than their input."""
 
 from timedtext.operators import cues as C
+from timedtext.operators import matching as M
 from timedtext.operators import reports as P
 from timedtext.plans import QUERIES
 
@@ -32,3 +33,15 @@ def test_packed_words_of_odd_texts(spark):
     got = C.pack_words(spark.createDataFrame(texts, "video_id long, text string"), 5).collect()
     want = [(1, 1, "aa bb"), (1, 2, "cc"), (2, 1, "abcdefgh"), (2, 2, "a b \u2028"), (5, 1, "\U0001f600\U0001f600 \U0001f600\U0001f600"), (5, 2, "x"), (7, 1, "w" * 200_000), (8, 1, "abcde\x85"), (8, 2, "a")]
     assert sorted(tuple(r) for r in got) == want
+
+
+def test_terms_are_counted_where_they_are_read(spark, capsys):
+    shown = plan(capsys, QUERIES["term_weights"](spark, DATA))
+    assert "Exchange" not in shown and "Aggregate" not in shown
+
+
+def test_weights_of_odd_texts(spark):
+    texts = [(1, 0, "aa bb aa bb x aa"), (1, 1, ""), (1, 2, None), (1, 3, "aa"), (None, None, "Aa, AA")]
+    got = M.term_weights(spark.createDataFrame(texts, "video_id long, item_no long, text string")).collect()
+    want = {(1, 0, "aa"): 3, (1, 0, "bb"): 2, (1, 0, "aa_bb"): 2.7, (1, 0, "bb_aa"): 2.7, (1, 3, "aa"): 1, (None, None, "aa"): 2, (None, None, "aa_aa"): 1.35}
+    assert {(r[0], r[1], r[2]): round(r[3], 9) for r in got} == want and len(got) == len(want)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .folding import bind
 
 
 def align_by_chars(texts: DataFrame, words: DataFrame) -> DataFrame:
@@ -161,14 +162,23 @@ def fuzzy_match(names: DataFrame, canon: DataFrame, least: float = 0.88, lead: f
     return d.where((F.col("i") == 1) & (F.col("ratio") >= least) & (F.col("ratio") - F.col("second") >= lead)).select("video_id", "name", "canonical", "ratio")
 
 
+def _counted(values: Column, weight: float) -> Column:
+    """Distinct values of an array with ``weight`` for each time they come, found by runs of the sorted array."""
+    def runs(v: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
+        return bind(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(v, i).alias("term"), ((F.coalesce(F.get(at, k + 1), F.size(v)) - i) * F.lit(weight)).alias("weight"))))
+
+    return F.when(F.size(values) > 0, bind(F.array_sort(values), runs))
+
+
 def term_weights(texts: DataFrame, stop: list[str] | None = None) -> DataFrame:
-    """``(video_id, item_no, term, weight)``: tokens count 1, adjacent pairs 1.35."""
+    """``(video_id, item_no, term, weight)``: tokens count 1, adjacent pairs 1.35. One row of ``texts`` an item, so that its terms are counted
+    where it is read: no row is shuffled, and a task holds the terms of one text."""
     t = texts.select("video_id", "item_no", T.terms("text", stop).alias("t"))
-    t = t.select("video_id", "item_no", F.explode(F.arrays_zip("t", F.slice("t", 2, 1 << 30).alias("n"))).alias("x")).select("video_id", "item_no", "x.t", "x.n")
-    one = F.struct(F.col("t").alias("term"), F.lit(1.0).alias("w"))
-    pair = F.struct(F.concat_ws("_", "t", "n").alias("term"), F.lit(1.35).alias("w"))
-    d = t.select("video_id", "item_no", F.explode(F.when(F.col("n").isNull(), F.array(one)).otherwise(F.array(one, pair))).alias("x"))
-    return d.groupBy("video_id", "item_no", "x.term").agg(F.sum("x.w").alias("weight"))
+    pairs = F.zip_with(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 2, 1 << 30), lambda x, y: F.concat_ws("_", x, y))
+    none = F.array().cast("array<struct<term: string, weight: double>>")
+    both = F.concat(*[F.coalesce(x, none) for x in (_counted(F.col("t"), 1.0), _counted(pairs, 1.35))])
+    return t.select("video_id", "item_no", F.inline(both))
 
 
 def cosine_join(a: DataFrame, b: DataFrame) -> DataFrame:
