@@ -3,6 +3,7 @@
 from timedtext.operators import cues as C
 from timedtext.operators import matching as M
 from timedtext.operators import reports as P
+from timedtext.operators import scorecards as K
 from timedtext.plans import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -45,3 +46,14 @@ def test_weights_of_odd_texts(spark):
     got = M.term_weights(spark.createDataFrame(texts, "video_id long, item_no long, text string")).collect()
     want = {(1, 0, "aa"): 3, (1, 0, "bb"): 2, (1, 0, "aa_bb"): 2.7, (1, 0, "bb_aa"): 2.7, (1, 3, "aa"): 1, (None, None, "aa"): 2, (None, None, "aa_aa"): 1.35}
     assert {(r[0], r[1], r[2]): round(r[3], 9) for r in got} == want and len(got) == len(want)
+
+
+def test_ids_are_counted_without_a_join(spark, capsys):
+    shown = plan(capsys, QUERIES["reconcile_ids"](spark, DATA))
+    assert "Join" not in shown and "Sort" not in shown
+
+
+def test_ids_that_are_null(spark):
+    ids = lambda *x: spark.createDataFrame(list(x), "video_id long, item_id long")
+    got = K.reconcile_ids(ids((1, None), (1, 2), (1, 3), (None, 4)), ids((1, None), (1, None), (1, 2), (1, 2), (1, 9), (None, 4))).collect()
+    assert {tuple(r) for r in got} == {(1, 2, 2, 2, True), (None, 1, 1, 0, False)}
