@@ -4,6 +4,7 @@ from timedtext.operators import cues as C
 from timedtext.operators import matching as M
 from timedtext.operators import reports as P
 from timedtext.operators import scorecards as K
+from timedtext.operators import texts as X
 from timedtext.plans import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -57,3 +58,17 @@ def test_ids_that_are_null(spark):
     ids = lambda *x: spark.createDataFrame(list(x), "video_id long, item_id long")
     got = K.reconcile_ids(ids((1, None), (1, 2), (1, 3), (None, 4)), ids((1, None), (1, None), (1, 2), (1, 2), (1, 9), (None, 4))).collect()
     assert {tuple(r) for r in got} == {(1, 2, 2, 2, True), (None, 1, 1, 0, False)}
+
+
+def test_rows_of_one_video_are_dealt_over_tasks(spark):
+    rows = spark.range(4000).selectExpr("1L video_id", "id", "concat('the ', id) text", "map('k', 'the') m")
+    aliases = spark.createDataFrame([(1, "the", "Theo", 0)], "video_id long, alias string, canonical string, priority int")
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for f in (X.replace_names, X.replace_names_nested):
+            out = f(rows, aliases)
+            assert out.columns == rows.columns and out.where("text = concat('Theo ', id)").count() == 4000
+            assert max(len(p) for p in out.select("id").rdd.glom().collect()) < 2000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)

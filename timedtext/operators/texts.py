@@ -27,6 +27,9 @@ def apply_rules(c: str | Column, rules: list[tuple[str, str]], only_cjk: bool =
         out = F.regexp_replace(out, pattern, replacement)
     return F.when(T.has_cjk(col), out).otherwise(col) if only_cjk else out
 
+#: Keys over which the rows of one video are dealt.
+_DEALT = 32
+
 
 def mask_terms(c: str | Column, terms: list[str]) -> Column:
     """Whole-word terms replaced by placeholders ``[[k]]``, longest first, so that a translator leaves them alone.
@@ -82,13 +85,28 @@ def _name_maps(aliases: DataFrame) -> DataFrame:
     return pick.groupBy("video_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("alias", "canonical")))).alias("__m"))
 
 
+def _hashed(t: Y.DataType) -> bool:
+    """Whether Spark hashes values of the type."""
+    if isinstance(t, Y.StructType):
+        return all(_hashed(f.dataType) for f in t)
+    return _hashed(t.elementType) if isinstance(t, Y.ArrayType) else not isinstance(t, (Y.MapType, Y.VariantType))
+
+
+def _with_maps(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``rows`` with the map ``__m`` of their video. A video's rows are dealt over ``_DEALT`` keys, each with a copy of the small map, so
+    that the texts of a few large videos do not come to as few tasks."""
+    maps = _name_maps(aliases).withColumn("__deal", F.explode(F.expr(f"sequence(0L, {_DEALT - 1}L)")))
+    deal = F.pmod(F.xxhash64(*[f.name for f in rows.schema if _hashed(f.dataType)]), F.lit(_DEALT).cast("long"))
+    return rows.withColumn("__deal", deal).join(maps.hint("merge"), ["video_id", "__deal"], "left").drop("__deal")
+
+
 def replace_names(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """Texts with every whole alias replaced by its canonical name in one pass, longest first.
 
     ``aliases(video_id, alias, canonical, priority)`` becomes one map per video; the replacement itself is an Arrow-batched
     function, since no built-in replaces by a map.
     """
-    return texts.join(_name_maps(aliases).hint("merge"), "video_id", "left").withColumn("text", _replace("text", "__m")).drop("__m")
+    return _with_maps(texts, aliases).withColumn("text", _replace("text", "__m")).drop("__m")
 
 
 def _holds_text(t: Y.DataType) -> bool:
@@ -139,7 +157,7 @@ def replace_names_nested(rows: DataFrame, aliases: DataFrame) -> DataFrame:
                 out.append(c)
             yield pa.RecordBatch.from_arrays(out, columns)
 
-    return rows.join(_name_maps(aliases).hint("merge"), "video_id", "left").select(*columns, "__m").mapInArrow(run, rows.schema)
+    return _with_maps(rows, aliases).select(*columns, "__m").mapInArrow(run, rows.schema)
 
 
 def caption_offsets(cues: DataFrame, decisions: DataFrame, matches: DataFrame) -> DataFrame:
