@@ -72,3 +72,19 @@ def test_rows_of_one_video_are_dealt_over_tasks(spark):
             assert max(len(p) for p in out.select("id").rdd.glom().collect()) < 2000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
+def test_context_of_batches(spark, capsys):
+    rows = [(v, i, None if i == 4 else f"t{i}") for v, k in ((1, 11), (2, 3), (None, 4)) for i in range(k)]
+    cues = spark.createDataFrame(rows, "video_id long, cue_no long, text string")
+    for batch, before, after in ((3, 2, 1), (3, 8, 5), (20, 8, 4), (4, 0, 0)):
+        got = {(r.video_id, r.batch_no): (r.n_items, r.prev, r.nxt) for r in C.with_context(cues, batch, before, after).collect()}
+        want = {}
+        for v in (1, 2, None):
+            t = [x for w, _, x in rows if w == v]
+            for b in range(-(-len(t) // batch)):
+                lo, hi = b * batch, min(len(t), (b + 1) * batch)
+                want[v, b] = hi - lo, [x for x in t[max(0, lo - before) : lo] if x], [x for x in t[hi : hi + after] if x]
+        assert got == want
+    shown = plan(capsys, C.with_context(cues))
+    assert shown.count("collect_list") and shown.split("Window")[0].count("Aggregate") and "collect_list" not in "".join(shown.split("Window")[1:])

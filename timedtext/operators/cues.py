@@ -183,11 +183,16 @@ def pack_words(texts: DataFrame, max_chars: int) -> DataFrame:
 
 def with_context(cues: DataFrame, batch: int = 20, before: int = 8, after: int = 4) -> DataFrame:
     """One row per batch of ``batch`` cues with the texts of the rows around it."""
-    n = F.row_number().over(_w("cue_no")) - 1
-    prev = F.collect_list("text").over(_w("cue_no").rowsBetween(-before, -1))
-    nxt = F.collect_list("text").over(_w("cue_no").rowsBetween(1, after))
-    d = cues.withColumn("__n", n).withColumn("prev", prev).withColumn("nxt", nxt).withColumn("batch_no", F.floor(F.col("__n") / batch))
-    return d.groupBy("video_id", "batch_no").agg(F.count("*").alias("n_items"), F.min_by("prev", "__n").alias("prev"), F.max_by("nxt", "__n").alias("nxt"))
+    n, own = F.col("__n"), F.floor(F.col("__n") / batch)
+    to = lambda first, last, part: F.coalesce(F.when(first <= last, F.transform(F.sequence(first, last), lambda c: F.struct(c.alias("batch_no"), F.lit(part).alias("part")))), none)
+    none = F.array().cast("array<struct<batch_no: bigint, part: int>>")
+    # A text goes to the few batches that it precedes or follows, instead of twelve texts to each row.
+    parts = F.concat(to(own, own, 0), to(own + 1, F.floor((n + before) / batch), -1), to(F.greatest(F.lit(0), F.floor((n - after) / batch)), own - 1, 1))
+    d = cues.select("video_id", "text", (F.row_number().over(_w("cue_no")) - 1).alias("__n")).select("video_id", "text", "__n", F.inline(parts))
+    texts = lambda part: F.collect_list(F.when((F.col("part") == part) & F.col("text").isNotNull(), F.struct("__n", "text")))
+    d = d.withColumn("text", F.when(F.col("part") != 0, F.col("text"))).groupBy("video_id", "batch_no").agg(F.sum((F.col("part") == 0).cast("long")).alias("n_items"), texts(-1).alias("prev"), texts(1).alias("nxt"))
+    in_order = lambda c: F.transform(F.array_sort(c), lambda x: x["text"]).alias(c)
+    return d.where("n_items > 0").select("video_id", "batch_no", "n_items", in_order("prev"), in_order("nxt"))
 
 
 def sliding_windows(cues: DataFrame, most: int = 8, max_ms: int = 42_000, min_ms: int = 5_000) -> DataFrame:
