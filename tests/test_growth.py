@@ -1,5 +1,7 @@
 """Plans and odd cases of the queries whose cost grew faster than their input."""
 
+import pytest
+
 from timedtext.operators import cues as C
 from timedtext.operators import matching as M
 from timedtext.operators import reports as P
@@ -88,3 +90,9 @@ def test_context_of_batches(spark, capsys):
         assert got == want
     shown = plan(capsys, C.with_context(cues))
     assert shown.count("collect_list") and shown.split("Window")[0].count("Aggregate") and "collect_list" not in "".join(shown.split("Window")[1:])
+
+
+@pytest.mark.parametrize("name", ["time_segments", "time_captions"])
+def test_words_bring_their_times(spark, capsys, name):
+    # It was seven with a join back to the words.
+    assert plan(capsys, QUERIES[name](spark, DATA)).count("SortMergeJoin") <= 6

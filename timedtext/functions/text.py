@@ -113,7 +113,9 @@ def is_incomplete(c: str | Column) -> Column:
 
 def alignment_key(c: str | Column) -> Column:
     """Letters and digits only, case-folded: a sharp s is ss, a final sigma a sigma, ligatures are letters. Texts are taken as NFC."""
-    return F.regexp_replace(_changed(F.lower(_col(c)), "casefold"), "[^\\p{L}\\p{N}]", "")
+    low = F.lower(_col(c))
+    # Text of single bytes in lower case has nothing to fold, which would cost a look-up a character.
+    return F.when(F.octet_length(low) == F.length(low), F.regexp_replace(low, "[^a-z0-9]+", "")).otherwise(F.regexp_replace(_changed(low, "casefold"), "[^\\p{L}\\p{N}]", ""))
 
 
 def tokens(c: str | Column) -> Column:

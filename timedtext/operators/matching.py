@@ -19,25 +19,29 @@ def align_by_chars(texts: DataFrame, words: DataFrame) -> DataFrame:
     cumulative letter counts. A video counts only if the letters of both sides are equal and every text has letters. The
     join is by the blocks of 64 letters that both touch.
     """
+    return _aligned(texts, words).select("video_id", "text_no", "word_no")
+
+
+def _aligned(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """The pairs of ``align_by_chars`` with the times of the words, which come along instead of by a join of their own."""
     t = texts.withColumn("key", T.alignment_key("text")).where("trim(text) <> ''")
     w = words.withColumn("key", T.alignment_key("word")).where("key <> '' and end_ms > start_ms")
     full = lambda d, no: d.groupBy("video_id").agg(F.min(F.length("key")).alias("least"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(no, "key"))), lambda x: x["key"]), ""), 256).alias("all"))
     same = full(t, "text_no").where("least > 0").join(full(w, "word_no").select("video_id", F.col("all").alias("other")).hint("merge"), "video_id").where("all = other").select("video_id")
 
-    def placed(d: DataFrame, no: str, name: str) -> DataFrame:
+    def placed(d: DataFrame, no: str, name: str, *more: str) -> DataFrame:
         to = F.sum(F.length("key")).over(Window.partitionBy("video_id").orderBy(no).rowsBetween(Window.unboundedPreceding, 0))
         d = d.join(same.hint("merge"), "video_id", "left_semi").withColumn("to", to).withColumn("from", F.col("to") - F.length("key"))
         blocks = F.explode(F.sequence(F.floor(F.col("from") / 64), F.floor((F.col("to") - 1) / 64)))
-        return d.select("video_id", no, blocks.alias("block"), F.col("from").alias(f"{name}_from"), F.col("to").alias(f"{name}_to"))
+        return d.select("video_id", no, *more, blocks.alias("block"), F.col("from").alias(f"{name}_from"), F.col("to").alias(f"{name}_to"))
 
-    j = placed(t, "text_no", "t").join(placed(w, "word_no", "w").hint("merge"), ["video_id", "block"])
+    j = placed(t, "text_no", "t").join(placed(w, "word_no", "w", "start_ms", "end_ms").hint("merge"), ["video_id", "block"])
     first = F.col("block") == F.floor(F.greatest("t_from", "w_from") / 64)
-    return j.where((F.col("w_to") > F.col("t_from")) & (F.col("w_from") < F.col("t_to")) & first).select("video_id", "text_no", "word_no")
+    return j.where((F.col("w_to") > F.col("t_from")) & (F.col("w_from") < F.col("t_to")) & first).select("video_id", "text_no", "word_no", "start_ms", "end_ms")
 
 
 def _word_spans(texts: DataFrame, words: DataFrame) -> DataFrame:
-    at = align_by_chars(texts, words).join(words.select("video_id", "word_no", "start_ms", "end_ms").hint("merge"), ["video_id", "word_no"])
-    return at.groupBy("video_id", "text_no").agg(F.min_by("start_ms", "word_no").alias("w0"), F.max_by("end_ms", "word_no").alias("w1"))
+    return _aligned(texts, words).groupBy("video_id", "text_no").agg(F.min_by("start_ms", "word_no").alias("w0"), F.max_by("end_ms", "word_no").alias("w1"))
 
 
 def time_captions(texts: DataFrame, words: DataFrame, durations: DataFrame) -> DataFrame:
