@@ -1,13 +1,19 @@
 """Plans and odd cases of the queries whose cost grew faster than their input."""
 
+import random
+import re
+
+import duckdb
 import pytest
 
+from tests.oracle import _plain, rows_of_query
+from timedtext.operators import alignment as A
 from timedtext.operators import cues as C
 from timedtext.operators import matching as M
 from timedtext.operators import reports as P
 from timedtext.operators import scorecards as K
 from timedtext.operators import texts as X
-from timedtext.plans import QUERIES
+from timedtext.plans import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
@@ -96,3 +102,25 @@ def test_context_of_batches(spark, capsys):
 def test_words_bring_their_times(spark, capsys, name):
     # It was seven with a join back to the words.
     assert plan(capsys, QUERIES[name](spark, DATA)).count("SortMergeJoin") <= 6
+
+
+def test_pairs_of_beats_and_windows_are_not_shuffled(spark, capsys):
+    shown = plan(capsys, QUERIES["align_beats"](spark, DATA))
+    assert not re.search(r"Exchange hashpartitioning\([^)]*start_no", shown) and not re.search(r"Exchange hashpartitioning\([^)]*term", shown)
+
+
+def test_beats_of_a_film_of_several_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(A, "_BEATS", 16)
+    monkeypatch.setattr(A, "_SLAB", 64)
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(40)] + ["a", "É", "naïve", "-"]
+    text = lambda i: {5: None, 9: "", 30: " ", 31: "x . y"}.get(i, " ".join(rnd.choices(words, k=rnd.randint(1, 14))))
+    rows = [(0, i, "user", text(i)) for i in range(70)] + [(8 + k, i, "user", text(i)) for k in range(3) for i in range(4)] + [(16, 0, "user", "w1 w2")]
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(path)
+    cols, got = rows_of_query(QUERIES["align_beats"](spark, str(tmp_path)))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+    rel = con.sql(ORACLE_SQL["align_beats"])
+    want = sorted((tuple(_plain(r[rel.columns.index(c)]) for c in cols) for r in rel.fetchall()), key=repr)
+    assert got == want and len(got) == len(rows)

@@ -6,8 +6,14 @@ could leave as the best; a fold over these short lists then takes them one after
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.times import time_proximity
@@ -17,31 +23,81 @@ from .folding import bind, fold
 #: Weights of single terms and of adjacent pairs, 1 and 1.35, in whole numbers: products and sums are exact.
 _ONE, _PAIR = 20, 27
 _FAR = float("inf")
+#: Beats of a film that one task holds against its windows, and windows that it scores at once.
+_BEATS, _SLAB = 256, 1024
 
 
-def transcript_windows(cues: DataFrame, most: int = 8, max_ms: int = 42_000, min_ms: int = 5_000) -> DataFrame:
+def transcript_windows(cues: DataFrame, most: int = 8, max_ms: int = 42_000, min_ms: int = 5_000, by: tuple[str, ...] = ("video_id",)) -> DataFrame:
     """``(video_id, start_no, end_no, start_ms, end_ms, text)``: runs of up to ``most`` cues with text from each such cue.
 
     A run takes cues that start within ``max_ms`` of its first and counts from a length of ``min_ms``, or at the video's last cue.
+    With more columns ``by``, each of their values has the runs of its own cues, and the columns come too.
     """
-    order = Window.partitionBy("video_id").orderBy("cue_no")
+    order = Window.partitionBy(*by).orderBy("cue_no")
     row = F.struct(F.col("cue_no").alias("no"), "start_ms", "end_ms", F.col("text").alias("t"))
     d = cues.where(F.trim("text") != "").withColumn("run", F.collect_list(row).over(order.rowsBetween(0, most - 1)))
-    d = d.withColumn("last", F.max("cue_no").over(Window.partitionBy("video_id"))).select("video_id", "start_ms", "run", "last", F.posexplode("run").alias("i", "x"))
+    d = d.withColumn("last", F.max("cue_no").over(Window.partitionBy(*by))).select(*by, "start_ms", "run", "last", F.posexplode("run").alias("i", "x"))
     own = F.slice("run", F.lit(1), F.col("i") + 1)
     near = F.forall(own, lambda y: y["start_ms"] - F.col("start_ms") <= max_ms)
     d = d.where(near & ((F.col("x.end_ms") - F.col("start_ms") >= min_ms) | (F.col("x.no") == F.col("last"))))
-    return d.select("video_id", F.col("run")[0]["no"].alias("start_no"), F.col("x.no").alias("end_no"), "start_ms", F.col("x.end_ms").alias("end_ms"), F.array_join(F.transform(own, lambda y: y["t"]), " ").alias("text"))
-
-
-def _vectors(texts: DataFrame, keys: list[str], stop: list[str] | None) -> DataFrame:
-    """``keys``, ``term``, ``w`` and the squared length ``n2`` of each text."""
-    words = texts.select("video_id", *keys, T.terms("text", stop).alias("t"))
-    pairs = F.transform(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), lambda x, i: F.concat_ws("_", x, F.col("t")[i + 1]))
-    with_weight = lambda a, w: F.transform(a, lambda x: F.struct(x.alias("term"), F.lit(w).cast("long").alias("w")))
-    each = words.select("video_id", *keys, F.explode(F.concat(with_weight(F.col("t"), _ONE), with_weight(pairs, _PAIR))).alias("x"))
-    d = each.groupBy("video_id", *keys, "x.term").agg(F.sum("x.w").alias("w"))
-    return d.withColumn("n2", F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("video_id", *keys)))
+    return d.select(*by, F.col("run")[0]["no"].alias("start_no"), F.col("x.no").alias("end_no"), "start_ms", F.col("x.end_ms").alias("end_ms"), F.array_join(F.transform(own, lambda y: y["t"]), " ").alias("text"))
+
+
+def _weights(text: str) -> dict:
+    """Weights of the terms of ``text``, which stand between blanks, and of their adjacent pairs."""
+    t = text.split()
+    return {x: _ONE * k for x, k in Counter(t).items()} | {x: _PAIR * k for x, k in Counter(zip(t, t[1:])).items()}
+
+
+def _promising(least: float, columns: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Pairs of the beats and windows of a film with the squared lengths ``n2``, ``m2`` and the product ``dot`` of their vectors, but for
+    pairs that a later window outdoes or whose score is too low, by more than an error of rounding."""
+
+    def pairs(beats: pa.Table, windows: pa.Table) -> pa.Table:
+        number = lambda t, c: t[c].cast(pa.float64()).to_numpy()
+        vectors = [_weights(x) for x in beats["terms"].to_pylist()]
+        n2 = np.array([sum(w * w for w in v.values()) for v in vectors], np.int64)
+        ids: dict = {}
+        term = np.array([ids.setdefault(x, len(ids)) for v in vectors for x in v], np.int64)
+        order = np.argsort(term, kind="stable")
+        beat = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])[order]
+        weight = np.array([w for v in vectors for w in v.values()], float)[order]
+        first = np.searchsorted(term[order], np.arange(len(ids) + 1))
+
+        dur, duration, i, n = (number(beats, c) for c in ("dur", "duration_ms", "i", "n"))
+        sigma, cap = np.maximum(90_000.0, duration * 0.18), dur * np.minimum(1.0, (i + 4) / np.maximum(n, 1)) + 30.0
+        places = [(number(beats, c) * 1000.0, share) for c, share in (("preferred", 0.14), ("expected", 0.26))]
+        starts, ends, texts = number(windows, "start_ms"), number(windows, "end_ms"), windows["terms"]
+        m2, top, found = np.zeros(len(starts), np.int64), np.full(len(vectors), -np.inf), []
+        late = np.argsort(-starts, kind="stable")
+        for at in range(0, len(late) if len(vectors) else 0, _SLAB):
+            slab = late[at : at + _SLAB]
+            dot = np.zeros((len(slab), len(vectors)))
+            for k, text in enumerate(texts.take(slab).to_pylist()):
+                v = _weights(text)
+                m2[slab[k]] = sum(w * w for w in v.values())
+                known = [(ids[x], w) for x, w in v.items() if x in ids]
+                if known:
+                    t, w = np.array(known).T
+                    size = first[t + 1] - first[t]
+                    rows = np.repeat(first[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    dot[k] = np.bincount(beat[rows], weight[rows] * np.repeat(w, size), len(vectors))
+            start = starts[slab][:, None]
+            cosine = dot / np.maximum(1.0, np.sqrt(n2) * np.sqrt(m2[slab])[:, None])
+            score = cosine * 0.56 + np.where((ends - starts)[slab][:, None] < 8_000, 0.75, np.where((ends - starts)[slab][:, None] <= 36_000, 1.0, 0.75)) * 0.04
+            for to, share in places:
+                score += np.where(duration > 0, np.exp(-(((start - to) / sigma) ** 2)), 0.0) * share
+            fits = (dot > 0) & (score >= least - 1e-9) & ((start / 1000.0 <= cap + 1e-9) | (cosine >= 0.55 - 1e-9))
+            reached = np.maximum.accumulate(np.vstack([top, np.where(fits, score, -np.inf)]))
+            top = reached[-1]
+            x, y = np.nonzero(fits & (score >= reached[1:] - 1e-9))
+            found.append((slab[x], y, dot[x, y]))
+        x, y, dot = (np.concatenate(f) for f in zip(*found)) if found else (np.array([], np.int64), np.array([], np.int64), np.array([]))
+        b, w = beats.take(y), windows.take(x)
+        more = {"n2": pa.array(n2[y]), "m2": pa.array(m2[x]), "dot": pa.array(dot.astype(np.int64))}
+        return pa.table({c: more[c] if c in more else (b if c in b.column_names else w)[c] for c in columns})
+
+    return pairs
 
 
 def align_beats(beats: DataFrame, cues: DataFrame, durations: DataFrame, stop: list[str] | None = None, least: float = 0.08, gap_s: float = 6.0) -> DataFrame:
@@ -51,9 +107,9 @@ def align_beats(beats: DataFrame, cues: DataFrame, durations: DataFrame, stop: l
     that shares terms with the beat scores 0.56 of their cosine, 0.14 of the nearness to the hint, 0.26 of the nearness to the beat's even
     place and 0.04 of a fitting length; one far ahead of its place counts from a cosine of 0.55. The best that starts ``gap_s`` after
     the beat before is taken if it scores ``least``; else the hint, else an even place. Only windows that no later one outdoes can ever
-    be taken: these, found by one running maximum from the end of the film, are all that the fold holds. Defined cases: a
-    beat or cue without terms matches nothing; negative hints count as none; beats of a video without a duration are left out; of
-    equal scores the first window counts; a video without beats has no rows.
+    be taken: these, found by one running maximum from the end of the film, are all that the fold holds; most others are left out where the
+    products are made. Defined cases: a beat or cue without terms matches nothing; negative hints count as none; beats of a video
+    without a duration are left out; of equal scores the first window counts; a video without beats has no rows.
     """
     every = Window.partitionBy("video_id")
     b = beats.join(durations.hint("merge"), "video_id").withColumn("i", F.row_number().over(every.orderBy("beat_no")) - 1).withColumn("n", F.count("*").over(every))
@@ -61,11 +117,17 @@ def align_beats(beats: DataFrame, cues: DataFrame, durations: DataFrame, stop: l
     stop_hint = F.when(F.col("hint_end_ms") >= 0, F.col("hint_end_ms") / 1000.0)
     b = b.withColumn("dur", F.col("duration_ms") / 1000.0).withColumn("hint", hint).withColumn("hint_end", F.when(stop_hint > hint, stop_hint).otherwise(hint + 18.0))
     b = b.withColumn("expected", F.col("dur") * (F.col("i") / F.greatest(F.col("n") - 1, F.lit(1)))).withColumn("preferred", F.coalesce("hint", "expected"))
-    windows = transcript_windows(cues)
-    left = _vectors(beats.select("video_id", "beat_no", "text"), ["beat_no"], stop)
-    right = _vectors(windows, ["start_no", "end_no", "start_ms", "end_ms"], stop).withColumnsRenamed({"w": "w2", "n2": "m2"})
-    dot = left.join(right.hint("merge"), ["video_id", "term"]).groupBy("video_id", "beat_no", "start_no", "end_no", "start_ms", "end_ms", "n2", "m2").agg(F.sum(F.col("w") * F.col("w2")).alias("dot"))
-    c = dot.join(b.select("video_id", "beat_no", "dur", "duration_ms", "preferred", "expected", "i", "n").hint("merge"), ["video_id", "beat_no"])
+    # A film's beats are dealt in blocks, and its cues go to each block: texts are shuffled, the pairs of beats and windows are not.
+    b = b.withColumn("block", F.floor(F.col("i") / _BEATS))
+    tasks, keys = int(beats.sparkSession.conf.get("spark.sql.shuffle.partitions")), ("video_id", "block")
+    terms = F.coalesce(F.array_join(T.terms("text", stop), " "), F.lit("")).alias("terms")
+    left = b.select(*keys, "beat_no", "dur", "duration_ms", "preferred", "expected", "i", "n", terms).repartition(tasks, *keys)
+    dealt = cues.select("video_id", "cue_no", "start_ms", "end_ms", "text").join(b.select(*keys).distinct().hint("merge"), "video_id")
+    # Names of its own, as both sides may come from one table.
+    dealt = dealt.select(*[F.col(k).alias(k) for k in keys], "cue_no", "start_ms", "end_ms", "text").repartition(tasks, *keys)
+    right = transcript_windows(dealt, by=keys).select(*keys, "start_no", "end_no", "start_ms", "end_ms", terms)
+    fields = [f for f in left.schema.fields + right.schema.fields[2:] if f.name not in ("block", "terms")] + [StructField(c, LongType()) for c in ("n2", "m2", "dot")]
+    c = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_promising(least, [f.name for f in fields]), StructType(fields))
     cosine = F.col("dot") / (F.sqrt("n2") * F.sqrt("m2"))
     length = (F.col("end_ms") - F.col("start_ms")).between(8_000, 36_000)
     close = lambda to: time_proximity(F.col("start_ms"), F.col(to) * 1000.0, F.col("duration_ms"))
