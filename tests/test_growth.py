@@ -13,7 +13,7 @@ from timedtext.operators import matching as M
 from timedtext.operators import reports as P
 from timedtext.operators import scorecards as K
 from timedtext.operators import texts as X
-from timedtext.plans import ORACLE_SQL, QUERIES
+from timedtext.plans import ORACLE_SQL, QUERIES, segment_queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -124,3 +124,10 @@ def test_beats_of_a_film_of_several_blocks(spark, tmp_path, monkeypatch):
     rel = con.sql(ORACLE_SQL["align_beats"])
     want = sorted((tuple(_plain(r[rel.columns.index(c)]) for c in cols) for r in rel.fetchall()), key=repr)
     assert got == want and len(got) == len(rows)
+
+
+def test_candidates_are_dealt_once_and_over_tasks_by_their_number(spark, capsys, monkeypatch):
+    monkeypatch.setattr(segment_queries, "_ROWS", 100)
+    shown = plan(capsys, QUERIES["top_candidates"](spark, DATA))
+    tasks = spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 100
+    assert shown.count("Exchange") == 1 and re.search(rf"Exchange hashpartitioning\(video_id#\d+L?, seq#\d+L?, {tasks}\)", shown)

@@ -12,6 +12,7 @@ from . import views as V
 #: Frequent first words of the test texts, in the role of opening connectives.
 OPENERS = "the|of|on|in|and|die|der|la|el|de|th|en"
 GENERIC = ("the", "of", "die", "la", "en")
+_ROWS = 500_000
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
@@ -77,8 +78,11 @@ def partition_repeats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    li = V.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("video_id"), F.col("l_orderkey").alias("seq"), F.col("l_partkey").alias("candidate_id")).agg(F.sum("l_linenumber").alias("pos"), F.sum(F.col("l_quantity").cast("long")).alias("score"))
-    return li.withColumn("seq", F.col("seq") % 50)
+    li = V.table(spark, d, "lineitem")
+    # Dealt by segment before they are summed, some _ROWS a task at any size: few rows of an order are of one part, so that sums on the way save none.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), li.count() // _ROWS)
+    li = li.select(F.col("l_suppkey").alias("video_id"), (F.col("l_orderkey") % 50).alias("seq"), F.col("l_partkey").alias("candidate_id"), "l_orderkey", "l_linenumber", "l_quantity").repartition(tasks, "video_id", "seq")
+    return li.groupBy("video_id", "seq", "candidate_id", "l_orderkey").agg(F.sum("l_linenumber").alias("pos"), F.sum(F.col("l_quantity").cast("long")).alias("score")).drop("l_orderkey")
 
 
 def top_candidates(spark: SparkSession, d: str) -> DataFrame:
