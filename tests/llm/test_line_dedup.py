@@ -85,3 +85,17 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_empty(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_representatives_are_for_buckets_of_many(spark, monkeypatch):
+    seen = []
+    nearest = L._nearest
+    monkeypatch.setattr(L, "_nearest", lambda placed, *more: seen.append({r.key: r["count"] for r in placed.groupBy("key").count().collect()}) or nearest(placed, *more))
+    # Half of each bucket holds one set, the other half another one.
+    bands = spark.createDataFrame([(b * 1000 + i, b) for b, n in ((1, 10), (2, 40)) for i in range(n)], "h1 long, key long")
+    sets = bands.selectExpr("h1", "transform(sequence(0, 19), x -> cast(x + 100 * (h1 % 2) as int)) shingles")
+    words = [f"cast(if(h1 % 2 = 0, {j}, -1 - {j}) as long) w{j}" for j in range(L.WORDS)]
+    sketch = sets.selectExpr("h1", "20L n", *words)
+    root = {r.node: r.root for r in L.linked(bands, lambda ids: (sets, sketch), L.Scratch(spark, "few")).collect()}
+    assert root == {b * 1000 + i: b * 1000 + i % 2 for b, n in ((1, 10), (2, 40)) for i in range(n)}
+    assert seen == [{2: 40}, {2: 40}]

@@ -24,6 +24,8 @@ MINIMA = 6
 WORDS, _CHUNK = 16, 2000
 #: Members of a bucket that the others are held against before all are.
 _REPS = 64
+#: Members of a bucket that all are compared at once, without representatives.
+_FEW = 32
 _UNROLL = 8
 #: Up to this many ids (16 MB) are broadcast to fetch their lines; more are joined by a sort merge.
 FEW_IDS = 2_000_000
@@ -114,8 +116,8 @@ def _star(members: DataFrame, sketch: DataFrame, sets: DataFrame, scratch: Scrat
 
 
 def _open(placed: DataFrame) -> DataFrame:
-    """``(key, k)`` of the buckets whose ``k`` members aren't one component yet; up to three have all been compared."""
-    return placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("k")).where("x <> y and k > 3").select("key", "k")
+    """``(key, k)`` of the buckets whose ``k`` members aren't one component yet."""
+    return placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("k")).where("x <> y").select("key", "k")
 
 
 def _nearest(placed: DataFrame, sketch: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -154,7 +156,8 @@ def _across(placed: DataFrame, sketch: DataFrame, sets: DataFrame, scratch: Scra
 
 def _placed(members: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``members`` with ``c``, the component of each so far."""
-    at = members.join(found.withColumnRenamed("node", "h1").hint("merge"), "h1", "left")
+    # Up to three members of a bucket have all been compared; to few, representatives would be no less work than the comparison of all.
+    at = members.where(F.col("k") > (_FEW if name.startswith("near") else 3)).join(found.withColumnRenamed("node", "h1").hint("merge"), "h1", "left")
     return scratch.table(at.select("key", "h1", "low", "high", F.coalesce("root", "h1").alias("c")), name)
 
 
@@ -177,12 +180,12 @@ def linked(bands: DataFrame, sets_of: Callable[[DataFrame], tuple[DataFrame, Dat
     """Components ``(node, root)`` of what shares a key in ``bands(h1, key)`` and has the wanted similarity.
 
     ``sets_of`` gives the shingle sets and the sketches of the wanted ``h1``.
-    All members of a band's bucket are first compared with its first and its last one; then those of a bucket that is not one
-    component yet are linked with the nearest of some representatives, in two rounds. At last, members of a bucket that are
+    All members of a band's bucket are first compared with its first and its last one; then those of a bucket of many that is not
+    one component yet are linked with the nearest of some representatives, in two rounds. At last, members of a bucket that are
     still in different components are compared with each other, so that no link is lost and a large family is joined without
     listing its pairs. Before shingle sets are fetched, pairs are held against the bound of their sketches inside the join.
     """
-    ends = bands.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
+    ends = bands.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count("*").alias("k")).where("low <> high")
     ends = scratch.table(ends, "buckets")
     # A hash join: sorting all rows of all bands would cost more than the table of the buckets that have two lines or more.
     members = scratch.table(bands.join(ends.hint("shuffle_hash"), "key"), "members")
